@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from . import exactdedup, neardup, quality
+from . import exactdedup, neardup, packing, quality, secrets
 
-QUERIES = {f.__name__: f for f in (neardup.op2_minhash_near_dedup, exactdedup.op8_exact_dedup, quality.op9_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        neardup.op2_minhash_near_dedup,
+        packing.op6_best_fit_packing,
+        exactdedup.op8_exact_dedup,
+        quality.op9_quality_rules,
+        secrets.op10_secret_scans,
+    )
+}
 ORACLE_SQL = {"op8_exact_dedup": exactdedup.OP8_SQL}

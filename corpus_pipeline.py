@@ -6,7 +6,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from briefloom.llm import exactdedup, neardup, quality
+import public_tokenizers
+
+from briefloom.llm import exactdedup, neardup, packing, quality, secrets
 from briefloom.llm.scratch import staged
 
 
@@ -22,7 +24,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return neardup.one_of_each(docs, shingle=5, percent=80)
 
 
-STAGES = [("quality", rate), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies)]
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", rate), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("secrets", redact), ("packing", pack)]
 
 #: The quality stage is fitted by expectation-maximisation, which SQL doesn't express.
 ORACLE_SQL = None
