@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exactdedup, neardup, packing, quality, secrets
+from . import exactdedup, neardup, packing, quality, records, secrets, sharding
 
 QUERIES = {
     f.__name__: f
     for f in (
         neardup.op2_minhash_near_dedup,
+        sharding.op5_histogram_sharding,
         packing.op6_best_fit_packing,
+        records.op7_token_records,
         exactdedup.op8_exact_dedup,
         quality.op9_quality_rules,
         secrets.op10_secret_scans,

@@ -1,11 +1,11 @@
 """Token ids of whole texts by the public tokenizers library.
 
-Neither kind of vocabulary lets a token reach over the start of a new word, so a text is cut
-into words as the tokenizer itself does (with the space before them, or without spaces), each
-distinct word is encoded once by the library, and the ids of a text are joined from those of
-its words.  The memory of known words is bounded; which words it holds never changes a result.
-Which of the two cuts holds for a vocabulary is asked of the tokenizer when it is loaded; where
-neither does, whole texts go to the library.
+Neither kind of vocabulary lets a token reach over the start of a new word.  A text is therefore
+cut into segments at places where the tokenizer surely cuts as well, each distinct segment is
+encoded once by the library, and the ids of a text are gathered from those of its segments by
+numpy.  The memory of known segments is bounded; which ones it holds never changes a result.
+Which of the two cuts suits a vocabulary is asked of the tokenizer when it is loaded; where neither
+does, whole texts go to the library.
 """
 
 from __future__ import annotations
@@ -19,14 +19,45 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The white space of Unicode.
-_W = r"\t-\r \x85\xa0  -     　"
-_BARE = re.compile(rf"[^{_W}]+")
-_SPACED = re.compile(rf" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]")
-_SAMPLE = "Ab1's  a\n\n b. éà !? x\n y"
+from .textscan import SPACE, Block, blocks, span_hashes
 
-#: Words that a worker remembers, and characters up to which a word is remembered.
-KNOWN_WORDS, KNOWN_LENGTH = 250_000, 40
+_GRAPH = np.zeros(256, bool)
+_GRAPH[0x21:0x7F] = True
+_SAMPLE = "Ab1's  a\n\n b. éà !? x\n y"
+_SIMPLE = re.compile(r"[A-Za-z]+|[0-9]|[.,;:!?()-]+")
+_SIMPLE_WORD = re.compile(r"[A-Za-z0-9.,;:!?()-]+")
+
+#: Segments that a worker remembers, and ids up to which a segment is remembered.
+KNOWN, KNOWN_IDS = 400_000, 30
+
+
+def bare_words(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs between ASCII white space; for vocabularies that drop spaces."""
+    solid = ~SPACE[block.data]
+    edge = np.zeros(len(solid) + 1, bool)
+    edge[block.offsets] = True
+    starts = np.flatnonzero(solid & (~np.concatenate([[False], solid[:-1]]) | edge[:-1]))
+    ends = np.flatnonzero(solid & (~np.concatenate([solid[1:], [False]]) | edge[1:])) + 1
+    return starts, ends
+
+
+def spaced_words(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of words with the space before them; for byte-level vocabularies.
+    A cut is made before white space that follows a visible ASCII character, before a space that such
+    a character follows, and between two such characters' single other white space and the second;
+    next to other bytes, which might be white space too, there is none."""
+    data = block.data
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    graph, blank = _GRAPH[data], SPACE[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = blank[1:] & graph[:-1]
+    cut[:-2] |= (data[:-1] == 0x20) & graph[1:]
+    if len(data) > 2:
+        cut[2:-1] |= graph[:-2] & blank[1:-1] & (data[1:-1] != 0x20) & graph[2:]
+    cut[block.offsets] = True
+    at = np.flatnonzero(cut)
+    return at[:-1], at[1:]
 
 
 class Encoder:
@@ -36,46 +67,117 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        whole = self._direct([_SAMPLE])[0]
-        self.cut = next((p for p in (_BARE, _SPACED) if b"".join(self._direct(p.findall(_SAMPLE))) == whole), None)
-        self.known: dict[str, bytes] = {}
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        if self.cut is None:
-            for text in texts:
-                yield self._direct([text])[0]
-            return
-        at = 0
-        while at < len(texts):  # about half a million characters at once
-            size, upto = 0, at
-            while upto < len(texts) and (upto == at or size + len(texts[upto]) <= 500_000):
-                size += len(texts[upto])
-                upto += 1
-            cut = [self.cut.findall(x) for x in texts[at:upto]]
-            fresh = list({w for ws in cut for w in ws if w not in self.known})
-            new = dict(zip(fresh, self._direct(fresh)))
-            both = self.known | new if len(self.known) < 4 * len(new) else _Layered(new, self.known)
-            for ws in cut:
-                yield b"".join(map(both.__getitem__, ws))
-            for w, ids in new.items():
-                if len(self.known) >= KNOWN_WORDS:
-                    break
-                if len(w) <= KNOWN_LENGTH:
-                    self.known[w] = ids
-            at = upto
-
-
-class _Layered(dict):
-    def __init__(self, new: dict, known: dict) -> None:
-        super().__init__(new)
-        self.known = known
-
-    def __missing__(self, word: str) -> bytes:
-        return self.known[word]
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids with which a spaced word begins
+        self.closes = self.opens.copy()  # ids with which a pre-token ends
+        for token, i in vocabulary.items():
+            self.opens[i], self.closes[i] = token.startswith("Ġ"), token.endswith("</w>")
+        self.known: dict[int, int] = {}
+        self.flat, self.start, self.size = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.filled = self.entries = 0
+        self.cut = None
+        whole = np.array(self._each([_SAMPLE])[0], np.uint32)
+        for cut in (bare_words, spaced_words):
+            self.cut = cut
+            if np.array_equal(self._ids(next(blocks(pa.array([_SAMPLE]))))[0], whole):
+                break
+        else:
+            self.cut = None
+        self._forget(0)
+
+    def _each(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all segments in a row, and how many each has.  Segments of a plain form are encoded as one text, whose ids
+        tell where each ends; the others one by one."""
+        if self.cut is bare_words:
+            plain = [bool(_SIMPLE_WORD.fullmatch(x)) for x in segments]
+        else:
+            plain = [len(x) > 1 and x[0] == " " and "!" <= x[1] <= "~" and " " not in x[1:] for x in segments]
+        own = [x for x, p in zip(segments, plain) if p]
+        ids = np.array(self._each([(" " if self.cut is bare_words else "").join(own)])[0] if own else [], np.uint32)
+        if self.cut is bare_words:
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            upto = np.cumsum([len(_SIMPLE.findall(x)) for x in own], dtype=np.int64)
+            fits = not own or len(ends) == upto[-1]
+            bounds = np.concatenate([[0], ends[upto - 1]]) if fits and own else np.zeros(1, np.int64)
+        else:
+            starts = np.flatnonzero(self.opens[ids])
+            fits = len(starts) == len(own)
+            bounds = np.concatenate([starts, [len(ids)]])
+        if not fits:
+            plain = [False] * len(segments)
+        others = self._each([x for x, p in zip(segments, plain) if not p])
+        sizes, at, parts, one, many = np.zeros(len(segments), np.int64), 0, [], 0, 0
+        for i, p in enumerate(plain):  # runs of plain segments stay together
+            if p:
+                sizes[i] = bounds[one + 1] - bounds[one]
+                one += 1
+            else:
+                parts += [ids[at : bounds[one]], np.array(others[many], np.uint32)]
+                at, sizes[i], many = bounds[one], len(others[many]), many + 1
+        if any(plain):
+            parts.append(ids[at:])
+        return np.concatenate(parts) if parts else ids[:0], sizes
+
+    def _add(self, segments: list[str]) -> None:
+        ids, sizes = self._joined(segments)
+        while self.filled + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.entries + len(sizes) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        to = slice(self.entries, self.entries + len(sizes))
+        self.flat[self.filled : self.filled + len(ids)] = ids
+        self.size[to] = sizes
+        self.start[to] = self.filled + np.concatenate([[0], np.cumsum(sizes[:-1])]) if len(sizes) else 0
+        self.filled, self.entries = self.filled + len(ids), to.stop
+
+    def _forget(self, entries: int) -> None:
+        """Keeps the first entries only."""
+        self.entries, self.filled = entries, int(self.start[entries - 1] + self.size[entries - 1]) if entries else 0
+        if not entries:
+            self.known.clear()
+
+    def _ids(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a block in a row, and where each text's begin (one entry more than texts)."""
+        starts, ends = self.cut(block)
+        hashes, first, where = np.unique(span_hashes(block.data, starts, ends), return_index=True, return_inverse=True)
+        get = self.known.get
+        rows = np.array([get(h, -1) for h in hashes.tolist()], np.int64)
+        new = np.flatnonzero(rows < 0)
+        before = self.entries
+        if len(new):
+            raw = block.data.tobytes()
+            a, b = starts[first[new]].tolist(), ends[first[new]].tolist()
+            self._add([raw[i:j].decode() for i, j in zip(a, b)])
+            rows[new] = np.arange(before, self.entries)
+        sizes, begins = self.size[rows][where], self.start[rows][where]
+        out = np.zeros(len(where) + 1, np.int64)
+        np.cumsum(sizes, out=out[1:])
+        ids = self.flat[np.repeat(begins - out[:-1], sizes) + np.arange(out[-1])]
+        bounds = out[np.searchsorted(starts, block.offsets)]
+        if len(new):
+            if before + len(new) <= KNOWN:
+                short = self.size[before : self.entries] <= KNOWN_IDS
+                keep = len(new) if short.all() else int(np.flatnonzero(~short)[0])
+            else:
+                keep = max(0, KNOWN - before)
+            self.known.update(zip(hashes[new[:keep]].tolist(), range(before, before + keep)))
+            self._forget(before + keep)
+        return ids, bounds
+
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text; null counts as empty."""
+        for block in blocks(column):
+            if self.cut is None:
+                raw = block.data.tobytes()
+                for a, b in zip(block.offsets[:-1], block.offsets[1:]):
+                    yield np.array(self._each([raw[a:b].decode()])[0], np.uint32)
+                continue
+            ids, bounds = self._ids(block)
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                yield ids[a:b]
 
 
 _loaded: dict[str, Encoder] = {}
@@ -88,25 +190,21 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
-def encoded(text: Column, path: str, end: int) -> Column:
-    """The ids of the whole text and the end id, as little-endian unsigned 32-bit integers. Null counts as empty."""
+def encoded(column: pa.Array, path: str, end: int) -> Iterator[bytes]:
+    """The ids of each whole text and the end id, as little-endian unsigned 32-bit integers."""
     tail = np.array([end], "<u4").tobytes()
-
-    def ids(column: pa.Array) -> pa.Array:
-        return pa.array([x + tail for x in encoder(path).encode(column.fill_null("").to_pylist())], pa.binary())
-
-    return F.arrow_udf(ids, "binary")(text)
+    for ids in encoder(path).encode(column):
+        yield ids.astype("<u4", copy=False).tobytes() + tail
 
 
 def pieces(text: Column, path: str, end: int, capacity: int) -> Column:
     """The ids of encoded() in pieces of at most capacity ids: an array of (piece, start, length, ids)."""
-    tail = np.array([end], "<u4").tobytes()
     kind = "array<struct<piece: int, start: bigint, length: bigint, ids: binary>>"
 
     def cut(column: pa.Array) -> pa.Array:
         ends, rows = [0], ([], [], [], [])
-        for x in encoder(path).encode(column.fill_null("").to_pylist()):
-            x, step = x + tail, 4 * capacity
+        for x in encoded(column, path, end):
+            step = 4 * capacity
             for k in range(0, len(x), step):
                 for to, value in zip(rows, (k // step, k // 4, min(step, len(x) - k) // 4, x[k : k + step])):
                     to.append(value)
