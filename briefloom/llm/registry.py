@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exactdedup, neardup, packing, quality, records, secrets, sharding
+from . import exactdedup, htmltext, neardup, packing, quality, records, secrets, sharding
 
 QUERIES = {
     f.__name__: f
     for f in (
+        htmltext.op1_html_extraction,
         neardup.op2_minhash_near_dedup,
         sharding.op5_histogram_sharding,
         packing.op6_best_fit_packing,
