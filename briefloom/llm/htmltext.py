@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
+
 MOST_DEPTH = 150
 #: Cells wider than this do not widen their column, so padding stays in proportion to the text.
 MOST_WIDTH = 80
@@ -437,6 +439,7 @@ def rendered(html: Column) -> Column:
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     text = pages.select("page_id", rendered(F.col("html")).alias("text"))
     return text.select("page_id", "text", F.char_length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))

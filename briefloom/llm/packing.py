@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import staged
+from .scratch import small_batches, staged
 from .tokens import pieces
 
 CAPACITY, END_ID = 4096, 1
@@ -135,6 +135,7 @@ def sequences(placed: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     cut = cut_documents(docs, path)
     table = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packed(table, CAPACITY, order=["doc_id", "piece"])

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import new_folder, staged
+from .scratch import new_folder, small_batches, staged
 from .tokens import encoded
 
 MAGIC = b"BLTOKEN1"
@@ -74,6 +74,7 @@ def _file_system(folder: str) -> tuple[fs.FileSystem, str]:
 
 def write_records(docs: DataFrame, folder: str, vocabulary: str, end: int = 0, id_bytes: int = 2, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the ids of every text into files of the folder; returns the index, as a table of the shared folder."""
+    small_batches(docs.sparkSession)
     whole = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
     ordered = whole.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 

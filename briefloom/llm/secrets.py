@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
+
 KINDS = ("assign", "access", "hex", "pem", "key", "jwt", "encoded")
 BASE = KINDS[:3]
 
@@ -197,6 +199,7 @@ def redacted(text: Column) -> Column:
 
 def redact_documents(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """docs with secrets replaced in the text; a column of the text's length follows it."""
+    small_batches(docs.sparkSession)
     out = docs.withColumn(text, redacted(F.col(text)))
     return out.withColumn(length, F.char_length(text).cast(docs.schema[length].dataType)) if length in docs.columns else out
 
@@ -206,6 +209,7 @@ def sha256_of(text: Column) -> Column:
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = docs.select("doc_id", found_secrets(F.col("text")).alias("s"))
     line = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
