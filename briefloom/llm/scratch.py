@@ -25,7 +25,7 @@ def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
     """Bounds the bytes that one batch takes to a Python worker, by the session's own setting.
     Results never depend on it; memory does, where texts are long."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, str(1 << 40)).rstrip("b")) > limit:
+    if int((spark.conf.get(key, None) or "0").rstrip("b")) > limit:
         spark.conf.set(key, str(limit))
 
 
