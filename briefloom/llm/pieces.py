@@ -18,7 +18,7 @@ characters, in the middle of words or not, and the chunks are spread over tasks:
 3. Each chunk is then segmented between its two states, independently of the others.
 
 Within a row, words (with the spaces before them) are independent for the same reason, so each distinct one is
-searched once: short ones by the sentencepiece library, long ones here, in double precision.
+searched once: plain short ones by the sentencepiece library, others here, in double precision.
 
 Null and empty texts have no ids.  Repeated rows are encoded each on its own.  Decoding gives
 the text back, but for U+2581, which the format itself reads as a space.  An empty table
@@ -44,8 +44,8 @@ _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _NEVER = float("-inf")
 
 
-def piece_words(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Cuts before each space that follows neither a space nor U+2581, and at the texts' starts."""
+def piece_words(block: Block, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts before each space that follows neither a space nor U+2581, around bytes that no piece holds, and at the texts' starts."""
     data = block.data
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -54,6 +54,9 @@ def piece_words(block: Block) -> tuple[np.ndarray, np.ndarray]:
     cut[1:-1] = space[1:] & ~space[:-1]
     if len(data) > 3:
         cut[3:-1] &= ~((data[2:-1] == 0x81) & (data[1:-2] == 0x96) & (data[:-3] == 0xE2))
+    own = alone[data]
+    cut[:-1] |= own
+    cut[1:] |= own
     cut[block.offsets] = True
     at = np.flatnonzero(cut)
     return at[:-1], at[1:]
@@ -68,6 +71,7 @@ class PieceEncoder(Encoder):
 
         model = messages.ModelProto.FromString(open(path, "rb").read())
         model.trainer_spec.model_type = messages.TrainerSpec.UNIGRAM
+        model.normalizer_spec.add_dummy_prefix = False  # texts bring their own
         self.library = SentencePieceProcessor(model_proto=model.SerializeToString())
         kinds = messages.ModelProto.SentencePiece
         self.pieces: dict[str, tuple[float, int]] = {}
@@ -88,13 +92,18 @@ class PieceEncoder(Encoder):
         self.known = {}
         self.flat, self.start, self.size = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
         self.filled = self.entries = 0
-        self.cut = piece_words
+        self.single = {" ", *(p for p in self.pieces if len(p) == 1)}
+        held = "".join(self.pieces)
+        self.alone = np.array([i < 128 and i != 0x20 and chr(i) not in held for i in range(256)])
+
+    def cut(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        return piece_words(block, self.alone)
 
     def _each(self, texts: list[str]) -> list[list[int]]:
-        short = [x[0] == " " and len(x) <= LONG_WORD for x in texts]
-        quick = iter(self.library.encode([x[1:] for x, s in zip(texts, short) if s], num_threads=1))
-        # the library sees "" as nothing, but the space before it is a piece
-        return [(next(quick) if len(x) > 1 else (next(quick), self.searched(x))[1]) if s else self.searched(x) for x, s in zip(texts, short)]
+        # the library adds scores in single precision, which is exact only without those of unknown characters and runs of spaces
+        plain = [len(x) <= LONG_WORD and "  " not in x and self.single.issuperset(x) for x in texts]
+        # its lattice search is exact; its default one misses the best segmentation of some words
+        return [self.library.nbest_encode(x, nbest_size=2)[0] if s else self.searched(x) for x, s in zip(texts, plain)]
 
     def _joined(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         each = self._each(segments)
