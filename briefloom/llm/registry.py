@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exactdedup, htmltext, neardup, packing, pieces, quality, records, secrets, sharding
+from . import exactdedup, htmltext, lmscore, neardup, packing, pieces, quality, records, secrets, sharding
 
 QUERIES = {
     f.__name__: f
     for f in (
         htmltext.op1_html_extraction,
         neardup.op2_minhash_near_dedup,
+        lmscore.op3_backoff_scores,
         pieces.op4_sentencepiece,
         sharding.op5_histogram_sharding,
         packing.op6_best_fit_packing,
