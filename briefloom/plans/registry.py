@@ -1,4 +1,12 @@
 """All queries over the given tables, and the same in SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import inspect
+
+from . import queries
+from .sql import ORACLE_SQL
+
+QUERIES = {n: f for n, f in vars(queries).items() if inspect.isfunction(f) and f.__module__ == queries.__name__ and not n.startswith("_")}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
