@@ -40,6 +40,8 @@ from .scratch import small_batches, staged
 from .textscan import blocks, mixed, words
 
 ALPHA, LEAST, FREQUENT_BITS, TOP = 0.4, 2, 20, 1024
+#: Bits of a frequent word's number.
+WORD_BITS = 21
 #: N-grams that a partition of the exchange is sized for, and a task holds before it sends.
 PARTITION_NGRAMS, TASK_NGRAMS = 2_000_000, 2_000_000
 _START = np.uint64(0x5354415254)
@@ -48,12 +50,14 @@ _PACKED = "bucket: int, kind: int, batch: bigint, docs: binary, runs: binary, lo
 
 
 class Vocabulary(NamedTuple):
-    """The frequent words: sorted hashes, their counts, their places by frequency, and the corpus's words."""
+    """The frequent words: sorted hashes, their counts, their places by frequency; the corpus's words; how many
+    places count as very frequent."""
 
     hashes: np.ndarray
     counts: np.ndarray
     place: np.ndarray
     total: int
+    top: int
 
     def index(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word, -1 if it is not frequent."""
@@ -82,10 +86,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(counted, "h: bigint, c: bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
+def vocabulary(docs: DataFrame, frequent_bits: int, top: int) -> Vocabulary:
     counts = staged(word_counts(docs), "words")
     total = counts.where(F.col("h") != int(_START.view(np.int64))).agg(F.sum("c")).first()[0] or 0
-    frequent = counts.where((F.col("c") * (1 << FREQUENT_BITS) >= total) | (F.col("h") == int(_START.view(np.int64))))
+    frequent = counts.where((F.col("c") * (1 << frequent_bits) >= total) | (F.col("h") == int(_START.view(np.int64))))
     rows = frequent.collect()  # at most 2^20 and the start mark
     h = np.array([r.h for r in rows], np.int64).view(np.uint64)
     c = np.array([r.c for r in rows], np.int64)
@@ -93,27 +97,29 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     h, c = h[order], c[order]
     place = np.empty(len(h), np.int64)
     place[np.lexsort((h, -c))] = np.arange(len(h))
-    return Vocabulary(h, c, place, total)
+    return Vocabulary(h, c, place, total, top)
 
 
 def top_pairs(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
-    """Counts of the pairs of very frequent words: [v * TOP + w] by their places."""
+    """Counts of the pairs of very frequent words: [v * top + w] by their places."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sums = shared.value, np.zeros(TOP * TOP, np.int64)
+        own = shared.value
+        top = own.top
+        sums = np.zeros(top * top, np.int64)
         for batch in batches:
             for _, _, before, after, _ in _pairs(batch["text"]):
                 i, j = own.index(before), own.index(after)
-                i, j = (np.where(x < 0, TOP, own.place[x]) for x in (i, j))
-                both = (i < TOP) & (j < TOP)
-                sums += np.bincount(i[both] * TOP + j[both], minlength=TOP * TOP)
+                i, j = (np.where(x < 0, top, own.place[x]) for x in (i, j))
+                both = (i < top) & (j < top)
+                sums += np.bincount(i[both] * top + j[both], minlength=top * top)
         full = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(sums[full])], names=["pair", "c"])
 
     found = docs.select("text").mapInArrow(counted, "pair: bigint, c: bigint").groupBy("pair").agg(F.sum("c").alias("c"))
-    table = np.zeros(TOP * TOP, np.int64)
-    for r in found.collect():  # at most TOP^2
+    table = np.zeros(vocab.top**2, np.int64)
+    for r in found.collect():  # at most the square of `top`
         table[r.pair] = r.c
     return table
 
@@ -141,7 +147,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 PAIR, AFTER, BEFORE = 0, 1, 2  # two frequent words; a rare word and the one before it; a rare word and the one after it
 
 
-def exploded(docs: DataFrame, vocab: Vocabulary, pairs: np.ndarray, buckets: int) -> DataFrame:
+def exploded(docs: DataFrame, vocab: Vocabulary, pairs: np.ndarray, buckets: int, task_ngrams: int) -> DataFrame:
     """Packed n-grams by bucket.  A row of bucket -1 tells of a batch's documents: their ids, words and the score of
     their pairs of very frequent words."""
     sc = docs.sparkSession.sparkContext
@@ -162,15 +168,15 @@ def exploded(docs: DataFrame, vocab: Vocabulary, pairs: np.ndarray, buckets: int
                 return
             doc, before, after = (np.concatenate(x) for x in zip(*held))
             i, j = own.index(before), own.index(after)
-            pi, pj = (np.where(x < 0, TOP, own.place[x]) for x in (i, j))
+            pi, pj = (np.where(x < 0, own.top, own.place[x]) for x in (i, j))
             batch = (part << 32) + number
-            top = (pi < TOP) & (pj < TOP)
-            c = known[pi[top] * TOP + pj[top]]
+            top = (pi < own.top) & (pj < own.top)
+            c = known[pi[top] * own.top + pj[top]]
             term = np.where(c >= LEAST, np.log(np.maximum(c, 1)) - log_c[i[top]], np.log(ALPHA) + log_c[j[top]] - log_n)
             score = np.bincount(doc[top], term, minlength=texts)
             out = [(-1, 0, batch, np.concatenate(ids).tobytes(), b"", np.concatenate(n_words).tobytes(), score.tobytes())]
             both = (i >= 0) & (j >= 0) & ~top
-            pair = (i[both].astype(np.uint64) << np.uint64(FREQUENT_BITS + 1)) | j[both].astype(np.uint64)
+            pair = (i[both].astype(np.uint64) << np.uint64(WORD_BITS)) | j[both].astype(np.uint64)
             out += _dealt(PAIR, pair, (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32), (pair >> np.uint64(32)).astype(np.uint16), doc[both], buckets, batch)
             for kind, rare, other, at in ((AFTER, after, before, i), (BEFORE, before, after, j)):
                 mine = (j if kind == AFTER else i) < 0
@@ -187,7 +193,7 @@ def exploded(docs: DataFrame, vocab: Vocabulary, pairs: np.ndarray, buckets: int
                 ids.append(doc_ids[first : first + n].astype(np.int64))
                 n_words.append(np.bincount(text, minlength=n).astype(np.int64))
                 size, texts = size + len(text), texts + n
-                if size >= TASK_NGRAMS:
+                if size >= task_ngrams:
                     yield from release()
         yield from release()
 
@@ -214,7 +220,7 @@ def _scored_bucket(rows: list[dict], own: Vocabulary) -> Iterator[tuple[int, np.
     low, high = arrays(PAIR, np.uint32, np.uint16)
     pair = (high << np.uint64(32)) | low
     c = times(pair)
-    i, j = (pair >> np.uint64(FREQUENT_BITS + 1)).astype(np.int64), (pair & np.uint64((1 << (FREQUENT_BITS + 1)) - 1)).astype(np.int64)
+    i, j = (pair >> np.uint64(WORD_BITS)).astype(np.int64), (pair & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
     terms[PAIR] = np.where(c >= LEAST, np.log(c) - log_c[i], log_a + log_c[j] - log_n)
 
     rare, name = arrays(AFTER, np.uint64, np.uint32)
@@ -242,16 +248,24 @@ def _scored_bucket(rows: list[dict], own: Vocabulary) -> Iterator[tuple[int, np.
             at += size
 
 
-def backoff_scores(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_words and score of every document."""
+def backoff_scores(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text: str = "text",
+    frequent_bits: int = FREQUENT_BITS,
+    top: int = TOP,
+    partition_ngrams: int = PARTITION_NGRAMS,
+    task_ngrams: int = TASK_NGRAMS,
+) -> DataFrame:
+    """id, n_words and score of every document.  The numbers set where n-grams are met, never what is returned."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    vocab = vocabulary(docs)
+    vocab = vocabulary(docs, frequent_bits, top)
     if not len(vocab.hashes):
         return docs.select(F.col("doc_id").alias(id_column), F.lit(0).cast("bigint").alias("n_words"), F.lit(0.0).alias("score"))
     pairs = top_pairs(docs, vocab)
-    buckets = max(8, -(-vocab.total // PARTITION_NGRAMS))
-    packed = staged(exploded(docs, vocab, pairs, buckets), "ngrams")
+    buckets = max(8, -(-vocab.total // partition_ngrams))
+    packed = staged(exploded(docs, vocab, pairs, buckets, task_ngrams), "ngrams")
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

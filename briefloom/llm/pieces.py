@@ -101,7 +101,7 @@ class PieceEncoder(Encoder):
 
     def _each(self, texts: list[str]) -> list[list[int]]:
         # the library adds scores in single precision, which is exact only without those of unknown characters and runs of spaces
-        plain = [len(x) <= LONG_WORD and "  " not in x and self.single.issuperset(x) for x in texts]
+        plain = [len(x) <= LONG_WORD and self.single.issuperset(x) and " " not in x[1:] and MARK not in x for x in texts]
         # its lattice search is exact; its default one misses the best segmentation of some words
         return [self.library.nbest_encode(x, nbest_size=2)[0] if s else self.searched(x) for x, s in zip(texts, plain)]
 
