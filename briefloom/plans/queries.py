@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text, urls
-from ..operators import boards, corroboration, history, ranking
+from ..operators import boards, compose, corroboration, history, ranking
 from ..sources import adapters
 from ..sources.adapters import candidates, clusters, event_records, now, scored_items, table
 
@@ -329,3 +329,42 @@ def u2_set_operations(spark: SparkSession, d: str) -> DataFrame:
     both = early.join(late, "user_id")
     size = lambda c: F.size(c).cast("bigint")
     return both.select("user_id", size(F.array_except("a", "b")).alias("only_a"), size(F.array_intersect("a", "b")).alias("common"), size(F.array_union("a", "b")).alias("all"))
+
+
+def _shown(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("item")
+    url = F.concat(F.when(k % 7 == 0, "http").otherwise("https"), F.lit("://example.com/"), k.cast("string"))
+    date = F.when(k % 5 == 0, "2026-02-30").when(k % 5 == 1, F.lit(None).cast("string")).otherwise("2026-07-01")
+    return w5_boards(spark, d).withColumn("url", url).withColumn("effective_date", date)
+
+
+def v1_contract(spark: SparkSession, d: str) -> DataFrame:
+    out = compose.violations(_shown(spark, d))
+    return out.select("run_id", "item", F.array_join("violations", ",").alias("violations"), "good")
+
+
+def g4_freshness(spark: SparkSession, d: str) -> DataFrame:
+    runs = candidates(spark, d).select("run_id").distinct().union(spark.createDataFrame([("none",)], "run_id string"))
+    items = ranking.technical_shortlist(candidates(spark, d), now())
+    out = compose.freshness(items, runs, now())
+    return out.select("run_id", "n_items", "fresh_count_24h", "run_status", F.coalesce(F.unix_timestamp("latest_published_at"), F.lit(0)).alias("latest"))
+
+
+def g10_affected_groups(spark: SparkSession, d: str) -> DataFrame:
+    events = w8_global_selection(spark, d).withColumn("groups", F.array(F.col("category"), F.concat(F.lit("g"), (F.col("item") % 3).cast("string")), F.lit(" ")))
+    return compose.affected_groups(events).select("run_id", F.array_join("groups", ",").alias("groups"))
+
+
+def t27_overview(spark: SparkSession, d: str) -> DataFrame:
+    return compose.overview(scored_items(spark, d).groupBy("run_id", "category").agg(F.count("*").alias("n")))
+
+
+def t22_action_horizon(spark: SparkSession, d: str) -> DataFrame:
+    days = F.when(F.col("item") % 4 == 0, F.lit(None).cast("int")).otherwise((F.col("item") % 40).cast("int"))
+    return scored_items(spark, d).groupBy(compose.horizon(days).alias("horizon")).agg(F.count("*").alias("n"))
+
+
+def v4_upgraded_items(spark: SparkSession, d: str) -> DataFrame:
+    old = table(spark, d, "pages").select(F.concat(F.lit("r"), (F.col("page_id") % 9).cast("string")).alias("run_id"), "url", (F.col("page_id") * 37 % 100 + 1).alias("importance"))
+    old = old.groupBy("run_id", "url").agg(F.max("importance").alias("importance"))
+    return compose.upgraded_items(old).select("run_id", "url", "board", "rank", "importance", "fingerprint")

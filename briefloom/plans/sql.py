@@ -182,4 +182,21 @@ ORACLE_SQL = {
         SELECT run_id, rank, item, total FROM x WHERE rank <= 3 AND (fresh OR NOT some_fresh)""",
     "u2_set_operations": """WITH x AS (SELECT user_id, event_type, bool_or(event_id % 2 = 0) AS a, bool_or(event_id % 2 = 1) AS b FROM events GROUP BY ALL)
         SELECT user_id, count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (a AND b) AS common, count(*) AS "all" FROM x GROUP BY user_id HAVING bool_or(a) AND bool_or(b)""",
+    "v1_contract": f"""WITH {_SCORED}, {_BOARDS}, x AS (SELECT run_id, item, list_filter([CASE WHEN item % 7 = 0 THEN 'bad_url' END, CASE WHEN item % 5 = 0 THEN 'bad_date' END,
+          CASE WHEN count(*) OVER (PARTITION BY run_id, fingerprint) > 1 THEN 'repeated_event' END], lambda v: v IS NOT NULL) AS bad FROM b)
+        SELECT run_id, item, array_to_string(bad, ',') AS violations, len(bad) = 0 AS good FROM x""",
+    "g4_freshness": f"""WITH {_CANDIDATES}, a AS (SELECT run_id, count(*) AS n, count(*) FILTER (age <= 24) AS fresh, min(age) AS least FROM t GROUP BY run_id), u AS (SELECT DISTINCT run_id FROM c UNION ALL SELECT 'none')
+        SELECT run_id, coalesce(n, 0) AS n_items, coalesce(fresh, 0) AS fresh_count_24h, CASE WHEN n > 0 THEN 'published' ELSE 'no_qualifying_items' END AS run_status,
+          coalesce(epoch(TIMESTAMP '2026-07-14 12:00:00')::BIGINT - 3600 * least, 0) AS latest FROM u LEFT JOIN a USING (run_id)""",
+    "g10_affected_groups": f"""WITH {_SCORED}, {_GLOBAL}, x AS (SELECT run_id, 2 * rank AS p, category AS name FROM g WHERE rank <= 3 UNION ALL SELECT run_id, 2 * rank + 1, 'g' || (item % 3) FROM g WHERE rank <= 3),
+        f AS (SELECT run_id, name, min(p) AS p FROM x GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY p) AS n FROM f)
+        SELECT run_id, string_agg(name, ',' ORDER BY p) AS groups FROM o WHERE n <= 4 GROUP BY run_id""",
+    "t27_overview": f"""WITH {_SCORED}, n AS (SELECT run_id, category, count(*) AS n FROM i GROUP BY ALL)
+        SELECT run_id, CAST(sum(n) AS BIGINT)::VARCHAR || (CASE WHEN sum(n) = 1 THEN ' item in ' ELSE ' items in ' END) || string_agg(category, ', ' ORDER BY n DESC, category) AS overview FROM n GROUP BY run_id""",
+    "t22_action_horizon": f"""WITH {_SCORED}, x AS (SELECT least(coalesce(CASE WHEN item % 4 = 0 THEN NULL ELSE item % 40 END, 7), 30) AS d FROM i)
+        SELECT CASE WHEN d <= 0 THEN 'today' ELSE 'within ' || d || (CASE WHEN d = 1 THEN ' day' ELSE ' days' END) END AS horizon, count(*) AS n FROM x GROUP BY horizon""",
+    "v4_upgraded_items": """WITH o AS (SELECT 'r' || (page_id % 9) AS run_id, url, max(page_id * 37 % 100 + 1) AS importance FROM pages GROUP BY ALL),
+        x AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY importance DESC, url) AS p FROM o)
+        SELECT run_id, url, CASE WHEN p <= 5 THEN 'must_read' WHEN p <= 8 THEN 'try_now' ELSE 'watch' END AS board, p - CASE WHEN p <= 5 THEN 0 WHEN p <= 8 THEN 5 ELSE 8 END AS rank,
+          importance, 'old|' || sha256(url) AS fingerprint FROM x WHERE p <= 11""",
 }
