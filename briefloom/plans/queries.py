@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text, urls
-from ..operators import boards, compose, corroboration, history, ranking
+from ..operators import boards, compose, corroboration, dedupe, history, ranking
 from ..sources import adapters
 from ..sources.adapters import candidates, clusters, event_records, now, scored_items, table
 
@@ -368,3 +368,8 @@ def v4_upgraded_items(spark: SparkSession, d: str) -> DataFrame:
     old = table(spark, d, "pages").select(F.concat(F.lit("r"), (F.col("page_id") % 9).cast("string")).alias("run_id"), "url", (F.col("page_id") * 37 % 100 + 1).alias("importance"))
     old = old.groupBy("run_id", "url").agg(F.max("importance").alias("importance"))
     return compose.upgraded_items(old).select("run_id", "url", "board", "rank", "importance", "fingerprint")
+
+
+def w4_hard_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    c = candidates(spark, d).withColumn("title", F.concat_ws(" ", F.slice(F.split("title", " "), 1, 6)))
+    return dedupe.hard_dedupe(c).select("run_id", "candidate_id")
