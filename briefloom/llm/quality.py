@@ -127,7 +127,7 @@ def votes(f: Column) -> dict[str, Column]:
         "length": vote(f["n_words"] >= 60, f["n_words"] < 30),
         "word_length": vote((f["word_chars"] / n).between(3, 9), ~(f["word_chars"] / n).between(2, 14)),
         "symbols": vote(f["n_symbols"] / n < 0.02, f["n_symbols"] / n > 0.1),
-        "lines": F.when(f["n_lines"] < 3, 0).otherwise(vote(f["n_dup_lines"] / lines < 0.05, f["n_dup_lines"] / lines > 0.3)),
+        "lines": F.when(f["n_lines"] < 3, 0).otherwise(vote(f["n_dup_lines"] / lines < 0.05, (f["n_dup_lines"] / lines > 0.3) & (f["n_dup_lines"] >= 3))),
         "repeats": vote(enough & (f["n_repeat_words"] / n < 0.15), f["n_repeat_words"] / n > 0.4),
         "ends": F.when(f["n_lines"] < 3, 0).otherwise(vote(f["n_ended_lines"] / lines > 0.6, f["n_ended_lines"] / lines < 0.12)),
         "letters": vote(f["n_letter_words"] / n > 0.85, f["n_letter_words"] / n < 0.6),
@@ -135,33 +135,36 @@ def votes(f: Column) -> dict[str, Column]:
     }
 
 
+#: What is believed before any vote is counted, and how many votes that belief weighs, as a share of all documents.
+GOOD_SHARE, WRONG_ALARM, RIGHT_ALARM, BELIEF = 0.9, 0.001, 0.3, 0.02
+
+
 def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, tolerance: float = 1e-9) -> tuple[float, np.ndarray]:
     """Expectation-maximisation over the distinct vote patterns.
 
     patterns holds a row of votes for each pattern, counts how many documents have it.
     Returns the log-odds of good before any vote, and what each rule's vote (-1, 0, 1) adds.
-    The classes start from the majority of votes; a smoothing of two documents a vote keeps
-    every rate away from 0 and 1.
-    """
-    n_rules = patterns.shape[1]
-    total = counts.sum()
-    good = 1 / (1 + np.exp(-1.5 * patterns.sum(axis=1)))
-    prior, weight = 0.0, np.zeros((n_rules, 3))
+    A rule that abstains says nothing.  The search starts from, and is held near, the belief that rules seldom call a good
+    document bad, while a bad one is called bad by some rules only."""
+    n_rules, total = patterns.shape[1], counts.sum()
+    weigh = max(1.0, BELIEF * total)
+    alarm = np.tile([[RIGHT_ALARM], [WRONG_ALARM]], (1, n_rules))  # of bad and of good documents
+    share, good = GOOD_SHARE, np.zeros(len(counts))
     for _ in range(rounds):
-        rates = np.zeros((2, n_rules, 3))
-        for k, share in enumerate((1 - good, good)):
-            mass = counts * share
-            for v in (-1, 0, 1):
-                rates[k, :, v + 1] = ((patterns == v) * mass[:, None]).sum(axis=0) + 2
-        rates /= rates.sum(axis=2, keepdims=True)
-        alike = (counts * good).sum() + 1
-        prior = math.log(alike / (total - alike + 2))
-        weight = np.log(rates[1] / rates[0])
+        weight = np.zeros((n_rules, 3))
+        weight[:, 0] = np.log(alarm[1] / alarm[0])
+        weight[:, 2] = np.log((1 - alarm[1]) / (1 - alarm[0]))
+        prior = math.log(share / (1 - share))
         odds = prior + sum(weight[r, patterns[:, r] + 1] for r in range(n_rules))
         new = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
         moved, good = np.abs(new - good).max(initial=0), new
         if moved < tolerance:
             break
+        for k, (part, belief) in enumerate(((1 - good, RIGHT_ALARM), (good, WRONG_ALARM))):
+            mass = (counts * part)[:, None]
+            called, spoke = ((patterns == -1) * mass).sum(axis=0), ((patterns != 0) * mass).sum(axis=0)
+            alarm[k] = (called + weigh * belief) / (spoke + weigh)
+        share = ((counts * good).sum() + weigh * GOOD_SHARE) / (total + weigh)
     return prior, weight
 
 

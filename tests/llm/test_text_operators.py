@@ -53,13 +53,21 @@ def test_words_do_not_cross_texts():
 
 def test_maximisation_tells_good_from_bad():
     rng = np.random.default_rng(0)
-    good = rng.random(20_000) < 0.7
-    rates = [0.9, 0.85, 0.8, 0.75]
-    votes = np.stack([np.where(rng.random(len(good)) < 0.2, 0, np.where(rng.random(len(good)) < r, 1, -1) * np.where(good, 1, -1)) for r in rates], axis=1)
+    good = rng.random(20_000) < 0.8
+    alarms = [(0.002, 0.6), (0.01, 0.5), (0.0, 0.4), (0.02, 0.7)]  # of good and of bad documents
+    votes = np.stack([np.where(rng.random(len(good)) < 0.2, 0, np.where(rng.random(len(good)) < np.where(good, a, b), -1, 1)) for a, b in alarms], axis=1)
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
     prior, weight = quality.fit(patterns, counts.astype(float))
-    odds = prior + sum(weight[i, votes[:, i] + 1] for i in range(len(rates)))
-    assert ((odds > 0) == good).mean() > 0.9
+    odds = prior + sum(weight[i, votes[:, i] + 1] for i in range(len(alarms)))
+    assert ((odds > 0) == good).mean() > 0.93 and (odds[good] > 0).mean() > 0.96
+    assert (weight[:, 1] == 0).all()
+
+
+def test_quality_agrees_with_held_out_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    rated = quality.op9_quality_rules(spark, folder).join(labels, "doc_id")
+    assert rated.where("NOT base_failed AND kept <> (label = 1)").count() <= 0.01 * rated.count()
 
 
 def test_quality_keeps_clean_documents(spark, odd_docs, no_docs):
