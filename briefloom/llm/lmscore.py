@@ -144,12 +144,12 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names) if rows else pa.RecordBatch.from_pylist([], pa.schema(list(zip(names, types))))
 
 
-PAIR, AFTER, BEFORE = 0, 1, 2  # two frequent words; a rare word and the one before it; a rare word and the one after it
+WHOLE, PAIR, AFTER, BEFORE = -1, 0, 1, 2  # of documents; two frequent words; a rare word and the one before it; a rare word and the one after it
 
 
 def exploded(docs: DataFrame, vocab: Vocabulary, pairs: np.ndarray, buckets: int, task_ngrams: int) -> DataFrame:
-    """Packed n-grams by bucket.  A row of bucket -1 tells of a batch's documents: their ids, words and the score of
-    their pairs of very frequent words."""
+    """Packed n-grams by bucket.  A row of kind WHOLE tells of a batch's documents: their ids, words and the score of
+    their pairs of very frequent words; it goes to any bucket."""
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((vocab, pairs))
 
@@ -174,7 +174,7 @@ def exploded(docs: DataFrame, vocab: Vocabulary, pairs: np.ndarray, buckets: int
             c = known[pi[top] * own.top + pj[top]]
             term = np.where(c >= LEAST, np.log(np.maximum(c, 1)) - log_c[i[top]], np.log(ALPHA) + log_c[j[top]] - log_n)
             score = np.bincount(doc[top], term, minlength=texts)
-            out = [(-1, 0, batch, np.concatenate(ids).tobytes(), b"", np.concatenate(n_words).tobytes(), score.tobytes())]
+            out = [((part * 31 + number) % buckets, WHOLE, batch, np.concatenate(ids).tobytes(), b"", np.concatenate(n_words).tobytes(), score.tobytes())]
             both = (i >= 0) & (j >= 0) & ~top
             pair = (i[both].astype(np.uint64) << np.uint64(WORD_BITS)) | j[both].astype(np.uint64)
             out += _dealt(PAIR, pair, (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32), (pair >> np.uint64(32)).astype(np.uint16), doc[both], buckets, batch)
@@ -205,7 +205,8 @@ def _scored_bucket(rows: list[dict], own: Vocabulary) -> Iterator[tuple[int, np.
     log_c, log_n, log_a = np.log(own.counts), np.log(max(1, own.total)), np.log(ALPHA)
     by_kind: dict[int, list[dict]] = {PAIR: [], AFTER: [], BEFORE: []}
     for r in rows:
-        by_kind[r["kind"]].append(r)
+        if r["kind"] != WHOLE:
+            by_kind[r["kind"]].append(r)
 
     def arrays(kind: int, low: type, high: type) -> tuple[np.ndarray, np.ndarray]:
         mine = by_kind[kind]
@@ -248,6 +249,11 @@ def _scored_bucket(rows: list[dict], own: Vocabulary) -> Iterator[tuple[int, np.
             at += size
 
 
+def _part(batch: int, whole: bool, docs: bytes, n_words: bytes, sums: bytes) -> pa.RecordBatch:
+    columns = [pa.array([batch], pa.int64()), pa.array([whole]), *(pa.array([x], pa.binary()) for x in (docs, n_words, sums))]
+    return pa.RecordBatch.from_arrays(columns, names=["batch", "whole", "docs", "n_words", "sums"])
+
+
 def backoff_scores(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -265,34 +271,35 @@ def backoff_scores(
         return docs.select(F.col("doc_id").alias(id_column), F.lit(0).cast("bigint").alias("n_words"), F.lit(0.0).alias("score"))
     pairs = top_pairs(docs, vocab)
     buckets = max(8, -(-vocab.total // partition_ngrams))
-    packed = staged(exploded(docs, vocab, pairs, buckets, task_ngrams), "ngrams")
+    dealt = exploded(docs, vocab, pairs, buckets, task_ngrams).repartitionById(buckets, F.col("bucket"))
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in b.to_pylist()]
+        for r in rows:
+            if r["kind"] == WHOLE:
+                yield _part(r["batch"], True, r["docs"], r["low"], r["high"])
         out: dict[int, list] = {}
         for batch, at, sums in _scored_bucket(rows, shared.value):
             out.setdefault(batch, []).append((at, sums))
         for batch, parts in out.items():
             at, sums = (np.concatenate(x) for x in zip(*parts))
             full, where = np.unique(at, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array([batch]), pa.array([full.tobytes()], pa.binary()), pa.array([np.bincount(where, sums).tobytes()], pa.binary())], names=["batch", "docs", "sums"])
+            yield _part(batch, False, full.tobytes(), b"", np.bincount(where, sums).tobytes())
 
     def summed(key: tuple, table: pa.Table) -> pa.Table:
-        whole = next(r for r in table.select(["bucket", "docs", "n_words", "sums"]).to_pylist() if r["bucket"] < 0)
+        rows = table.to_pylist()
+        whole = next(r for r in rows if r["whole"])
         total = np.frombuffer(whole["sums"], np.float64).copy()
-        for r in table.select(["bucket", "docs", "sums"]).to_pylist():
-            if r["bucket"] >= 0:
+        for r in rows:
+            if not r["whole"]:
                 total[np.frombuffer(r["docs"], np.uint32)] += np.frombuffer(r["sums"], np.float64)
         columns = [np.frombuffer(whole["docs"], np.int64), np.frombuffer(whole["n_words"], np.int64), total]
         return pa.table([pa.array(c) for c in columns], names=[id_column, "n_words", "score"])
 
-    dealt = packed.where("bucket >= 0").repartitionById(buckets, F.col("bucket"))
-    parts = dealt.mapInArrow(scored, "batch: bigint, docs: binary, sums: binary")
-    parts = parts.select(F.lit(0).alias("bucket"), "batch", "docs", F.lit(b"").alias("n_words"), "sums")
-    whole = packed.where("bucket < 0").select("bucket", "batch", "docs", F.col("low").alias("n_words"), F.col("high").alias("sums"))
+    parts = dealt.mapInArrow(scored, "batch bigint, whole boolean, docs binary, n_words binary, sums binary")
     # a batch is a bounded number of documents' words
-    return whole.union(parts).groupBy("batch").applyInArrow(summed, f"{id_column}: bigint, n_words: bigint, score: double")
+    return parts.groupBy("batch").applyInArrow(summed, f"{id_column}: bigint, n_words: bigint, score: double")
 
 
 def op3_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
