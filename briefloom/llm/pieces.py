@@ -109,6 +109,9 @@ class PieceEncoder(Encoder):
         each = self._each(segments)
         return np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64)
 
+    def text(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+
     def steps(self, text: str, at: int):
         """(length, score, id) of the pieces that begin at a place of marked text; id -1: no piece has the character."""
         single = False
@@ -193,20 +196,24 @@ def model(path: str) -> PieceEncoder:
     return _loaded[path]
 
 
-_RESULT = "struct<ids: binary, score: double>"
+_RESULT = "struct<ids: binary, score: double, same: boolean>"
 
 
-def _result(ids: list[np.ndarray], own: PieceEncoder) -> pa.Array:
-    found = [pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([float(own.scores[x].sum()) for x in ids], pa.float64())]
-    return pa.StructArray.from_arrays(found, names=["ids", "score"])
+def _result(texts: list[str], own: PieceEncoder) -> pa.Array:
+    """ids, score and whether the ids give each text back.  All in one pass, so a task needs one Python worker."""
+    ids, score, same = [], [], []
+    for text, x in zip(texts, own.encode(pa.array(texts, pa.large_string()))):
+        ids.append(x.astype("<u4").tobytes())
+        score.append(float(own.scores[x].sum()))
+        same.append(own.text(x) == text.replace(MARK, " "))
+    return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(score, pa.float64()), pa.array(same, pa.bool_())], names=["ids", "score", "same"])
 
 
 def encoded_whole(text: Column, path: str) -> Column:
     """ids (little-endian unsigned 32-bit integers) and score of each text."""
 
     def run(column: pa.Array) -> pa.Array:
-        own = model(path)
-        return _result(list(own.encode(pa.array([" " + x if x else "" for x in column.to_pylist()], pa.large_string()))), own)
+        return _result([" " + x if x else "" for x in column.to_pylist()], model(path))
 
     return F.arrow_udf(run, _RESULT)(text)
 
@@ -217,7 +224,7 @@ def decoded(ids: Column, path: str, first: Column) -> Column:
     def run(column: pa.Array, begins: pa.Array) -> pa.Array:
         own, out = model(path), []
         for x, b in zip(column.to_pylist(), begins.to_pylist()):
-            text = b"".join(map(own.bytes.__getitem__, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace")
+            text = own.text(np.frombuffer(x, "<u4"))
             out.append(text[1:] if b and text[:1] == " " else text)
         return pa.array(out, pa.string())
 
@@ -260,9 +267,7 @@ def _states(matrices: Column) -> Column:
 
 def _encoded_between(body: Column, last: Column, enter: Column, leave: Column, path: str) -> Column:
     def run(*columns: pa.Array) -> pa.Array:
-        own = model(path)
-        parts = [b[s : None if e else CHUNK + x] for b, e, s, x in zip(*[c.to_pylist() for c in columns])]
-        return _result(list(own.encode(pa.array(parts, pa.large_string()))), own)
+        return _result([b[s : None if e else CHUNK + x] for b, e, s, x in zip(*[c.to_pylist() for c in columns])], model(path))
 
     return F.arrow_udf(run, _RESULT)(body, last, enter, leave)
 
@@ -272,19 +277,17 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
     small_batches(docs.sparkSession)
     whole = docs.select(F.col(id_column), F.coalesce(text, F.lit("")).alias("text"))
     small = whole.where(F.char_length("text") <= giant).withColumn("x", encoded_whole(F.col("text"), path))
-    small = small.select(id_column, F.lit(1).alias("n_chunks"), "x.ids", "x.score", "text")
+    small = small.select(id_column, F.lit(1).alias("n_chunks"), "x.ids", "x.score", "x.same")
     giants = staged(whole.where(F.char_length("text") > giant).withColumn("row", F.monotonically_increasing_id()), "giants")
     chunks = giants.select("row", F.explode(_chunks(F.col("text"), path)).alias("c")).select("row", "c.*")
     chunks = staged(chunks.repartition("row", "chunk"), "chunks")
     listed = chunks.withColumn("m", _matrices(F.col("body"), F.col("last"), path)).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("chunk", "m"))).alias("ms"))
     states = listed.select("row", F.explode(_states(F.col("ms"))).alias("s")).select("row", "s.*")
     each = chunks.join(states.hint("merge"), ["row", "chunk"]).withColumn("x", _encoded_between(F.col("body"), F.col("last"), F.col("enter"), F.col("leave"), path))
-    parts = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("chunk", "x.ids"))).alias("parts"), F.sum("x.score").alias("score"))
+    parts = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("chunk", "x.ids"))).alias("parts"), F.sum("x.score").alias("score"), F.bool_and("x.same").alias("same"))
     joined = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["ids"]))
-    large = giants.join(parts.hint("merge"), "row").select(id_column, F.size("parts").alias("n_chunks"), joined.alias("ids"), "score", "text")
-    both = small.unionByName(large)
-    back = decoded(F.col("ids"), path, F.lit(True)) == F.replace("text", F.lit(MARK), F.lit(" "))
-    return both.select(id_column, "n_chunks", "ids", "score", back.alias("same"))
+    large = giants.select(id_column, "row").join(parts.hint("merge"), "row").select(id_column, F.size("parts").alias("n_chunks"), joined.alias("ids"), "score", "same")
+    return small.unionByName(large)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ _SIMPLE = re.compile(r"[A-Za-z]+|[0-9]|[.,;:!?()-]+")
 _SIMPLE_WORD = re.compile(r"[A-Za-z0-9.,;:!?()-]+")
 
 #: Segments that a worker remembers, and ids up to which a segment is remembered.
-KNOWN, KNOWN_IDS = 400_000, 30
+KNOWN, KNOWN_IDS = 150_000, 30
 
 
 def bare_words(block: Block) -> tuple[np.ndarray, np.ndarray]:

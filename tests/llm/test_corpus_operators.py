@@ -305,6 +305,8 @@ def test_pieces_round_trip(spark, odd_docs, no_docs):
     scores = {k[0]: r.score for k, r in whole.items()}
     assert all(r.score == scores[r.doc_id] for r in split)
     assert pieces.encode_documents(no_docs, PIECES).count() == 0
+    back = pieces.encode_documents(odd_docs.where("doc_id in (7, 20)"), PIECES).select("doc_id", pieces.decoded(F.col("ids"), PIECES, F.lit(True)).alias("t")).collect()
+    assert all(r.t == odd_docs.where(F.col("doc_id") == r.doc_id).first().text for r in back) and len(back) == 3
 
 
 def test_pipeline_keeps_the_columns_and_clean_documents(spark, tmp_path):
