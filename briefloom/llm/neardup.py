@@ -7,8 +7,8 @@ kept as its values, its sketch is the k least of them.
    class; only its representative, the least id, goes on.
 2. Inverted lists: every retained value points to the representatives that retain it.  Two sets
    with similarity s share a value of their union's bottom-k with probability s each, so their
-   sketches have at least `least_overlap` values in common (k = 64, s = 0.8: 28, missed with a
-   probability of 2e-11; a set of up to s*k values is its own sketch, and the bound is exact).
+   sketches have at least `least_overlap` values in common (k = 64, s = 0.8: 31, missed with a
+   probability under 1e-8; a set of up to s*k values is its own sketch, and the bound is exact).
    With the values of each sketch in a common order, rarest first, two such sketches meet in
    the first k - least_overlap + 1 of each (prefix filtering, Chaudhuri et al. 2006): only these enter lists.
 3. Of each pair that meets, the union's sketch (k least of both) estimates the similarity;
@@ -17,8 +17,11 @@ kept as its values, its sketch is the k least of them.
 
 A list of n members is not expanded into its n^2 pairs.  First every member meets a few leaders
 of its lists (the most overlapping ones); what is confirmed is joined into components.
-Then only pairs of different components meet, in lists that have several, best estimates first,
-until no pair is left: that is exact, since pairs within a component change nothing.
+Then only members of different components can add anything.  Long lists that still have several are put
+together by their leader, so that a group is one family however many lists it shares, and a family's
+sets are compared exactly, block by block: a pair of blocks of bounded size is one row group, and only the
+links that join something leave it.  In short lists pairs of different components meet, best estimates
+first, until no pair is left.  Both leave out no pair, and pairs within a component change nothing.
 
 Null, empty and blank texts have an empty set and are linked with nothing.  A text with fewer
 words than a shingle has its whole word sequence as one.  Rows repeated with one id
@@ -36,19 +39,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import hinted, staged
+from .scratch import hinted, small_batches, staged
 from .textscan import blocks, mixed, windows, words
 
 K = 64
 #: Rows of an id table that may be broadcast; beyond, the join is a shuffle.
 BROADCAST_ROWS = 500_000
-#: Leaders that a member meets at first, then candidates each in the rounds that follow; None: all that are left.
-LEADERS, ROUNDS = 3, (6, None)
+#: Leaders that a member meets at first, lists that it must share with them, then candidates each in the rounds that follow; None: all that are left.
+LEADERS, LEAST_LISTS, ROUNDS = 3, 3, (6, None)
+
+#: Members times components from which a list is compared in blocks, and members of a block.
+LONG_LIST, BLOCK_MEMBERS = 1_000, 256
 
 _SIGNATURE = "struct<n_shingles: bigint, hi: bigint, lo: bigint, sketch: array<bigint>>"
 
 
-def least_overlap(n: int, k: int, percent: int, loss: float = 3e-11) -> int:
+def least_overlap(n: int, k: int, percent: int, loss: float = 1e-8) -> int:
     """Values that a sketch of n (at most k) values shares at least with that of any similar set."""
     if n * 100 <= percent * k:  # no similar set is larger than k: both are their own sketches
         return max(1, -(-percent * n // 100))
@@ -134,43 +140,54 @@ def union_overlap(left: Column, right: Column, k: int) -> Column:
 
 
 def _lists(reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """(value, id) of the prefix of each sketch, for values that two sketches or more retain."""
-    each = reps.select("id", F.size("sketch").alias("n"), F.explode("sketch").alias("value"))
+    """(value, id, size, weight) of the prefix of each sketch, for values that two sketches or more retain.
+    weight: how often the sketch's values are retained in all; what many others resemble weighs most of its group."""
+    each = reps.select("id", F.col("n_shingles").alias("size"), F.size("sketch").alias("n"), F.explode("sketch").alias("value"))
     several = each.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     met = each.join(several.hint("merge"), "value")
-    found = met.groupBy("id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("shared"))
+    own = Window.partitionBy("id")  # at most k rows
+    placed = met.select("id", "value", "size", "n", F.count("*").over(own).alias("shared"), F.sum("df").over(own).alias("weight"), F.row_number().over(own.orderBy("df", "value")).alias("place"))
     bound = F.array(*[F.lit(n - least_overlap(n, k, percent) + 1 if n else 0) for n in range(k + 1)])
-    alone = F.col("n") - F.size("shared")
-    room = F.greatest(F.element_at(bound, F.col("n") + 1) - alone, F.lit(0))
-    return found.select("id", F.explode(F.slice("shared", F.lit(1), room)).alias("x")).select("id", F.col("x.value").alias("value"))
+    alone = F.col("n") - F.col("shared")  # values that only this sketch has come first of all
+    return placed.where(F.col("place") + alone <= F.element_at(bound, F.col("n") + 1)).select("id", "value", "size", "weight")
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose union's sketch does not rule them out, with the estimate."""
-    of = reps.select("id", "sketch", "n_shingles")
-    left = of.toDF("a", "sketch_a", "n_a").hint("merge")
-    right = of.toDF("b", "sketch_b", "n_b").hint("merge")
-    near = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("n_a") > 0)
-    both = pairs.join(left, "a").join(right, "b").where(near).withColumn("estimate", union_overlap(F.col("sketch_a"), F.col("sketch_b"), k))
+    of = reps.select("id", "sketch")
+    left, right = of.toDF("a", "sketch_a").hint("merge"), of.toDF("b", "sketch_b").hint("merge")
+    both = pairs.join(left, "a").join(right, "b").withColumn("estimate", union_overlap(F.col("sketch_a"), F.col("sketch_b"), k))
     return both.where(F.col("estimate") >= least_overlap(k, k, percent)).select("a", "b", "estimate")
 
 
+def _sets(ids: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, values): the full sets of the given documents."""
+    ids = staged(ids, "ids")
+    own = texts.join(hinted(ids, ids.count(), BROADCAST_ROWS), "id", "left_semi")
+    return staged(own.select("id", full_sets(F.col("body"), shingle).alias("values")), "sets").dropDuplicates(["id"])
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar; only documents in a pair have their sets moved."""
     pairs = staged(pairs, "pairs")
-    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    own = texts.join(hinted(ids, ids.count(), BROADCAST_ROWS), "id", "left_semi")
-    sets = staged(own.select("id", full_sets(F.col("body"), shingle).alias("values")), "sets").dropDuplicates(["id"])
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), texts, shingle)
     both = pairs.join(sets.toDF("a", "x").hint("merge"), "a").join(sets.toDF("b", "y").hint("merge"), "b")
     return staged(both.where(similar(F.col("x"), F.col("y"), percent)).select("a", "b"), "links")
 
 
-def _leader_pairs(lists: DataFrame) -> DataFrame:
-    """Of each member of a list and the list's leader, in how many lists they meet.
-    The leader is drawn by hash, so that a large group meets many different ones."""
-    leader = lists.groupBy("value").agg(F.min(F.struct(F.xxhash64("id", "value").alias("draw"), "id")).alias("first"))
-    met = lists.join(leader.select("value", F.col("first.id").alias("lead")).hint("merge"), "value").where("id <> lead")
-    return met.groupBy(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).agg(F.count("*").alias("lists"))
+def _sizes_fit(x: str, y: str, percent: int) -> Column:
+    """Sets whose sizes differ more cannot be so similar."""
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def _leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Of each member of a list and the list's leader, in how many lists they meet; LEAST_LISTS at least.
+    The leader is the member with the largest weight: the text that the others were made from, where there is one."""
+    leader = lists.groupBy("value").agg(F.max(F.struct("weight", "id", "size")).alias("first"), F.count("*").alias("members"))
+    leader = leader.where("members > 1").select("value", F.col("first.id").alias("lead"), F.col("first.size").alias("lead_size"))
+    met = lists.join(leader.hint("merge"), "value").where((F.col("id") != F.col("lead")) & _sizes_fit("size", "lead_size", percent))
+    pairs = met.groupBy(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).agg(F.count("*").alias("lists"))
+    return pairs.where(F.col("lists") >= LEAST_LISTS)
 
 
 def _most(pairs: DataFrame, by: str, most: int) -> DataFrame:
@@ -181,35 +198,99 @@ def _most(pairs: DataFrame, by: str, most: int) -> DataFrame:
     return pairs.withColumn("place", pick).where(F.col("place") <= most).drop("place")
 
 
-def _residual(lists: DataFrame, comps: DataFrame) -> DataFrame:
-    """Distinct pairs of list members whose components differ.
-    The largest component of a list is never paired with itself, so a group costs its members, not their square."""
+def _mixed(lists: DataFrame, comps: DataFrame) -> DataFrame:
+    """lists that have members of several components, with each member's component, the list's largest one, its leader,
+    and whether the list is long."""
     of = lists.join(comps.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    counted = of.groupBy("value", "component").agg(F.count("*").alias("c"))
-    mixed_lists = counted.groupBy("value").agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("c", "component")).alias("main")).where("kinds > 1")
-    held = staged(of.join(mixed_lists.select("value", "main").hint("merge"), "value"), "lists")
-    left = held.where("component <> main").select("value", F.col("id").alias("x"), F.col("component").alias("cx"), "main")
-    right = held.select("value", F.col("id").alias("y"), F.col("component").alias("cy")).hint("merge")
-    met = left.join(right, "value").where("cx <> cy and (cy = main or x < y)")
+    counted = of.groupBy("value", "component").agg(F.count("*").alias("c"), F.max(F.struct("weight", "id")).alias("first"))
+    whole = counted.groupBy("value").agg(F.count("*").alias("kinds"), F.sum("c").alias("members"), F.max_by("component", F.struct("c", "component")).alias("main"), F.max("first").alias("first"))
+    several = whole.where("kinds > 1").select("value", "main", F.col("first.id").alias("lead"), (F.col("kinds") * F.col("members") > LONG_LIST).alias("long"))
+    return staged(of.join(several.hint("merge"), "value"), "lists")
+
+
+def _joining_links(percent: int):
+    """Of two blocks of sets (rows with block, id, component, values; one block with itself, if there is one): links between
+    components, as few as join what can be joined."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        blocks_of = table["block"].to_numpy()
+        ids, comps = table["id"].to_numpy(), table["component"].to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["values"]]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        first = np.flatnonzero(blocks_of == blocks_of.min())
+        second = np.flatnonzero(blocks_of == blocks_of.max())
+        values = np.concatenate([sets[i] for i in second])
+        owner = np.repeat(second, sizes[second])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.setdefault(c, c) != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        a, b = [], []
+        for i in first.tolist():
+            low, high = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
+            n = high - low
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            common = np.bincount(owner[at], minlength=len(sets))
+            near = np.flatnonzero((common > 0) & (100 * common >= percent * (sizes[i] + sizes - common)))
+            for j in near.tolist():
+                x, y = root(int(comps[i])), root(int(comps[j]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+        return pa.table([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], names=["a", "b"])
+
+    return run
+
+
+def _family_links(mixed_lists: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between components that meet in a long list."""
+    members = staged(mixed_lists.where("long").select("lead", "id", "component").distinct(), "families")
+    sizes = members.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("n"))
+    sets = _sets(members.select("id").distinct(), texts, shingle)
+    placed = members.join(sizes.hint("merge"), "lead").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("n") - 1)
+    dealt = placed.withColumn("other", F.explode(others)).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    rows = dealt.join(sets.hint("merge"), "id").select("lead", "i", "j", "block", "id", "component", "values")
+    return staged(rows.groupBy("lead", "i", "j").applyInArrow(_joining_links(percent), "a bigint, b bigint"), "links")
+
+
+def _residual(mixed_lists: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of members of short lists whose components differ.
+    The largest component of a list is never paired with itself, so a group costs its members, not their square."""
+    held = mixed_lists.where("NOT long")
+    left = held.where("component <> main").select("value", F.col("id").alias("x"), F.col("size").alias("sx"), F.col("component").alias("cx"), "main")
+    right = held.select("value", F.col("id").alias("y"), F.col("size").alias("sy"), F.col("component").alias("cy")).hint("merge")
+    met = left.join(right, "value").where("cx <> cy and (cy = main or x < y)").where(_sizes_fit("sx", "sy", percent))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def links(texts: DataFrame, reps: DataFrame, shingle: int, percent: int, k: int) -> DataFrame:
     """(id, component) of every representative (id, n_shingles, sketch) that is linked with another."""
     lists = staged(_lists(reps, k, percent), "lists")
-    first = _estimated(_most(_leader_pairs(lists), "lists", LEADERS), reps, k, percent)
+    first = _estimated(_most(_leader_pairs(lists, percent), "lists", LEADERS), reps, k, percent)
     edges = _confirmed(first.select("a", "b"), texts, shingle, percent)
     comps = staged(components(edges), "components")
     done = edges
+    mixed_lists = _mixed(lists, comps)
+    if not mixed_lists.where("long").isEmpty():
+        done = done.union(_family_links(mixed_lists, texts, shingle, percent))
+        comps = staged(components(done), "components")
+        mixed_lists = _mixed(lists.join(mixed_lists.where("NOT long").select("value").distinct().hint("merge"), "value", "left_semi"), comps)
+        mixed_lists = mixed_lists.withColumn("long", F.lit(False))
     tried = None
     for most in ROUNDS:
-        pairs = _residual(lists, comps) if tried is None else tried
         if tried is None:
-            pairs = staged(_estimated(pairs, reps, k, percent), "candidates")
+            pairs = staged(_estimated(_residual(mixed_lists, percent), reps, k, percent), "candidates")
         else:
             ends = lambda x: comps.toDF(x, f"c{x}").hint("merge")
             apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
-            pairs = staged(pairs.join(ends("a"), "a", "left").join(ends("b"), "b", "left").where(apart).select("a", "b", "estimate"), "candidates")
+            pairs = staged(tried.join(ends("a"), "a", "left").join(ends("b"), "b", "left").where(apart).select("a", "b", "estimate"), "candidates")
         if pairs.isEmpty():
             break
         chosen = pairs if most is None else staged(_most(pairs, "estimate", most), "chosen")
@@ -223,12 +304,13 @@ def links(texts: DataFrame, reps: DataFrame, shingle: int, percent: int, k: int)
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """id, n_shingles, component_id (least id reachable) and kept of every document."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text).alias("body"))
     signed = staged(texts.select("id", signatures(F.col("body"), shingle, k).alias("s")).select("id", "s.*"), "signatures")
     full = signed.where("n_shingles > 0")
     classes = staged(full.groupBy("n_shingles", "hi", "lo").agg(F.min("id").alias("rep")), "classes")
     member = signed.select("id", "n_shingles", "hi", "lo").join(classes.hint("merge"), ["n_shingles", "hi", "lo"], "left")
-    member = staged(member.select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")), "members")
+    member = member.select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
     reps = full.join(classes.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id"])
     reps = staged(reps.select("id", "n_shingles", "sketch"), "representatives")
     comps = links(texts, reps, shingle, percent, k)

@@ -3,7 +3,7 @@
 A word is a run of bytes outside 0x20 and 0x09-0x0D; as those are ASCII, the scan can
 work on UTF-8 bytes.  Spans are named by 64-bit polynomial hashes taken from prefix sums,
 so that the cost is a few vector operations a byte, whatever the number of words.
-Texts are cut into blocks of about a megabyte, so memory does not follow the batch size.
+Texts are cut into blocks of a quarter of a megabyte, so memory does not follow the batch size.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
-PIECE = 1 << 22
+BLOCK = 1 << 18
+PIECE = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -76,7 +76,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         upto = max(at + 1, int(np.searchsorted(ends, base + PIECE, "right")))
         low, high = starts[at:upto] - base, ends[at:upto] - base
         size = int(high[-1])
-        up, down = _powers(1 << max(20, size.bit_length()))
+        up, down = _powers(1 << max(18, (size - 1).bit_length()))
         sums = np.zeros(size + 1, np.uint64)
         np.cumsum(_BYTE[data[base : base + size]] * up[:size], out=sums[1:])
         raw = (sums[high] - sums[low]) * down[low]
