@@ -371,5 +371,4 @@ def v4_upgraded_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w4_hard_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    c = candidates(spark, d).withColumn("title", F.concat_ws(" ", F.slice(F.split("title", " "), 1, 6)))
-    return dedupe.hard_dedupe(c).select("run_id", "candidate_id")
+    return dedupe.hard_dedupe(candidates(spark, d)).select("run_id", "candidate_id")
