@@ -33,7 +33,15 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
 _NAMES = ("passw", "secret", "token", "api")
-_RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Characters of base64 and of hex that 16 bytes need, and the shortest line of a wrapped run.
+_RUN_LEAST, _HEX_LEAST, _LINE_LEAST = 22, 32, 16
+_RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{_RUN_LEAST},}}={{0,2}}")
+_HEX_RUN = re.compile(rf"[0-9A-Fa-f]{{{_HEX_LEAST},}}")
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{{{_LINE_LEAST},}}+[ \t]*+\r?\n[ \t]*+)++(?:[A-Za-z0-9+/_-]++={{0,2}})?")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+#: How often encoded text may itself hold encoded text.
+_MOST_DEPTH = 3
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:\s*[A-Za-z-]{1,40}: [^\n]*\n)*)([^-]*)-----END \1-----")
 
@@ -132,38 +140,61 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def holds_secret(data: bytes | None) -> bool:
-    """Whether data is plain text that itself has an assignment, an access key or a signed token."""
-    if not data or len(data) < 16 or not data.isascii():
+def holds_secret(data: bytes | None, depth: int = 0) -> bool:
+    """Whether data is UTF-8 text that itself has a secret of any kind but hex."""
+    if not data or len(data) < 16 or depth >= _MOST_DEPTH:
         return False
-    text = data.decode("ascii")
-    if not all(c.isprintable() or c in "\t\r\n" for c in text):
+    try:
+        text = data.decode("utf-8")
+    except UnicodeDecodeError:
         return False
-    return any(kind < 2 for _, kind, _ in base_spans(text)) or any(is_signed_token(m[0]) for m in _JWT.finditer(text))
-
-
-def spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, number of kind, end) of all secrets, in order."""
+    return not _CONTROL.search(text) and any(kind != 2 for _, kind, _ in spans(text, depth + 1))
+
+
+def _kind(data: bytes | None, depth: int) -> int | None:
+    """The kind of what a run holds: a key, text with a secret, or neither."""
+    return 4 if is_key(data) else 6 if holds_secret(data, depth) else None
+
+
+def _wrapped(text: str):
+    """(start, end, characters) of runs over several lines: lines of one width and a shorter last one, the same without the last,
+    and all lines together."""
+    for m in _WRAPPED.finditer(text):
+        lines = [(x.start(), x.end(), x[0]) for x in _LINE.finditer(text, m.start(), m.end())]
+        groups, at = [(0, len(lines))], 0
+        while at < len(lines):
+            end = at + 1
+            while end < len(lines) and len(lines[end][2]) == len(lines[at][2]):
+                end += 1
+            groups.append((at, end))
+            if end < len(lines) and len(lines[end][2]) < len(lines[at][2]):
+                groups.append((at, end + 1))
+            at = end
+        for i, j in sorted({g for g in groups if g[1] - g[0] > 1}):
+            yield lines[i][0], lines[j - 1][1], "".join(x[2] for x in lines[i:j])
+
+
+def spans(text: str, depth: int = 0) -> list[tuple[int, int, int]]:
+    """(start, number of kind, end) of all secrets, in order.  depth: of how many encodings the text was taken out."""
     longest = max(map(len, text.split()), default=0)
     if longest < ASSIGN_LEAST:  # every kind has so many characters without white space
         return []
     found = base_spans(text)
     if "PRIVATE KEY-----" in text:
         found += [(m.start(), 3, m.end()) for m in _PEM.finditer(text) if m[2].strip() or is_key(decoded64("".join(m[3].split())))]
-    if longest >= 40:
-        for m in _RUN.finditer(text):
-            data = decoded64(m[0])
-            if is_key(data):
-                found.append((m.start(), 4, m.end()))
-            elif holds_secret(data):
-                found.append((m.start(), 6, m.end()))
-    for start, kind, end in list(found):
-        if kind == 2 and (end - start) % 2 == 0:
-            data = bytes.fromhex(text[start:end])
-            if is_key(data):
-                found.append((start, 4, end))
-            elif holds_secret(data):
-                found.append((start, 6, end))
+    armoured = [(a, b) for a, kind, b in found if kind == 3]
+    runs = []
+    if longest >= _RUN_LEAST:
+        runs += [(m.start(), m.end(), decoded64(m[0])) for m in _RUN.finditer(text)]
+        hexes = {(m.start(), m.end()) for m in _HEX_RUN.finditer(text)} | {(a, b) for a, kind, b in found if kind == 2}
+        runs += [(a, b, bytes.fromhex(text[a:b])) for a, b in hexes if (b - a) % 2 == 0]
+    if longest >= _LINE_LEAST and "\n" in text:
+        for a, b, joined in _wrapped(text):
+            if not any(x <= a and b <= y for x, y in armoured):
+                runs.append((a, b, decoded64(joined)))
+                if len(joined) % 2 == 0 and _HEX_RUN.fullmatch(joined):
+                    runs.append((a, b, bytes.fromhex(joined)))
+    found += [(a, kind, b) for a, b, data in runs if (kind := _kind(data, depth)) is not None]
     if "eyJ" in text:
         found += [(m.start(), 5, m.end()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
     return sorted(set(found))
