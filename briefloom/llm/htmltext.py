@@ -4,7 +4,7 @@ A page is read once into a tree, with the tags that HTML implies (ends of p, li,
 table parts; tr around cells; the end of head), text put into a table where no text may be
 moved before it, and elements nested deeper than MOST_DEPTH made siblings.  What is not shown is
 left out: head, scripts, styles, templates, elements with `hidden` or an inline or simple style rule
-of display:none or visibility:hidden.  All other text is emitted: blocks on lines of their own,
+of display:none or visibility:hidden that holds on every screen.  Of drawings, text elements are shown.  All other text is emitted: blocks on lines of their own,
 paragraphs with an empty line between them, list items with their marks and indents, quotes
 with "> ", preformatted text as it is, table cells aligned in columns.
 
@@ -32,7 +32,7 @@ MOST_WIDTH = 80
 # HTML's element groups.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes noscript textarea title".split())
-UNSEEN = set("head script style template noscript iframe noembed noframes title meta link datalist object audio video canvas svg math".split())
+UNSEEN = set("head script style template noscript iframe noembed noframes title meta link datalist object audio video canvas annotation annotation-xml".split())
 IN_HEAD = set("base link meta noscript script style template title".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl menu blockquote pre table figure hr fieldset".split())
 BLOCK = SPACED | set("address article aside body center dd details dialog dir div dt figcaption footer form header hgroup html legend li main nav option optgroup search section summary caption tr".split())
@@ -47,9 +47,16 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""\s*/?([^\s"'>/=]+)?(?:\s*=\s*("[^"]*(?:"|$)|'[^']*(?:'|$)|[^\s"'>]*))?""")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_QUOTED = re.compile(r"""/\*.*?(?:\*/|\Z)|"[^"\n]*"|'[^'\n]*'""", re.S)
+_MARKS = re.compile(r"[{};]")
+_SHOWN_ON = re.compile(r"(?:only\s+)?(?:all|screen)|", re.I)
 _SELECTOR = re.compile(r"[.#]?[A-Za-z_-][\w-]*")
 
+# What of a drawing is not painted; the tags that end one, and the elements in which they do not.
+UNDRAWN = set("defs symbol desc metadata clippath mask pattern marker lineargradient radialgradient filter".split())
+ENDS_FOREIGN = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDS_HTML = set("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+
 
 class Node:
     __slots__ = ("tag", "attrs", "children")
@@ -81,6 +88,11 @@ def _attributes(html: str, at: int) -> tuple[dict[str, str], int]:
     return found, -1
 
 
+def _on_screen(media: str) -> bool:
+    """Whether a list of media queries holds on every screen."""
+    return any(_SHOWN_ON.fullmatch(x.strip()) for x in media.split(","))
+
+
 class Tree:
     """Builds the tree of one page; `hides` collects simple selectors that its styles hide."""
 
@@ -88,6 +100,7 @@ class Tree:
         self.root = Node("html", {})
         self.stack = [self.root]
         self.hides: set[str] = set()
+        self.drawn = False  # whether svg or math has been met
         self.read(html)
 
     def read(self, html: str) -> None:
@@ -122,10 +135,14 @@ class Tree:
                 return
             at = end
             self.start(tag, attrs)
+            if self.drawn and html[end - 2] == "/" and tag not in VOID and any(x.tag in ("svg", "math") for x in self.stack):
+                if self.stack[-1].tag == tag:
+                    self.stack.pop()
+                continue
             if tag in RAW:
                 close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
                 inner = html[at : close.start() if close else size]
-                if tag == "style":
+                if tag == "style" and _on_screen(attrs.get("media", "")):
                     self.style(inner)
                 elif tag == "textarea" or tag == "xmp":
                     self.stack[-1].children.append(unescape(inner) if tag == "textarea" else inner)
@@ -134,9 +151,25 @@ class Tree:
                 at = size if end < 0 else end + 1
 
     def style(self, sheet: str) -> None:
-        for selectors, body in _RULE.findall(sheet):
-            if _HIDES.search(body):
-                self.hides |= {s.strip() for s in selectors.split(",") if _SELECTOR.fullmatch(s.strip())}
+        """Reads the rules that hold on every screen: not those in blocks with other media or conditions."""
+        sheet = _QUOTED.sub(" ", sheet)
+        opened: list[str | None] = []  # selectors, "" in a block whose rules count as those outside, None in what is passed over
+        at = 0
+        for m in _MARKS.finditer(sheet + "}"):
+            part, at = sheet[at : m.start()].strip(), m.end()
+            if m[0] == "{":
+                if opened and opened[-1] != "":
+                    opened.append(None)
+                elif part.startswith("@"):
+                    name, _, rest = part[1:].partition(" ") if " " in part else part[1:].partition("(")
+                    opened.append("" if name.lower() == "layer" or name.lower() == "media" and _on_screen(rest) else None)
+                else:
+                    opened.append(part or None)
+                continue
+            if opened and opened[-1] and _HIDES.search(part):
+                self.hides |= {s.strip() for s in opened[-1].split(",") if _SELECTOR.fullmatch(s.strip())}
+            if m[0] == "}" and opened:
+                opened.pop()
 
     def text(self, text: str) -> None:
         if "&" in text:
@@ -190,6 +223,15 @@ class Tree:
             return
         if self.stack[-1].tag == "head" and tag not in IN_HEAD:
             self.stack.pop()
+        if tag in ("svg", "math"):
+            self.drawn = True
+        elif self.drawn and tag in ENDS_FOREIGN:
+            for k in range(len(self.stack) - 1, 0, -1):
+                if self.stack[k].tag in HOLDS_HTML:
+                    break
+                if self.stack[k].tag in ("svg", "math"):
+                    del self.stack[k:]
+                    break
         if tag in CLOSES_P:
             self.pop_to({"p"}, SCOPE)
         if tag in HEADINGS and self.stack[-1].tag in HEADINGS:
@@ -215,7 +257,9 @@ class Tree:
 
     def push(self, tag: str, attrs: dict[str, str]) -> None:
         node, top = Node(tag, attrs), self.stack[-1]
-        if top.tag in TABLE_PARTS and tag not in TABLE_PARTS and tag not in ("td", "th", "caption", "colgroup", "col", "script", "style", "template", "input", "form"):
+        if tag == "form" and top.tag in TABLE_PARTS:  # it stays empty there: what follows is the table's
+            return
+        if top.tag in TABLE_PARTS and tag not in TABLE_PARTS and tag not in ("td", "th", "caption", "colgroup", "col", "script", "style", "template", "input"):
             self.before_table(node)
         else:
             top.children.append(node)
@@ -297,6 +341,16 @@ def _hidden(node: Node, hides: set[str]) -> bool:
     return bool(hides) and (node.tag in hides or f"#{a.get('id')}" in hides or any(f".{c}" in hides for c in a.get("class", "").split()))
 
 
+def _drawn(node: Node, hides: set[str]) -> list[Node]:
+    """The elements of a drawing that show text."""
+    found = []
+    for c in node.children:
+        if isinstance(c, str) or c.tag in UNDRAWN or c.attrs.get("display") == "none" or _hidden(c, hides):
+            continue
+        found += [c] if c.tag in ("text", "foreignobject") else _drawn(c, hides)
+    return found
+
+
 def _width(text: str) -> int:
     if text.isascii():
         return len(text)
@@ -374,6 +428,11 @@ def _render(page: Page, node: Node, hides: set[str]) -> None:
             for x in "".join(inner.words).removeprefix("\n").rstrip().split("\n"):
                 page.line(x)
             page.block(tag == "pre")
+        elif tag == "svg":
+            for x in _drawn(c, hides):
+                page.space = True
+                _render(page, x, hides)
+                page.space = True
         elif tag == "table":
             page.block(1)
             _table(page, c, hides)
@@ -414,6 +473,9 @@ def _verbatim(page: Page, node: Node, hides: set[str]) -> None:
             page.words.append(c.replace("\r\n", "\n").replace("\r", "\n"))
         elif c.tag == "br":
             page.words.append("\n")
+        elif c.tag == "svg" and not _hidden(c, hides):
+            for x in _drawn(c, hides):
+                _verbatim(page, x, hides)
         elif not _hidden(c, hides):
             _verbatim(page, c, hides)
 
