@@ -61,12 +61,16 @@ def spaced_words(block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special: bool = False) -> None:
+        """special: whether strings of special tokens in a text get those tokens' ids, as is the library's default; such texts go to
+        the library whole."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        added = list(self.tokenizer.get_added_tokens_decoder().values()) if special else []
+        self.added = [t.content.encode() for t in added]
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids with which a spaced word begins
         self.closes = self.opens.copy()  # ids with which a pre-token ends
@@ -83,6 +87,8 @@ class Encoder:
                 break
         else:
             self.cut = None
+        if any(t.normalized for t in added):  # they are met in forms that are not known here
+            self.cut = None
         self._forget(0)
 
     def _each(self, texts: list[str]) -> list[list[int]]:
@@ -176,8 +182,14 @@ class Encoder:
                     yield np.array(self._each([raw[a:b].decode()])[0], np.uint32)
                 continue
             ids, bounds = self._ids(block)
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                yield ids[a:b]
+            raw = block.data.tobytes() if self.added else b""
+            if not any(x in raw for x in self.added):
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                    yield ids[a:b]
+                continue
+            for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                text = raw[block.offsets[k] : block.offsets[k + 1]]
+                yield np.array(self._each([text.decode()])[0], np.uint32) if any(x in text for x in self.added) else ids[a:b]
 
 
 _loaded: dict[str, Encoder] = {}
@@ -186,7 +198,7 @@ _loaded: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """The encoder of a vocabulary file; a worker loads each once."""
     if path not in _loaded:
-        _loaded[path] = Encoder(path)
+        _loaded[path] = Encoder(path, special=True)
     return _loaded[path]
 
 
