@@ -121,10 +121,10 @@ def packed(table: DataFrame, capacity: int, length: str = "length", order: list[
     return ranked(table, length, order or table.columns).withColumn("at", at).select(*table.columns, "at.sequence_id", "at.offset")
 
 
-def cut_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END_ID) -> DataFrame:
-    """(id, piece, start, length, ids) of every document."""
-    each = docs.select(F.col(id_column), F.explode(pieces(F.col(text), path, end, capacity)).alias("x"))
-    return each.select(id_column, "x.piece", "x.start", "x.length", "x.ids")
+def cut_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END_ID, with_ids: bool = True) -> DataFrame:
+    """(id, piece, start, length, ids_crc32, ids) of every document; without ids, they stay in the workers and are null."""
+    each = docs.select(F.col(id_column), F.explode(pieces(F.col(text), path, end, capacity, with_ids)).alias("x"))
+    return each.select(id_column, "x.piece", "x.start", "x.length", "x.ids_crc32", "x.ids")
 
 
 def sequences(placed: DataFrame) -> DataFrame:
@@ -136,8 +136,7 @@ def sequences(placed: DataFrame) -> DataFrame:
 
 def pack_documents(docs: DataFrame, path: str) -> DataFrame:
     small_batches(docs.sparkSession)
-    cut = cut_documents(docs, path)
-    table = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    table = cut_documents(docs, path, with_ids=False).drop("ids")
     return packed(table, CAPACITY, order=["doc_id", "piece"])
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .scratch import small_batches, staged
 from .textscan import Block
-from .tokens import Encoder
+from .tokens import Encoder, _Half
 
 GIANT, CHUNK, LONG_WORD = 32_768, 8_192, 200
 MARK = "▁"
@@ -89,9 +89,7 @@ class PieceEncoder(Encoder):
         self.unknown = min(s for s, _ in self.pieces.values()) - 10
         self.scores[self.lead] = self.unknown
         self.longest = max(map(len, self.pieces))
-        self.known = {}
-        self.flat, self.start, self.size = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-        self.filled = self.entries = 0
+        self.new, self.old, self.added, self.fold = _Half(), None, [], False
         self.single = {" ", *(p for p in self.pieces if len(p) == 1)}
         held = "".join(self.pieces)
         self.alone = np.array([i < 128 and i != 0x20 and chr(i) not in held for i in range(256)])
@@ -105,9 +103,11 @@ class PieceEncoder(Encoder):
         # its lattice search is exact; its default one misses the best segmentation of some words
         return [self.library.nbest_encode(x, nbest_size=2)[0] if s else self.searched(x) for x, s in zip(texts, plain)]
 
-    def _joined(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        each = self._each(segments)
-        return np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64)
+    def _joined(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        each = self._each([raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())])
+        size = np.array([len(x) for x in each], np.int64)
+        return np.array([i for x in each for i in x], np.uint32), np.cumsum(size) - size, size
 
     def text(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -192,6 +192,7 @@ _loaded: dict[str, PieceEncoder] = {}
 
 def model(path: str) -> PieceEncoder:
     if path not in _loaded:
+        _loaded.clear()
         _loaded[path] = PieceEncoder(path)
     return _loaded[path]
 
@@ -285,7 +286,7 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
     states = listed.select("row", F.explode(_states(F.col("ms"))).alias("s")).select("row", "s.*")
     each = chunks.join(states.hint("merge"), ["row", "chunk"]).withColumn("x", _encoded_between(F.col("body"), F.col("last"), F.col("enter"), F.col("leave"), path))
     parts = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("chunk", "x.ids"))).alias("parts"), F.sum("x.score").alias("score"), F.bool_and("x.same").alias("same"))
-    joined = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["ids"]))
+    joined = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["ids"])), ""))  # in one pass, whatever the number of chunks
     large = giants.select(id_column, "row").join(parts.hint("merge"), "row").select(id_column, F.size("parts").alias("n_chunks"), joined.alias("ids"), "score", "same")
     return small.unionByName(large)
 

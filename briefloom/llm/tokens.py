@@ -1,47 +1,65 @@
 """Token ids of whole texts by the public tokenizers library.
 
-Neither kind of vocabulary lets a token reach over the start of a new word.  A text is therefore
-cut into segments at places where the tokenizer surely cuts as well, each distinct segment is
-encoded once by the library, and the ids of a text are gathered from those of its segments by
-numpy.  The memory of known segments is bounded; which ones it holds never changes a result.
-Which of the two cuts suits a vocabulary is asked of the tokenizer when it is loaded; where neither
-does, whole texts go to the library.
+A text is cut into segments at places where the tokenizer surely cuts as well: around words, and within a
+word between ASCII letters, digits and other marks.  Each segment that is not remembered is encoded by the library,
+and the ids of a text are gathered from those of its segments by numpy.  The memory of segments is bounded and keeps
+what is in use; which segments it holds never changes a result.  Which cuts suit a vocabulary is asked of
+the tokenizer when it is loaded; where none does, whole texts go to the library.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .textscan import SPACE, Block, blocks, span_hashes
+from .textscan import LOWER, SPACE, Block, blocks, span_hashes
 
 _GRAPH = np.zeros(256, bool)
 _GRAPH[0x21:0x7F] = True
-_SAMPLE = "Ab1's  a\n\n b. éà !? x\n y"
-_SIMPLE = re.compile(r"[A-Za-z]+|[0-9]|[.,;:!?()-]+")
-_SIMPLE_WORD = re.compile(r"[A-Za-z0-9.,;:!?()-]+")
+#: 1: ASCII letters, 2: digits, 3: other visible ASCII. The apostrophe, which may begin a contraction, is in none.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = 3
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[48:58] = 2
+_CLASS[0x27] = 0
+_SAMPLE = "Ab1's  a\n\n b. éà !? x\n y. a.b(c)d 12ab-34,5 $x 'q' x.'s don't. it.'t(é)ö?\tz1.5%"
+_LETTERS = "A B C D E F G H I J K L M N O P Q R S T U V W X Y Z It'S AB"
 
-#: Segments that a worker remembers, and ids up to which a segment is remembered.
-KNOWN, KNOWN_IDS = 150_000, 30
+#: Bytes of a block of texts; slots of each of the memory's two halves, how many of them fill up, tries for a free one;
+#: ids up to which a segment is remembered, bytes up to which its hash tells it apart, ids that a half holds.
+BLOCK_BYTES, SLOTS, FULL, TRIES, KNOWN_IDS, KNOWN_BYTES, HELD_IDS = 1 << 20, 1 << 20, 1 << 19, 8, 30, 256, 1 << 22
 
 
-def bare_words(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs between ASCII white space; for vocabularies that drop spaces."""
-    solid = ~SPACE[block.data]
-    edge = np.zeros(len(solid) + 1, bool)
-    edge[block.offsets] = True
+def _spans(solid: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of solid bytes that no edge (before a byte) divides."""
     starts = np.flatnonzero(solid & (~np.concatenate([[False], solid[:-1]]) | edge[:-1]))
     ends = np.flatnonzero(solid & (~np.concatenate([solid[1:], [False]]) | edge[1:])) + 1
     return starts, ends
 
 
-def spaced_words(block: Block) -> tuple[np.ndarray, np.ndarray]:
+def _inner(data: np.ndarray) -> np.ndarray:
+    """Where visible ASCII characters of different classes meet (before each byte, and one more)."""
+    kind = _CLASS[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+    return cut
+
+
+def bare_words(block: Block, inner: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs between ASCII white space; for vocabularies that drop spaces."""
+    edge = _inner(block.data) if inner else np.zeros(len(block.data) + 1, bool)
+    edge[block.offsets] = True
+    return _spans(~SPACE[block.data], edge)
+
+
+def spaced_words(block: Block, inner: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of words with the space before them; for byte-level vocabularies.
     A cut is made before white space that follows a visible ASCII character, before a space that such
     a character follows, and between two such characters' single other white space and the second;
@@ -50,8 +68,8 @@ def spaced_words(block: Block) -> tuple[np.ndarray, np.ndarray]:
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     graph, blank = _GRAPH[data], SPACE[data]
-    cut = np.zeros(len(data) + 1, bool)
-    cut[1:-1] = blank[1:] & graph[:-1]
+    cut = _inner(data) if inner else np.zeros(len(data) + 1, bool)
+    cut[1:-1] |= blank[1:] & graph[:-1]
     cut[:-2] |= (data[:-1] == 0x20) & graph[1:]
     if len(data) > 2:
         cut[2:-1] |= graph[:-2] & blank[1:-1] & (data[1:-1] != 0x20) & graph[2:]
@@ -60,136 +78,210 @@ def spaced_words(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return at[:-1], at[1:]
 
 
+def _gathered(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of values from begins, of the given sizes, in a row."""
+    upto = np.cumsum(sizes)
+    total = int(upto[-1]) if len(upto) else 0
+    return values[np.repeat(begins - (upto - sizes), sizes) + np.arange(total)]
+
+
+class _Half:
+    """Ids of segments by hash: an open table with a few tries for each hash."""
+
+    def __init__(self) -> None:
+        self.keys, self.begin, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.uint8)
+        self.flat, self.filled, self.entries = np.zeros(1 << 16, np.uint32), 0, 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash, or -1."""
+        at = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        key = self.keys[at]
+        found = np.where(key == hashes, at, -1)
+        left = np.flatnonzero((found < 0) & (key != 0))
+        for step in range(1, TRIES):
+            if not len(left):
+                break
+            slot = (at[left] + step) & (SLOTS - 1)
+            key = self.keys[slot]
+            hit = key == hashes[left]
+            found[left[hit]] = slot[hit]
+            left = left[~hit & (key != 0)]
+        return found
+
+    def hold(self, ids: np.ndarray) -> int:
+        """Appends ids; returns where they begin."""
+        while self.filled + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.filled : self.filled + len(ids)] = ids
+        self.filled += len(ids)
+        return self.filled - len(ids)
+
+    def remember(self, hashes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """Enters distinct hashes that are not there yet; the few that find no free slot are not remembered."""
+        left = np.flatnonzero((size <= KNOWN_IDS) & (hashes != 0))
+        at = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        for step in range(TRIES):
+            slot = (at[left] + step) & (SLOTS - 1)
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = hashes[left[free]]
+            own = free & (self.keys[slot] == hashes[left])
+            self.begin[slot[own]], self.size[slot[own]] = begin[left[own]], size[left[own]]
+            self.entries += int(own.sum())
+            left = left[~own]
+
+
 class Encoder:
-    def __init__(self, path: str, special: bool = False) -> None:
-        """special: whether strings of special tokens in a text get those tokens' ids, as is the library's default; such texts go to
-        the library whole."""
+    def __init__(self, path: str) -> None:
+        """Strings of special tokens in a text get those tokens' ids, as is the library's default; such texts go to the library whole."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not special
-        added = list(self.tokenizer.get_added_tokens_decoder().values()) if special else []
-        self.added = [t.content.encode() for t in added]
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = [t.content.encode() for t in added.values()]
+        #: A special token divides a text into parts that the library encodes each by itself.
+        plain = [(i, t.content) for i, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.mark = plain[0] if plain else None
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids with which a spaced word begins
         self.closes = self.opens.copy()  # ids with which a pre-token ends
         for token, i in vocabulary.items():
             self.opens[i], self.closes[i] = token.startswith("Ġ"), token.endswith("</w>")
-        self.known: dict[int, int] = {}
-        self.flat, self.start, self.size = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-        self.filled = self.entries = 0
-        self.cut = None
+        lower, upper = self._each([_LETTERS.lower(), _LETTERS])
+        self.fold = lower == upper
+        self.new, self.old = _Half(), None
         whole = np.array(self._each([_SAMPLE])[0], np.uint32)
-        for cut in (bare_words, spaced_words):
-            self.cut = cut
+        self.cut: Callable | None = None
+        for spaced, inner in ((False, True), (False, False), (True, True), (True, False)):
+            self.spaced, self.cut = spaced, partial(spaced_words if spaced else bare_words, inner=inner)
             if np.array_equal(self._ids(next(blocks(pa.array([_SAMPLE]))))[0], whole):
                 break
         else:
             self.cut = None
-        if any(t.normalized for t in added):  # they are met in forms that are not known here
+        if any(t.normalized for t in added.values()):  # they are met in forms that are not known here
             self.cut = None
-        self._forget(0)
+        self.new, self.old = _Half(), None
 
     def _each(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all segments in a row, and how many each has.  Segments of a plain form are encoded as one text, whose ids
-        tell where each ends; the others one by one."""
-        if self.cut is bare_words:
-            plain = [bool(_SIMPLE_WORD.fullmatch(x)) for x in segments]
-        else:
-            plain = [len(x) > 1 and x[0] == " " and "!" <= x[1] <= "~" and " " not in x[1:] for x in segments]
-        own = [x for x, p in zip(segments, plain) if p]
-        ids = np.array(self._each([(" " if self.cut is bare_words else "").join(own)])[0] if own else [], np.uint32)
-        if self.cut is bare_words:
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            upto = np.cumsum([len(_SIMPLE.findall(x)) for x in own], dtype=np.int64)
-            fits = not own or len(ends) == upto[-1]
-            bounds = np.concatenate([[0], ends[upto - 1]]) if fits and own else np.zeros(1, np.int64)
-        else:
-            starts = np.flatnonzero(self.opens[ids])
-            fits = len(starts) == len(own)
-            bounds = np.concatenate([starts, [len(ids)]])
-        if not fits:
-            plain = [False] * len(segments)
-        others = self._each([x for x, p in zip(segments, plain) if not p])
-        sizes, at, parts, one, many = np.zeros(len(segments), np.int64), 0, [], 0, 0
-        for i, p in enumerate(plain):  # runs of plain segments stay together
-            if p:
-                sizes[i] = bounds[one + 1] - bounds[one]
-                one += 1
-            else:
-                parts += [ids[at : bounds[one]], np.array(others[many], np.uint32)]
-                at, sizes[i], many = bounds[one], len(others[many]), many + 1
-        if any(plain):
-            parts.append(ids[at:])
-        return np.concatenate(parts) if parts else ids[:0], sizes
-
-    def _add(self, segments: list[str]) -> None:
-        ids, sizes = self._joined(segments)
-        while self.filled + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.entries + len(sizes) > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        to = slice(self.entries, self.entries + len(sizes))
-        self.flat[self.filled : self.filled + len(ids)] = ids
-        self.size[to] = sizes
-        self.start[to] = self.filled + np.concatenate([[0], np.cumsum(sizes[:-1])]) if len(sizes) else 0
-        self.filled, self.entries = self.filled + len(ids), to.stop
+    def _row(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, between: str) -> str:
+        """The spans as one text, with something between each two."""
+        mark = np.frombuffer(between.encode(), np.uint8)
+        sizes = ends - starts
+        begins = np.concatenate([[0], np.cumsum(sizes + len(mark))])[:-1]
+        out = np.tile(mark, -(-int(sizes.sum() + len(mark) * len(sizes)) // max(1, len(mark)))) if len(mark) else np.zeros(int(sizes.sum()), np.uint8)
+        out = out[: int(sizes.sum() + len(mark) * len(sizes))]
+        if len(mark):
+            at = np.repeat(begins + sizes, len(mark)) + np.tile(np.arange(len(mark)), len(sizes))
+            out[at] = np.tile(mark, len(sizes))
+        out[np.repeat(begins, sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = _gathered(data, starts, sizes)
+        return out.tobytes().decode()
+
+    def _plain(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which segments can be told apart in a joined text by their ids alone, and how many pre-tokens those have."""
+        count = lambda mask: np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+        if self.spaced:  # one space, at the start, before a visible character: each opens with an id of its own
+            blanks = count(SPACE[data])
+            second = data[np.minimum(starts + 1, len(data) - 1)]
+            return (ends - starts > 1) & (data[starts] == 0x20) & _GRAPH[second] & (blanks[ends] - blanks[starts] == 1), np.ones(len(starts), np.int64)
+        kind = _CLASS[data]
+        known = count(kind > 0)
+        new = count(np.concatenate([[True], kind[1:] != kind[:-1]]) | (kind == 2))
+        return known[ends] - known[starts] == ends - starts, new[ends] - new[starts + 1] + 1
 
-    def _forget(self, entries: int) -> None:
-        """Keeps the first entries only."""
-        self.entries, self.filled = entries, int(self.start[entries - 1] + self.size[entries - 1]) if entries else 0
-        if not entries:
-            self.known.clear()
+    def _joined(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all segments (in some order) in a row, and where each segment's begin and how many it has."""
+        plain, several = self._plain(data, starts, ends)
+        parts, begin, size = [], np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        filled = 0
+        own = np.flatnonzero(plain)
+        if len(own):
+            ids = np.array(self._each([self._row(data, starts[own], ends[own], "" if self.spaced else " ")])[0], np.uint32)
+            if self.spaced:
+                bounds = np.concatenate([np.flatnonzero(self.opens[ids]), [len(ids)]])
+            else:
+                closed = np.concatenate([[0], np.flatnonzero(self.closes[ids]) + 1])
+                upto = np.concatenate([[0], np.cumsum(several[own])])
+                bounds = closed[upto] if len(closed) == upto[-1] + 1 else closed[:0]
+            if len(bounds) == len(own) + 1:
+                begin[own], size[own] = bounds[:-1], np.diff(bounds)
+                parts.append(ids)
+                filled = len(ids)
+            else:
+                plain = np.zeros(len(starts), bool)
+        rest = np.flatnonzero(~plain)
+        if len(rest):
+            ids = np.zeros(0, np.uint32)
+            if self.mark:
+                ids = np.array(self._each([self._row(data, starts[rest], ends[rest], self.mark[1])])[0], np.uint32)
+            at = np.flatnonzero(ids == self.mark[0]) if self.mark else ids
+            if len(at) == len(rest):
+                bounds = np.concatenate([[0], at + 1])
+                begin[rest], size[rest] = filled + bounds[:-1], np.diff(bounds) - 1
+            else:
+                raw = data.tobytes()
+                each = self._each([raw[a:b].decode() for a, b in zip(starts[rest].tolist(), ends[rest].tolist())])
+                size[rest] = [len(x) for x in each]
+                begin[rest] = filled + np.cumsum(size[rest]) - size[rest]
+                ids = np.concatenate([np.array(x, np.uint32) for x in each])
+            parts.append(ids)
+        return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), begin, size
 
     def _ids(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a block in a row, and where each text's begin (one entry more than texts)."""
         starts, ends = self.cut(block)
-        hashes, first, where = np.unique(span_hashes(block.data, starts, ends), return_index=True, return_inverse=True)
-        get = self.known.get
-        rows = np.array([get(h, -1) for h in hashes.tolist()], np.int64)
-        new = np.flatnonzero(rows < 0)
-        before = self.entries
-        if len(new):
-            raw = block.data.tobytes()
-            a, b = starts[first[new]].tolist(), ends[first[new]].tolist()
-            self._add([raw[i:j].decode() for i, j in zip(a, b)])
-            rows[new] = np.arange(before, self.entries)
-        sizes, begins = self.size[rows][where], self.start[rows][where]
-        out = np.zeros(len(where) + 1, np.int64)
-        np.cumsum(sizes, out=out[1:])
-        ids = self.flat[np.repeat(begins - out[:-1], sizes) + np.arange(out[-1])]
-        bounds = out[np.searchsorted(starts, block.offsets)]
-        if len(new):
-            if before + len(new) <= KNOWN:
-                short = self.size[before : self.entries] <= KNOWN_IDS
-                keep = len(new) if short.all() else int(np.flatnonzero(~short)[0])
-            else:
-                keep = max(0, KNOWN - before)
-            self.known.update(zip(hashes[new[:keep]].tolist(), range(before, before + keep)))
-            self._forget(before + keep)
-        return ids, bounds
+        data = LOWER[block.data] if self.fold else block.data
+        hashes = span_hashes(data, starts, ends)
+        hashes[ends - starts > KNOWN_BYTES] = 0
+        slot = self.new.find(hashes)
+        begin, size = self.new.begin[slot].astype(np.int64), self.new.size[slot].astype(np.int64)
+        missed = np.flatnonzero((slot < 0) | (hashes == 0))
+        if len(missed):
+            key = np.where(hashes[missed] == 0, starts[missed].astype(np.uint64), hashes[missed])  # a long segment is its own
+            _, first, where = np.unique(key, return_index=True, return_inverse=True)
+            first = missed[first]
+            found_begin, found_size = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+            unknown = np.ones(len(first), bool)
+            if self.old is not None:
+                held = self.old.find(hashes[first])
+                known = np.flatnonzero((held >= 0) & (hashes[first] != 0))
+                slots = held[known]
+                found_size[known] = self.old.size[slots]
+                ids = _gathered(self.old.flat, self.old.begin[slots].astype(np.int64), found_size[known])
+                found_begin[known] = self.new.hold(ids) + np.cumsum(found_size[known]) - found_size[known]
+                unknown[known] = False
+            fresh = np.flatnonzero(unknown)
+            if len(fresh):
+                ids, at, sizes = self._joined(data, starts[first[fresh]], ends[first[fresh]])
+                found_begin[fresh], found_size[fresh] = self.new.hold(ids) + at, sizes
+            begin[missed], size[missed] = found_begin[where], found_size[where]
+            if self.new.filled < HELD_IDS:
+                self.new.remember(hashes[first], found_begin, found_size)
+        out = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(size, out=out[1:])
+        ids = _gathered(self.new.flat, begin, size)
+        if self.new.filled >= HELD_IDS:
+            self.new, self.old = _Half(), None if self.new.filled > 2 * HELD_IDS else self.new
+        elif self.new.entries >= FULL:
+            self.new, self.old = _Half(), self.new
+        return ids, out[np.searchsorted(starts, block.offsets)]
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text; null counts as empty."""
-        for block in blocks(column):
-            if self.cut is None:
-                raw = block.data.tobytes()
-                for a, b in zip(block.offsets[:-1], block.offsets[1:]):
-                    yield np.array(self._each([raw[a:b].decode()])[0], np.uint32)
-                continue
-            ids, bounds = self._ids(block)
-            raw = block.data.tobytes() if self.added else b""
-            if not any(x in raw for x in self.added):
-                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                    yield ids[a:b]
-                continue
-            for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-                text = raw[block.offsets[k] : block.offsets[k + 1]]
-                yield np.array(self._each([text.decode()])[0], np.uint32) if any(x in text for x in self.added) else ids[a:b]
+        for block in blocks(column, BLOCK_BYTES):
+            raw = block.data.tobytes() if self.added or self.cut is None else b""
+            special = any(x in raw for x in self.added)
+            if self.cut is not None:
+                ids, bounds = self._ids(block)
+                bounds = bounds.tolist()
+            for k in range(len(block.offsets) - 1):
+                if self.cut is None or special:
+                    text = raw[block.offsets[k] : block.offsets[k + 1]]
+                    if self.cut is None or any(x in text for x in self.added):
+                        yield np.array(self._each([text.decode()])[0], np.uint32)
+                        continue
+                yield ids[bounds[k] : bounds[k + 1]]
 
 
 _loaded: dict[str, Encoder] = {}
@@ -198,7 +290,8 @@ _loaded: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """The encoder of a vocabulary file; a worker loads each once."""
     if path not in _loaded:
-        _loaded[path] = Encoder(path, special=True)
+        _loaded.clear()
+        _loaded[path] = Encoder(path)
     return _loaded[path]
 
 
@@ -209,20 +302,22 @@ def encoded(column: pa.Array, path: str, end: int) -> Iterator[bytes]:
         yield ids.astype("<u4", copy=False).tobytes() + tail
 
 
-def pieces(text: Column, path: str, end: int, capacity: int) -> Column:
-    """The ids of encoded() in pieces of at most capacity ids: an array of (piece, start, length, ids)."""
-    kind = "array<struct<piece: int, start: bigint, length: bigint, ids: binary>>"
+def pieces(text: Column, path: str, end: int, capacity: int, with_ids: bool = True) -> Column:
+    """The ids of encoded() in pieces of at most capacity ids: an array of (piece, start, length, ids_crc32, ids).
+    Without ids, the last is null and no ids leave the worker."""
+    kind = "array<struct<piece: int, start: bigint, length: bigint, ids_crc32: bigint, ids: binary>>"
 
     def cut(column: pa.Array) -> pa.Array:
-        ends, rows = [0], ([], [], [], [])
+        ends, rows = [0], ([], [], [], [], [])
         for x in encoded(column, path, end):
             step = 4 * capacity
             for k in range(0, len(x), step):
-                for to, value in zip(rows, (k // step, k // 4, min(step, len(x) - k) // 4, x[k : k + step])):
+                own = x[k : k + step]
+                for to, value in zip(rows, (k // step, k // 4, len(own) // 4, zlib.crc32(own), own if with_ids else None)):
                     to.append(value)
             ends.append(len(rows[0]))
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        made = pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip(rows, types)], names=["piece", "start", "length", "ids"])
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        made = pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip(rows, types)], names=["piece", "start", "length", "ids_crc32", "ids"])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made)
 
     return F.arrow_udf(cut, kind)(text)

@@ -144,7 +144,6 @@ def test_token_ids_equal_the_library(name, odd_texts):
     from tokenizers import Tokenizer
 
     direct = Tokenizer.from_file(public_tokenizers.path(name))
-    direct.encode_special_tokens = True
     texts = [t or "" for t in odd_texts] + random_mixed() + ["<|endoftext|> x", "I'll don't"]
     own = tokens.Encoder(public_tokenizers.path(name))
     assert own.cut is not None
