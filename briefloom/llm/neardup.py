@@ -3,7 +3,7 @@
 One hash function h maps the shingles of a document to 64-bit values; the document's set is
 kept as its values, its sketch is the k least of them.
 
-1. Documents with the same set (128-bit fingerprint of all values and their number) are one
+1. Documents with the same set (size and 128-bit BLAKE2b digest of all its values in order) are one
    class; only its representative, the least id, goes on.
 2. Inverted lists: every retained value points to the representatives that retain it.  Two sets
    with similarity s share a value of their union's bottom-k with probability s each, so their
@@ -11,25 +11,27 @@ kept as its values, its sketch is the k least of them.
    probability under 1e-8; a set of up to s*k values is its own sketch, and the bound is exact).
    With the values of each sketch in a common order, rarest first, two such sketches meet in
    the first k - least_overlap + 1 of each (prefix filtering, Chaudhuri et al. 2006): only these enter lists.
+   A list is divided where its members' sizes leave a gap that no similar pair bridges.
 3. Of each pair that meets, the union's sketch (k least of both) estimates the similarity;
    pairs under the bound of step 2 go.
 4. The full sets of the rest are compared exactly.
 
-A list of n members is not expanded into its n^2 pairs.  First every member meets a few leaders
-of its lists (the most overlapping ones); what is confirmed is joined into components.
-Then only members of different components can add anything.  Long lists that still have several are put
-together by their leader, so that a group is one family however many lists it shares, and a family's
-sets are compared exactly, block by block: a pair of blocks of bounded size is one row group, and only the
-links that join something leave it.  In short lists pairs of different components meet, best estimates
-first, until no pair is left.  Both leave out no pair, and pairs within a component change nothing.
+A list of n members is not expanded into its n^2 pairs.  First every member meets the leaders
+of its lists, one comparison each, and what is confirmed is joined into components: a group of copies costs its
+members.  Then only members of different components can add anything.  Long lists that still have
+several are put together by their leader, so that a group is one family however many lists it shares; members outside
+the family's largest component are compared exactly with all its members, in blocks of bounded size that are
+row groups of their own, and only the links that join something leave a block.  In short lists the pairs of
+different components meet.  Both leave out no pair, and pairs within a component change nothing.
 
 Null, empty and blank texts have an empty set and are linked with nothing.  A text with fewer
 words than a shingle has its whole word sequence as one.  Rows repeated with one id
-are copies of one document; each is returned.  An empty table gives an empty result.
+are copies of one document; each is returned.  A null id is an id of its own that sorts first.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -40,17 +42,19 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import hinted, small_batches, staged
-from .textscan import blocks, mixed, windows, words
+from .textscan import blocks, windows, words
 
 K = 64
 #: Rows of an id table that may be broadcast; beyond, the join is a shuffle.
 BROADCAST_ROWS = 500_000
-#: Leaders that a member meets at first, lists that it must share with them, then candidates each in the rounds that follow; None: all that are left.
-LEADERS, LEAST_LISTS, ROUNDS = 3, 3, (6, None)
+#: Leaders that a member meets, and lists that it must share with them.
+LEADERS, LEAST_LISTS = 2, 3
 
-#: Members times components from which a list is compared in blocks, and members of a block.
-LONG_LIST, BLOCK_MEMBERS = 1_000, 256
+#: Members times members outside the largest component from which a list is compared in blocks; members and values of a block.
+LONG_LIST, BLOCK_MEMBERS, BLOCK_VALUES = 1_000, 256, 1 << 20
 
+#: Stands for a null id within.
+_NO_ID = -(1 << 63)
 _SIGNATURE = "struct<n_shingles: bigint, hi: bigint, lo: bigint, sketch: array<bigint>>"
 
 
@@ -84,17 +88,17 @@ def block_sets(block, shingle: int) -> Iterator[np.ndarray]:
 
 def signatures(text: Column, shingle: int, k: int) -> Column:
     def signed(column: pa.Array) -> pa.Array:
-        sizes, high, low, least = [], [], [], []
+        sizes, digests, least = [], [], []
         for block in blocks(column):
             for values in block_sets(block, shingle):
                 sizes.append(len(values))
-                high.append(mixed(values + np.uint64(7)).sum(dtype=np.uint64))
-                low.append(mixed(values ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
+                digests.append(hashlib.blake2b(values, digest_size=16).digest())
                 least.append(values[:k])
         ends = np.cumsum([0, *map(len, least)])
         flat = np.concatenate(least) if least else np.zeros(0, np.uint64)
         sketch = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((flat ^ np.uint64(1 << 63)).view(np.int64)))
-        longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (high, low)]
+        halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        longs = [pa.array(np.ascontiguousarray(halves[:, i])) for i in range(2)]
         return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), *longs, sketch], names=["n_shingles", "hi", "lo", "sketch"])
 
     return F.arrow_udf(signed, _SIGNATURE)(text)
@@ -139,8 +143,14 @@ def union_overlap(left: Column, right: Column, k: int) -> Column:
     return F.arrow_udf(estimated, "int")(left, right)
 
 
+def _size_class(size: str, percent: int) -> tuple[Column, int]:
+    """A class that ascends with the size, and by how many classes similar sets differ at most."""
+    step = math.log(1.05)
+    return F.floor(F.log(F.col(size).cast("double")) / step).cast("int"), int(math.log(100 / percent) / step) + 2
+
+
 def _lists(reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """(value, id, size, weight) of the prefix of each sketch, for values that two sketches or more retain.
+    """(list, id, size, weight) of the prefix of each sketch, for values that two sketches or more of like size retain.
     weight: how often the sketch's values are retained in all; what many others resemble weighs most of its group."""
     each = reps.select("id", F.col("n_shingles").alias("size"), F.size("sketch").alias("n"), F.explode("sketch").alias("value"))
     several = each.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
@@ -149,7 +159,15 @@ def _lists(reps: DataFrame, k: int, percent: int) -> DataFrame:
     placed = met.select("id", "value", "size", "n", F.count("*").over(own).alias("shared"), F.sum("df").over(own).alias("weight"), F.row_number().over(own.orderBy("df", "value")).alias("place"))
     bound = F.array(*[F.lit(n - least_overlap(n, k, percent) + 1 if n else 0) for n in range(k + 1)])
     alone = F.col("n") - F.col("shared")  # values that only this sketch has come first of all
-    return placed.where(F.col("place") + alone <= F.element_at(bound, F.col("n") + 1)).select("id", "value", "size", "weight")
+    kept = placed.where(F.col("place") + alone <= F.element_at(bound, F.col("n") + 1))
+    kind, apart = _size_class("size", percent)
+    kept = staged(kept.select("id", "value", "size", "weight", kind.alias("kind")), "prefixes")
+    kinds = kept.groupBy("value", "kind").agg(F.count("*").alias("c"))
+    up = Window.partitionBy("value").orderBy("kind")  # a few hundred classes at most
+    gap = F.coalesce(F.col("kind") - F.lag("kind").over(up) > apart, F.lit(True))
+    runs = kinds.withColumn("run", F.sum(F.when(gap, F.col("kind"))).over(up))  # grows with every gap
+    runs = runs.withColumn("members", F.sum("c").over(Window.partitionBy("value", "run"))).where("members > 1").select("value", "kind", "run")
+    return kept.join(runs.hint("merge"), ["value", "kind"]).select(F.xxhash64("value", "run").alias("list"), "id", "size", "weight")
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
@@ -181,131 +199,135 @@ def _sizes_fit(x: str, y: str, percent: int) -> Column:
 
 
 def _leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Of each member of a list and the list's leader, in how many lists they meet; LEAST_LISTS at least.
-    The leader is the member with the largest weight: the text that the others were made from, where there is one."""
-    leader = lists.groupBy("value").agg(F.max(F.struct("weight", "id", "size")).alias("first"), F.count("*").alias("members"))
-    leader = leader.where("members > 1").select("value", F.col("first.id").alias("lead"), F.col("first.size").alias("lead_size"))
-    met = lists.join(leader.hint("merge"), "value").where((F.col("id") != F.col("lead")) & _sizes_fit("size", "lead_size", percent))
-    pairs = met.groupBy(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).agg(F.count("*").alias("lists"))
-    return pairs.where(F.col("lists") >= LEAST_LISTS)
-
-
-def _most(pairs: DataFrame, by: str, most: int) -> DataFrame:
-    """Of pairs (a, b): for each a and each b the `most` pairs with the highest `by`.
-    Both ends share a pair; a hub's own choice is bounded by grouping under the other end."""
-    order = [F.col(by).desc(), F.xxhash64("a", "b")]
-    pick = F.row_number().over(Window.partitionBy("b").orderBy(*order))
-    return pairs.withColumn("place", pick).where(F.col("place") <= most).drop("place")
+    """(a, b): each member of lists with the leaders that it meets in most lists.
+    The leader of a list is the member with the largest weight: the text that the others were made from, where there is one.
+    A member's choice is made among the leaders of its own lists, k at most; a leader's members are without limit."""
+    leader = lists.groupBy("list").agg(F.max(F.struct("weight", "id", "size")).alias("first"))
+    leader = leader.select("list", F.col("first.id").alias("lead"), F.col("first.size").alias("lead_size"))
+    met = lists.join(leader.hint("merge"), "list").where((F.col("id") != F.col("lead")) & _sizes_fit("size", "lead_size", percent))
+    pairs = met.groupBy(F.col("id").alias("member"), "lead").agg(F.count("*").alias("lists")).where(F.col("lists") >= LEAST_LISTS)
+    place = F.row_number().over(Window.partitionBy("member").orderBy(F.desc("lists"), "lead"))
+    chosen = pairs.withColumn("place", place).where(F.col("place") <= LEADERS)
+    return chosen.select(F.least("member", "lead").alias("a"), F.greatest("member", "lead").alias("b")).distinct()
 
 
 def _mixed(lists: DataFrame, comps: DataFrame) -> DataFrame:
     """lists that have members of several components, with each member's component, the list's largest one, its leader,
     and whether the list is long."""
     of = lists.join(comps.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    counted = of.groupBy("value", "component").agg(F.count("*").alias("c"), F.max(F.struct("weight", "id")).alias("first"))
-    whole = counted.groupBy("value").agg(F.count("*").alias("kinds"), F.sum("c").alias("members"), F.max_by("component", F.struct("c", "component")).alias("main"), F.max("first").alias("first"))
-    several = whole.where("kinds > 1").select("value", "main", F.col("first.id").alias("lead"), (F.col("kinds") * F.col("members") > LONG_LIST).alias("long"))
-    return staged(of.join(several.hint("merge"), "value"), "lists")
+    counted = of.groupBy("list", "component").agg(F.count("*").alias("c"), F.max(F.struct("weight", "id")).alias("first"))
+    whole = counted.groupBy("list").agg(F.count("*").alias("kinds"), F.sum("c").alias("members"), F.max(F.struct("c", "component")).alias("main"), F.max("first").alias("first"))
+    long = (F.col("members") - F.col("main.c")) * F.col("members") > LONG_LIST
+    several = whole.where("kinds > 1").select("list", F.col("main.component").alias("main"), F.col("first.id").alias("lead"), long.alias("long"))
+    return staged(of.join(several.hint("merge"), "list"), "lists")
+
+
+def overlaps(first: list[np.ndarray], second: list[np.ndarray], step: int = 1 << 12) -> np.ndarray:
+    """How many values each set of the first has in common with each of the second: the product of their incidence matrices,
+    over the values that both sides have, `step` of them at a time."""
+    common = np.intersect1d(np.unique(np.concatenate(first)), np.unique(np.concatenate(second)), assume_unique=True)
+    out = np.zeros((len(first), len(second)), np.int64)
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        values = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(common, values), max(0, len(common) - 1))
+        held = common[at] == values if len(common) else np.zeros(len(values), bool)
+        row, at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[held], at[held]
+        order = np.argsort(at, kind="stable")
+        return row[order], at[order]
+
+    sides = [places(first), places(second)]
+    for low in range(0, len(common), step):
+        dense = []
+        for (row, at), sets in zip(sides, (first, second)):
+            part = slice(*np.searchsorted(at, [low, low + step]))
+            matrix = np.zeros((len(sets), step), np.float32)
+            matrix[row[part], at[part] - low] = 1
+            dense.append(matrix)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
 
 
 def _joining_links(percent: int):
-    """Of two blocks of sets (rows with block, id, component, values; one block with itself, if there is one): links between
+    """Of a block of sets (rows with side 0, id, component, values) and another (side 1): links between
     components, as few as join what can be joined."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        blocks_of = table["block"].to_numpy()
-        ids, comps = table["id"].to_numpy(), table["component"].to_numpy()
+        side = table["side"].to_numpy()
+        ids, comps = table["id"].to_pylist(), table["component"].to_pylist()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["values"]]
-        sizes = np.array([len(x) for x in sets], np.int64)
-        first = np.flatnonzero(blocks_of == blocks_of.min())
-        second = np.flatnonzero(blocks_of == blocks_of.max())
-        values = np.concatenate([sets[i] for i in second])
-        owner = np.repeat(second, sizes[second])
-        order = np.argsort(values, kind="stable")
-        values, owner = values[order], owner[order]
-        parent: dict[int, int] = {}
-
-        def root(c: int) -> int:
-            while parent.setdefault(c, c) != c:
-                parent[c] = c = parent[parent[c]]
-            return c
-
+        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         a, b = [], []
-        for i in first.tolist():
-            low, high = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
-            n = high - low
-            at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            common = np.bincount(owner[at], minlength=len(sets))
-            near = np.flatnonzero((common > 0) & (100 * common >= percent * (sizes[i] + sizes - common)))
-            for j in near.tolist():
-                x, y = root(int(comps[i])), root(int(comps[j]))
+        if len(first) and len(second):
+            common = overlaps([sets[i] for i in first], [sets[j] for j in second])
+            sizes = np.array([len(x) for x in sets], np.int64)
+            near = (common > 0) & (100 * common >= percent * (sizes[first][:, None] + sizes[second][None, :] - common))
+            parent: dict = {}
+
+            def root(c):
+                while parent.setdefault(c, c) != c:
+                    parent[c] = c = parent[parent[c]]
+                return c
+
+            for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
+                i, j = first[i], second[j]
+                x, y = root(comps[i]), root(comps[j])
                 if x != y:
-                    parent[max(x, y)] = min(x, y)
+                    parent[y] = x
                     a.append(min(ids[i], ids[j]))
                     b.append(max(ids[i], ids[j]))
-        return pa.table([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], names=["a", "b"])
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
 def _family_links(mixed_lists: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between components that meet in a long list."""
-    members = staged(mixed_lists.where("long").select("lead", "id", "component").distinct(), "families")
-    sizes = members.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("n"))
+    """Confirmed links (a, b) between components that meet in a long list: of each family (the long lists of one leader) the members
+    outside its largest component against all its members."""
+    members = staged(mixed_lists.where("long").select("lead", "id", "size", "component").distinct(), "families")
+    by_component = members.groupBy("lead", "component").agg(F.count("*").alias("c"), F.sum("size").alias("s"))
+    blocks_for = lambda c, s: F.ceil(F.greatest(c / BLOCK_MEMBERS, s / BLOCK_VALUES, F.lit(1))).cast("int")
+    family = by_component.groupBy("lead").agg(F.max(F.struct("c", "component", "s")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    family = family.select("lead", F.col("main.component").alias("main"), blocks_for(F.col("c"), F.col("s")).alias("n_all"), blocks_for(F.col("c") - F.col("main.c"), F.col("s") - F.col("main.s")).alias("n_other"))
     sets = _sets(members.select("id").distinct(), texts, shingle)
-    placed = members.join(sizes.hint("merge"), "lead").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("n") - 1)
-    dealt = placed.withColumn("other", F.explode(others)).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    rows = dealt.join(sets.hint("merge"), "id").select("lead", "i", "j", "block", "id", "component", "values")
+    placed = members.join(family.hint("merge"), "lead")
+    spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    others = placed.where("component <> main").select("lead", "id", "component", F.lit(0).alias("side"), spread("n_other").alias("i"), each("n_all").alias("j"))
+    whole = placed.select("lead", "id", "component", F.lit(1).alias("side"), each("n_other").alias("i"), spread("n_all").alias("j"))
+    rows = others.union(whole).join(sets.hint("merge"), "id").select("lead", "i", "j", "side", "id", "component", "values")
     return staged(rows.groupBy("lead", "i", "j").applyInArrow(_joining_links(percent), "a bigint, b bigint"), "links")
 
 
 def _residual(mixed_lists: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of members of short lists whose components differ.
     The largest component of a list is never paired with itself, so a group costs its members, not their square."""
-    held = mixed_lists.where("NOT long")
-    left = held.where("component <> main").select("value", F.col("id").alias("x"), F.col("size").alias("sx"), F.col("component").alias("cx"), "main")
-    right = held.select("value", F.col("id").alias("y"), F.col("size").alias("sy"), F.col("component").alias("cy")).hint("merge")
-    met = left.join(right, "value").where("cx <> cy and (cy = main or x < y)").where(_sizes_fit("sx", "sy", percent))
+    left = mixed_lists.where("component <> main").select("list", F.col("id").alias("x"), F.col("size").alias("sx"), F.col("component").alias("cx"), "main")
+    right = mixed_lists.select("list", F.col("id").alias("y"), F.col("size").alias("sy"), F.col("component").alias("cy")).hint("merge")
+    met = left.join(right, "list").where("cx <> cy and (cy = main or x < y)").where(_sizes_fit("sx", "sy", percent))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def links(texts: DataFrame, reps: DataFrame, shingle: int, percent: int, k: int) -> DataFrame:
     """(id, component) of every representative (id, n_shingles, sketch) that is linked with another."""
     lists = staged(_lists(reps, k, percent), "lists")
-    first = _estimated(_most(_leader_pairs(lists, percent), "lists", LEADERS), reps, k, percent)
-    edges = _confirmed(first.select("a", "b"), texts, shingle, percent)
-    comps = staged(components(edges), "components")
-    done = edges
+    first = _estimated(_leader_pairs(lists, percent), reps, k, percent)
+    done = _confirmed(first.select("a", "b"), texts, shingle, percent)
+    comps = staged(components(done), "components")
     mixed_lists = _mixed(lists, comps)
+    short = mixed_lists.where("NOT long")
     if not mixed_lists.where("long").isEmpty():
         done = done.union(_family_links(mixed_lists, texts, shingle, percent))
         comps = staged(components(done), "components")
-        mixed_lists = _mixed(lists.join(mixed_lists.where("NOT long").select("value").distinct().hint("merge"), "value", "left_semi"), comps)
-        mixed_lists = mixed_lists.withColumn("long", F.lit(False))
-    tried = None
-    for most in ROUNDS:
-        if tried is None:
-            pairs = staged(_estimated(_residual(mixed_lists, percent), reps, k, percent), "candidates")
-        else:
-            ends = lambda x: comps.toDF(x, f"c{x}").hint("merge")
-            apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
-            pairs = staged(tried.join(ends("a"), "a", "left").join(ends("b"), "b", "left").where(apart).select("a", "b", "estimate"), "candidates")
-        if pairs.isEmpty():
-            break
-        chosen = pairs if most is None else staged(_most(pairs, "estimate", most), "chosen")
-        new = _confirmed(chosen.select("a", "b"), texts, shingle, percent)
-        tried = pairs.join(chosen.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-        if not new.isEmpty():
-            done = done.union(new)
-            comps = staged(components(done), "components")
-    return comps
+        short = _mixed(short.select("list", "id", "size", "weight"), comps)
+    new = _confirmed(_estimated(_residual(short, percent), reps, k, percent).select("a", "b"), texts, shingle, percent)
+    return comps if new.isEmpty() else staged(components(done.union(new)), "components")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """id, n_shingles, component_id (least id reachable) and kept of every document."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text).alias("body"))
+    texts = docs.select(F.coalesce(F.col(id_column).cast("bigint"), F.lit(_NO_ID)).alias("id"), F.col(text).alias("body"))
     signed = staged(texts.select("id", signatures(F.col("body"), shingle, k).alias("s")).select("id", "s.*"), "signatures")
     full = signed.where("n_shingles > 0")
     classes = staged(full.groupBy("n_shingles", "hi", "lo").agg(F.min("id").alias("rep")), "classes")
@@ -316,14 +338,15 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     comps = links(texts, reps, shingle, percent, k)
     found = member.join(comps.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left")
     component = F.coalesce("component", "rep")
-    return found.select(F.col("id").alias(id_column), "n_shingles", component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    shown = lambda c: F.when(c != _NO_ID, c)
+    return found.select(shown(F.col("id")).alias(id_column), "n_shingles", shown(component).alias("component_id"), (component == F.col("id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs without those that are near duplicates of a document with a smaller id."""
     gone = near_duplicates(docs, id_column, text, shingle, percent).where(~F.col("kept")).select(F.col(id_column).alias("_gone")).distinct()
     gone = staged(gone, "copies")
-    return docs.join(hinted(gone, gone.count(), 1_000_000), docs[id_column] == gone["_gone"], "left_anti")
+    return docs.join(hinted(gone, gone.count(), 1_000_000), docs[id_column].eqNullSafe(gone["_gone"]), "left_anti")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
