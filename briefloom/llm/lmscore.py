@@ -20,7 +20,8 @@ partition, which is made from them in place: one exchange serves both sides of t
 * Tasks pack what they send to a partition into one row: numbers without their common
   bytes, and how many belong to each document, instead of a row for each n-gram.
 
-Words are runs of bytes outside white space, as they are, told apart by 64-bit hashes.
+Words are runs of bytes outside white space, as they are, told apart by 64-bit hashes (63 bits of the other word where both
+words of a pair are rare).  A null id stays null.
 Null and empty texts have no words and a score of 0.  Repeated rows count and are scored each on
 its own.  An empty table gives an empty result.
 """
@@ -44,8 +45,10 @@ ALPHA, LEAST, FREQUENT_BITS, TOP = 0.4, 2, 20, 1024
 WORD_BITS = 21
 #: N-grams that a partition of the exchange is sized for, and a task holds before it sends.
 PARTITION_NGRAMS, TASK_NGRAMS = 2_000_000, 2_000_000
+#: Stands for a null id within.
+_NO_ID = -(1 << 63)
 _START = np.uint64(0x5354415254)
-_RARE = np.uint32(1 << 31)
+_RARE = np.uint64(1 << 63)
 _PACKED = "bucket: int, kind: int, batch: bigint, docs: binary, runs: binary, low: binary, high: binary"
 
 
@@ -180,17 +183,17 @@ def exploded(docs: DataFrame, vocab: Vocabulary, pairs: np.ndarray, buckets: int
             out += _dealt(PAIR, pair, (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32), (pair >> np.uint64(32)).astype(np.uint16), doc[both], buckets, batch)
             for kind, rare, other, at in ((AFTER, after, before, i), (BEFORE, before, after, j)):
                 mine = (j if kind == AFTER else i) < 0
-                name = np.where(at[mine] >= 0, at[mine].astype(np.uint32), (other[mine] >> np.uint64(33)).astype(np.uint32) | _RARE)
-                out += _dealt(kind, rare[mine], rare[mine], name.astype(np.uint32), doc[mine], buckets, batch)
+                name = np.where(at[mine] >= 0, at[mine].astype(np.uint64), other[mine] >> np.uint64(1) | _RARE)
+                out += _dealt(kind, rare[mine], rare[mine], name, doc[mine], buckets, batch)
             held, ids, n_words, size, texts, number = [], [], [], 0, 0, number + 1
             for k in range(0, len(out), 512):
                 yield _rows(out[k : k + 512])
 
         for batch in batches:
-            doc_ids = batch["doc_id"].to_numpy(zero_copy_only=False)
+            doc_ids = batch["doc_id"].fill_null(_NO_ID).to_numpy()
             for first, text, before, after, n in _pairs(batch["text"]):
                 held.append([text + texts, before, after])
-                ids.append(doc_ids[first : first + n].astype(np.int64))
+                ids.append(doc_ids[first : first + n])
                 n_words.append(np.bincount(text, minlength=n).astype(np.int64))
                 size, texts = size + len(text), texts + n
                 if size >= task_ngrams:
@@ -211,7 +214,7 @@ def _scored_bucket(rows: list[dict], own: Vocabulary) -> Iterator[tuple[int, np.
     def arrays(kind: int, low: type, high: type) -> tuple[np.ndarray, np.ndarray]:
         mine = by_kind[kind]
         cat = lambda key, t: np.concatenate([np.frombuffer(r[key], t) for r in mine]) if mine else np.zeros(0, t)
-        return cat("low", low).astype(np.uint64), cat("high", high).astype(np.uint64)
+        return cat("low", low).astype(np.uint64, copy=False), cat("high", high).astype(np.uint64, copy=False)
 
     def times(keys: np.ndarray) -> np.ndarray:
         _, where, counts = np.unique(keys, return_inverse=True, return_counts=True)
@@ -224,7 +227,7 @@ def _scored_bucket(rows: list[dict], own: Vocabulary) -> Iterator[tuple[int, np.
     i, j = (pair >> np.uint64(WORD_BITS)).astype(np.int64), (pair & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
     terms[PAIR] = np.where(c >= LEAST, np.log(c) - log_c[i], log_a + log_c[j] - log_n)
 
-    rare, name = arrays(AFTER, np.uint64, np.uint32)
+    rare, name = arrays(AFTER, np.uint64, np.uint64)
     heads, c_word = np.unique(rare, return_counts=True)  # every occurrence of a rare word comes here once
     c = times(mixed(rare) + name * np.uint64(0x9E3779B97F4A7C15))
     frequent = name < _RARE
@@ -232,7 +235,7 @@ def _scored_bucket(rows: list[dict], own: Vocabulary) -> Iterator[tuple[int, np.
     count = c_word[np.searchsorted(heads, rare)] if len(rare) else c
     terms[AFTER] = np.where(c >= LEAST, seen, log_a + np.log(np.maximum(count, 1)) - log_n)
 
-    rare, name = arrays(BEFORE, np.uint64, np.uint32)
+    rare, name = arrays(BEFORE, np.uint64, np.uint64)
     c = times(mixed(rare) + name * np.uint64(0x9E3779B97F4A7C15))
     frequent = name < _RARE
     count = c_word[np.minimum(np.searchsorted(heads, rare), max(0, len(heads) - 1))] if len(rare) else c
@@ -294,8 +297,9 @@ def backoff_scores(
         for r in rows:
             if not r["whole"]:
                 total[np.frombuffer(r["docs"], np.uint32)] += np.frombuffer(r["sums"], np.float64)
-        columns = [np.frombuffer(whole["docs"], np.int64), np.frombuffer(whole["n_words"], np.int64), total]
-        return pa.table([pa.array(c) for c in columns], names=[id_column, "n_words", "score"])
+        ids = np.frombuffer(whole["docs"], np.int64)
+        columns = [pa.array(ids, mask=ids == _NO_ID), pa.array(np.frombuffer(whole["n_words"], np.int64)), pa.array(total)]
+        return pa.table(columns, names=[id_column, "n_words", "score"])
 
     parts = dealt.mapInArrow(scored, "batch bigint, whole boolean, docs binary, n_words binary, sums binary")
     # a batch is a bounded number of documents' words

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import hinted, small_batches, staged
-from .textscan import blocks, windows, words
+from .textscan import blocks, release, windows, words
 
 K = 64
 #: Rows of an id table that may be broadcast; beyond, the join is a shuffle.
@@ -88,6 +88,7 @@ def block_sets(block, shingle: int) -> Iterator[np.ndarray]:
 
 def signatures(text: Column, shingle: int, k: int) -> Column:
     def signed(column: pa.Array) -> pa.Array:
+        release()
         sizes, digests, least = [], [], []
         for block in blocks(column):
             for values in block_sets(block, shingle):

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import small_batches, staged
-from .textscan import Block
+from .textscan import Block, hold
 from .tokens import Encoder, _Half
 
 GIANT, CHUNK, LONG_WORD = 32_768, 8_192, 200
@@ -187,14 +187,8 @@ def boundary_states(matrices: list[np.ndarray]) -> list[int]:
     return [0, *states[::-1]]
 
 
-_loaded: dict[str, PieceEncoder] = {}
-
-
 def model(path: str) -> PieceEncoder:
-    if path not in _loaded:
-        _loaded.clear()
-        _loaded[path] = PieceEncoder(path)
-    return _loaded[path]
+    return hold(f"pieces {path}", lambda: PieceEncoder(path))
 
 
 _RESULT = "struct<ids: binary, score: double, same: boolean>"

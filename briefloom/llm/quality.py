@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textscan import Block, SPACE, blocks, mixed, per_text, span_hashes, windows, words
+from .scratch import small_batches, staged
+from .textscan import Block, SPACE, blocks, mixed, per_text, release, span_hashes, windows, words
 
 # Characters that count as symbols; sentence ends; commonest words by language.
 SYMBOLS = "#*$%&|<>"
@@ -102,6 +103,7 @@ def features(text: Column) -> Column:
     """A struct of FEATURES of the whole text."""
 
     def measured(column: pa.Array) -> pa.Array:
+        release()
         common = _common()
         found = [block_features(x, common) for x in blocks(column)]
         parts = [np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in range(len(FEATURES))]
@@ -187,9 +189,8 @@ def learned(df: DataFrame, f: str) -> tuple[float, np.ndarray]:
     return fit(table[:, :-1], table[:, -1].astype(float))
 
 
-def rated(docs: DataFrame, text: str = "text", feature_column: str = "_features", probability: str = "_quality") -> DataFrame:
-    """docs with its features and the posterior probability that each is good."""
-    measured = docs.withColumn(feature_column, features(F.col(text)))
+def rated(measured: DataFrame, feature_column: str = "_features", probability: str = "_quality") -> DataFrame:
+    """measured, whose struct column has the features, with the posterior probability that each row is good."""
     prior, weight = learned(measured, feature_column)
     return measured.withColumn(probability, posterior(votes(F.col(feature_column)), prior, weight))
 
@@ -197,14 +198,17 @@ def rated(docs: DataFrame, text: str = "text", feature_column: str = "_features"
 def good_documents(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents that pass the base limits and are good with at least the given probability."""
     held = docs.select(F.struct(*docs.columns).alias("doc"))
-    out = rated(held.withColumn("body", F.col("doc")[text]), "body", "f", "p")
+    small_batches(docs.sparkSession)
+    out = rated(held.withColumn("f", features(F.col("doc")[text])), "f", "p")
     return out.where(~base_failed(F.col("f")) & (F.col("p") >= threshold)).select("doc.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    small_batches(spark)
     f = F.col("_features")
-    return rated(docs).select(
+    measured = staged(docs.select("doc_id", features(F.col("text")).alias("_features")), "features")  # both passes read these few numbers
+    return rated(measured).select(
         "doc_id",
         *[f[x].alias(x) for x in FEATURES[:5]],
         base_failed(f).alias("base_failed"),

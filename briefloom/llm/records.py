@@ -5,7 +5,8 @@ A file is a header of 16 bytes (a magic word of 8, the bytes of one id as an uns
 
     length of the payload      unsigned 64-bit
     masked checksum of those 8 bytes   unsigned 32-bit
-    payload: document id       signed 64-bit
+    payload: 1 if the document has an id, else 0   8-bit
+             document id, or 0 signed 64-bit
              ids               unsigned, 2 or 4 bytes each
     masked checksum of the payload     unsigned 32-bit
 
@@ -18,7 +19,8 @@ Documents are range-partitioned by id, so files ascend by id in their numbers, a
 files.  A task writes files of its own name; only files of tasks that ended well come into the
 index, so a task that is lost or runs twice leaves at most a file that nobody reads.
 The index is the list of what holds.  Null texts count as empty: only the end id.
-Documents with one id follow each other, ordered by a hash of their text.  An empty table gives an empty index.
+Documents with one id follow each other, ordered by a hash of their text; those with a null id come first and keep it.
+An empty table gives an empty index.  Ids take 2 bytes where the vocabulary's largest id allows, else 4; 2 for a larger one is refused.
 """
 
 from __future__ import annotations
@@ -36,14 +38,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import new_folder, small_batches, staged
-from .tokens import encoded
+from .tokens import encoded, encoder
 
-MAGIC = b"BLTOKEN1"
+MAGIC = b"BLTOKEN2"
 HEADER = 16
 FILE_BYTES, READ_BYTES, BATCH_ROWS = 256 << 20, 16 << 20, 5_000
 INDEX = "file: string, part: int, roll: int, doc_id: bigint, offset: bigint, length: bigint, n_tokens: bigint"
 
 
+_OWNER = "<?q"
+
+
+def _unpacked(payload: bytes, id_bytes: int) -> tuple[int | None, bytes]:
+    """The document's id and its token ids as unsigned 32-bit integers."""
+    known, doc_id = struct.unpack_from(_OWNER, payload)
+    return doc_id if known else None, np.frombuffer(payload[struct.calcsize(_OWNER) :], f"<u{id_bytes}").astype("<u4").tobytes()
+
+
 def masked(data: bytes) -> int:
     crc = zlib.crc32(data)
     return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
@@ -72,7 +83,7 @@ def _file_system(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder)
 
 
-def write_records(docs: DataFrame, folder: str, vocabulary: str, end: int = 0, id_bytes: int = 2, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def write_records(docs: DataFrame, folder: str, vocabulary: str, end: int = 0, id_bytes: int | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the ids of every text into files of the folder; returns the index, as a table of the shared folder."""
     small_batches(docs.sparkSession)
     whole = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
@@ -83,18 +94,22 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end: int = 0, i
         files.create_dir(root, recursive=True)
         part, run, roll, out, at, name = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], 0, None, 0, ""
         rows: list[tuple] = []
+        largest = max(end, encoder(vocabulary).largest)
+        width = id_bytes or (2 if largest < 1 << 16 else 4)
+        if largest >= 1 << 8 * width:
+            raise ValueError(f"ids up to {largest} do not fit into {width} bytes")
         try:
             for batch in batches:
                 for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoded(batch["text"], vocabulary, end)):
                     if out is None:
                         name, at = f"tokens-{part:06d}-{roll:04d}-{run}.bin", HEADER
                         out = files.open_output_stream(f"{root}/{name}")
-                        out.write(MAGIC + struct.pack("<II", id_bytes, 0))
-                    if id_bytes == 2:
+                        out.write(MAGIC + struct.pack("<II", width, 0))
+                    if width == 2:
                         ids = np.frombuffer(ids, "<u4").astype("<u2").tobytes()
-                    record = frame(struct.pack("<q", doc_id) + ids)
+                    record = frame(struct.pack(_OWNER, doc_id is not None, doc_id or 0) + ids)
                     out.write(record)
-                    rows.append((name, part, roll, doc_id, at, len(record), len(ids) // id_bytes))
+                    rows.append((name, part, roll, doc_id, at, len(record), len(ids) // width))
                     at += len(record)
                     if at >= FILE_BYTES:
                         out.close()
@@ -120,6 +135,7 @@ def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """(part, roll, segment, place, doc_id, ids) of all records: files are read in segments of about READ_BYTES,
     each in order, so a large file is the work of several tasks. ids are little-endian unsigned 32-bit integers."""
+    total = index.agg(F.sum("length")).first()[0] or 0
     segments = (
         index.withColumn("segment", F.floor(F.col("offset") / READ_BYTES))
         .groupBy("file", "part", "roll", "segment")
@@ -137,9 +153,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                     source.seek(r["first"])
                     place, ids, docs, size = 0, [], [], 0
                     while source.tell() < r["last"]:
-                        payload = unframed(source)
-                        docs.append(struct.unpack("<q", payload[:8])[0])
-                        ids.append(np.frombuffer(payload, f"<u{id_bytes}", offset=8).astype("<u4").tobytes())
+                        doc_id, own = _unpacked(unframed(source), id_bytes)
+                        docs.append(doc_id)
+                        ids.append(own)
                         size += len(ids[-1])
                         if size >= READ_BYTES // 4 or source.tell() >= r["last"]:
                             n = len(docs)
@@ -150,7 +166,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                             )
                             place, ids, docs, size = place + n, [], [], 0
 
-    return segments.repartition("file", "segment").mapInArrow(parsed, "part int, roll int, segment bigint, place bigint, doc_id bigint, ids binary")
+    return segments.repartition(max(1, -(-total // READ_BYTES)), "file", "segment").mapInArrow(parsed, "part int, roll int, segment bigint, place bigint, doc_id bigint, ids binary")
 
 
 def read_at(index: DataFrame, folder: str) -> DataFrame:
@@ -164,9 +180,9 @@ def read_at(index: DataFrame, folder: str) -> DataFrame:
                 with files.open_input_file(f"{root}/{r['file']}") as source:
                     id_bytes = struct.unpack("<8sII", source.read(HEADER))[1]
                     source.seek(r["offset"])
-                    payload = unframed(source)
-                    docs.append(struct.unpack("<q", payload[:8])[0])
-                    ids.append(np.frombuffer(payload, f"<u{id_bytes}", offset=8).astype("<u4").tobytes())
+                    doc_id, own = _unpacked(unframed(source), id_bytes)
+                    docs.append(doc_id)
+                    ids.append(own)
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return index.select("file", "offset").mapInArrow(fetched, "doc_id bigint, ids binary")

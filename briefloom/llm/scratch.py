@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset
-(tests on one machine) a temporary folder is made and set.
+The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset and Spark runs
+in one process on one machine, a temporary folder is made and set; a cluster without one is refused.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder as a path that Spark's readers and writers take."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if own is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="briefloom-")
         spark.sparkContext.setCheckpointDir(own)
     return own.rstrip("/")

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import small_batches
+from .textscan import release
 
 KINDS = ("assign", "access", "hex", "pem", "key", "jwt", "encoded")
 BASE = KINDS[:3]
@@ -204,6 +205,7 @@ def found_secrets(text: Column) -> Column:
     """An array of (kind, start, end) of the whole text."""
 
     def scanned(column: pa.Array) -> pa.Array:
+        release()
         rows = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans(x.as_py() or "")] for x in column]
         return pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
 
@@ -223,6 +225,7 @@ def without_secrets(text: str) -> str:
 
 def redacted(text: Column) -> Column:
     def cleaned(column: pa.Array) -> pa.Array:
+        release()
         return pa.array([None if x is None else without_secrets(x) for x in column.to_pylist()], pa.string())
 
     return F.arrow_udf(cleaned, "string")(text)

@@ -9,12 +9,13 @@ Rows are then exchanged once, by the bucket between their splitters, and numbere
 Each shard is a row of buckets of at most `bucket_bytes` or so, so no task sorts a whole shard.
 
 A row weighs the UTF-8 bytes of its text (null: none) plus 8.  Rows that agree in id and text are
-one key and stay in one shard.  Null ids come first.  With fewer rows than shards, some
+one key and stay in one shard.  Long documents are whole, so shards differ by up to one document around each cut.  Null ids come first.  With fewer rows than shards, some
 shards are empty; an empty table gives an empty result.  Columns named like the result's are replaced.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,7 +88,7 @@ def find_splitters(sized: DataFrame, n: int, tolerance: float = TOLERANCE, probe
         size, rows = histogram(sized, at)
         below = list(zip(at, np.cumsum(size)[:-1].tolist(), np.cumsum(rows)[:-1].tolist()))
         for i in list(open_ones):
-            inside = [x for x in below if low[i][0] < x[0] < high[i][0]]
+            inside = below[bisect_right(at, low[i][0]) : bisect_left(at, high[i][0])]
             low[i] = max([low[i], *(x for x in inside if x[1] <= targets[i])])
             high[i] = min([high[i], *(x for x in inside if x[1] > targets[i])])
             close = min(targets[i] - low[i][1], high[i][1] - targets[i]) <= near
@@ -116,7 +117,7 @@ def sharded(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shar
     before = [int(rows[k - k % each : k].sum()) for k in range(shards * each)]
     held = docs.drop("size", "shard", "slot")
     held = held.select(F.struct(*held.columns).alias("doc"), high.alias("high"), low.alias("low"), size.alias("size"))
-    dealt = held.withColumn("bucket", bucket(F.col("high"), F.col("low"), splitters)).repartition("bucket")
+    dealt = held.withColumn("bucket", bucket(F.col("high"), F.col("low"), splitters)).repartitionById(shards * each, F.col("bucket").cast("int"))
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("high", "low")) - 1
     base = F.element_at(F.array(*map(F.lit, before)), F.col("bucket").cast("int") + 1) if each * shards <= 1000 else lookup(F.col("bucket"), before)
     return dealt.select("doc.*", "size", F.floor(F.col("bucket") / each).cast("int").alias("shard"), (place + base).cast("bigint").alias("slot"))

@@ -8,7 +8,10 @@ Texts are cut into blocks of a quarter of a megabyte, so memory does not follow
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -16,6 +19,25 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 18
+_held: dict[str, object] = {}
+
+
+def hold(name: str, make: Callable[[], object]) -> object:
+    """What a worker has made once under a name; it holds one such thing at a time."""
+    if name not in _held:
+        release()
+        _held[name] = make()
+    return _held[name]
+
+
+def release() -> None:
+    """Gives back what an earlier operator left in this worker, which Spark uses again for other operators."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
 PIECE = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .textscan import LOWER, SPACE, Block, blocks, span_hashes
+from .textscan import LOWER, SPACE, Block, blocks, hold, span_hashes
 
 _GRAPH = np.zeros(256, bool)
 _GRAPH[0x21:0x7F] = True
@@ -143,7 +143,8 @@ class Encoder:
         plain = [(i, t.content) for i, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.mark = plain[0] if plain else None
         vocabulary = self.tokenizer.get_vocab()
-        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids with which a spaced word begins
+        self.largest = max(vocabulary.values())
+        self.opens = np.zeros(self.largest + 1, bool)  # ids with which a spaced word begins
         self.closes = self.opens.copy()  # ids with which a pre-token ends
         for token, i in vocabulary.items():
             self.opens[i], self.closes[i] = token.startswith("Ġ"), token.endswith("</w>")
@@ -284,15 +285,9 @@ class Encoder:
                 yield ids[bounds[k] : bounds[k + 1]]
 
 
-_loaded: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The encoder of a vocabulary file; a worker loads each once."""
-    if path not in _loaded:
-        _loaded.clear()
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+    return hold(f"tokens {path}", lambda: Encoder(path))
 
 
 def encoded(column: pa.Array, path: str, end: int) -> Iterator[bytes]:
