@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
-def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
     """Bounds the bytes that one batch takes to a Python worker, by the session's own setting.
     Results never depend on it; memory does, where texts are long."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

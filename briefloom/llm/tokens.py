@@ -33,8 +33,9 @@ _SAMPLE = "Ab1's  a\n\n b. éà !? x\n y. a.b(c)d 12ab-34,5 $x 'q' x.'s don't. i
 _LETTERS = "A B C D E F G H I J K L M N O P Q R S T U V W X Y Z It'S AB"
 
 #: Bytes of a block of texts; slots of each of the memory's two halves, how many of them fill up, tries for a free one;
-#: ids up to which a segment is remembered, bytes up to which its hash tells it apart, ids that a half holds.
-BLOCK_BYTES, SLOTS, FULL, TRIES, KNOWN_IDS, KNOWN_BYTES, HELD_IDS = 1 << 20, 1 << 20, 1 << 19, 8, 30, 256, 1 << 22
+#: ids up to which a segment is remembered, bytes up to which its hash tells it apart, ids that a half holds; bytes that the library
+#: gets in a call (it needs a hundred times as many).
+BLOCK_BYTES, SLOTS, FULL, TRIES, KNOWN_IDS, KNOWN_BYTES, HELD_IDS, CALL_BYTES = 1 << 19, 1 << 19, 1 << 18, 8, 30, 256, 1 << 21, 1 << 16
 
 
 def _spans(solid: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +182,7 @@ class Encoder:
 
     def _plain(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which segments can be told apart in a joined text by their ids alone, and how many pre-tokens those have."""
-        count = lambda mask: np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+        count = lambda mask: np.concatenate([np.zeros(1, np.int32), np.cumsum(mask, dtype=np.int32)])
         if self.spaced:  # one space, at the start, before a visible character: each opens with an id of its own
             blanks = count(SPACE[data])
             second = data[np.minimum(starts + 1, len(data) - 1)]
@@ -191,9 +192,17 @@ class Encoder:
         new = count(np.concatenate([[True], kind[1:] != kind[:-1]]) | (kind == 2))
         return known[ends] - known[starts] == ends - starts, new[ends] - new[starts + 1] + 1
 
-    def _joined(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _joined(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of all segments (in some order) in a row, and where each segment's begin and how many it has."""
         plain, several = self._plain(data, starts, ends)
+        call = np.cumsum(ends - starts) // CALL_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(call)) + 1).tolist(), len(starts)]
+        each = [self._called(data, *(x[a:b] for x in (starts, ends, plain, several))) for a, b in zip(edges[:-1], edges[1:])]
+        before = np.cumsum([0, *(len(x[0]) for x in each)]).tolist()
+        return np.concatenate([x[0] for x in each]), np.concatenate([x[1] + n for x, n in zip(each, before)]), np.concatenate([x[2] for x in each])
+
+    def _called(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """_joined() of so few bytes that the library gets them in one call or two."""
         parts, begin, size = [], np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         filled = 0
         own = np.flatnonzero(plain)
