@@ -138,6 +138,7 @@ class _Texts(HTMLParser):
             self.texts.append(data)
 
 
+_UNREAD = frozenset("script style template".split())
 _SKIPPED = frozenset("script style nav footer noscript".split())
 
 
@@ -149,8 +150,8 @@ def _parsed(page: str, skip: frozenset[str]) -> _Texts:
 
 
 def cleaned_html(page: Column, limit: int = 2400) -> Column:
-    """A page on one line."""
-    return _mapped(lambda x: " ".join(" ".join(_parsed(html.unescape(x), frozenset()).texts).split())[:limit])(page)
+    """A page's text on one line, without what scripts and styles say."""
+    return _mapped(lambda x: " ".join(" ".join(_parsed(html.unescape(x), _UNREAD).texts).split())[:limit])(page)
 
 
 PAGE_BYTES, PAGE_CHARACTERS, LEAST_CHARACTERS = 1_000_000, 80_000, 80
@@ -176,3 +177,33 @@ def page_content(page: Column) -> Column:
 def fetch_status(code: Column, content_type: Column, content_status: Column) -> Column:
     """What a fetch came to: refused, not a page, or what its content says."""
     return F.when(code.isin(401, 403, 429), "blocked").when((code >= 400) | ~F.lower(content_type).startswith("text/html"), "unavailable").otherwise(content_status)
+
+
+def is_repository_name(title: Column) -> Column:
+    """Whether a title is only the name of a repository, owner/name."""
+    return F.coalesce(title.rlike(r"^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$"), F.lit(False))
+
+
+def first_full(*texts: Column) -> Column:
+    """The first text that is neither null nor empty."""
+    return F.coalesce(*[F.nullif(t, F.lit("")) for t in texts])
+
+
+def source_label(source: Column) -> Column:
+    return F.split_part(source, F.lit(" · "), F.lit(1))
+
+
+def escaped_markdown(text: Column, most_bytes: int) -> Column:
+    """White space collapsed and marks escaped; what takes more bytes ends in an ellipsis after the last whole character that fits."""
+    flat = F.substring(collapsed(text), 1, most_bytes + 1)  # a character takes a byte at least
+    escaped = F.regexp_replace(flat, r"([\\\[\]*_`])", r"\\$1")
+    units = F.regexp_extract_all(escaped, F.lit(r"(?s)(\\.|[^\\])"), F.lit(1))
+
+    def add(done: Column, unit: Column) -> Column:
+        left = done["left"] - F.octet_length(unit)
+        fits = left >= 0
+        return F.struct(F.when(fits, F.concat(done["text"], unit)).otherwise(done["text"]).alias("text"), F.when(fits, left).otherwise(-1).alias("left"))
+
+    start = F.struct(F.lit("").alias("text"), F.lit(most_bytes - 3).alias("left"))
+    short = F.concat(F.rtrim(F.aggregate(units, start, add, lambda x: x["text"])), F.lit("…"))
+    return F.when(F.octet_length(escaped) <= most_bytes, escaped).otherwise(short)

@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 # Query parameters that only track where a reader came from.
 TRACKING_PARAMETERS = ("fbclid", "gclid", "mc_cid", "mc_eid", "ref", "ref_src", "source")
-# Names of query parameters whose values are secret (compared without "-" and "_").
-SECRET_PARAMETERS = ("accesstoken", "apikey", "auth", "authorization", "clientsecret", "code", "key", "password", "secret", "session", "sig", "signature", "token")
+# Names whose values are secret (compared without "-" and "_"), and the forms of tokens.
+SECRET_PARAMETERS = (
+    "token accesstoken apikey key signature sig secret auth authorization xamzsignature xgoogsignature credential securitytoken "
+    "sessiontoken password clientsecret accesskey awsaccesskey awsaccesskeyid awssecretaccesskey awssecuritytoken awssessiontoken "
+    "xamzcredential xamzsecuritytoken gcpcredential gcpsecuritytoken googleaccesstoken gcpaccesstoken googcredential googsecuritytoken "
+    "xgoogcredential xgoogsecuritytoken"
+).split()
+TOKEN_FORMS = r"(?i)sk-[A-Za-z0-9_-]{8,}|gh[pousr]_[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}"
 
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
@@ -75,25 +81,31 @@ def is_evidence_url(url: Column) -> Column:
     )
 
 
+def _is_secret(name: Column) -> Column:
+    return F.translate(F.lower(name), "-_", "").isin(*SECRET_PARAMETERS)
+
+
 def redacted_url(url: Column) -> Column:
-    """The URL without credentials, fragment and the values of secret parameters, in the query and in path parts."""
+    """The URL without credentials and fragment; values of secret names are hidden in the query, after `=` or `:` in a path step and in
+    the step after one that is such a name, and so are steps that hold a token.  One with a broken host is replaced by its hash."""
 
-    def safe(x: Column) -> Column:
+    def shown_pair(x: Column) -> Column:
         key = F.regexp_extract(x, "^([^=]*)", 1)
-        name = F.translate(F.lower(F.coalesce(F.try_url_decode(key), key)), "-_", "")
-        return F.when(name.isin(*SECRET_PARAMETERS), F.concat(key, F.lit("=REDACTED"))).otherwise(x)
-
-    steps = F.split(part(url, 3), "/")
+        value = F.when(_is_secret(F.coalesce(F.try_url_decode(key), key)), "REDACTED").otherwise(_recoded(F.regexp_extract(x, "^[^=]*=(.*)$", 1)))
+        return F.concat(_recoded(key), F.lit("="), value)
 
     def step(done: Column, x: Column) -> Column:
-        name = F.translate(F.lower(F.regexp_extract(x, "^([^=]*)", 1)), "-_", "")
-        secret = name.isin("accesstoken", "apikey", "clientsecret", "password", "secret", "token")
-        shown = F.when(done["hide"] & (x != ""), "REDACTED").when(secret & x.contains("="), F.concat(F.regexp_extract(x, "^([^=]*)", 1), F.lit("=REDACTED"))).otherwise(x)
-        return F.struct(F.concat(done["path"], F.array(shown)).alias("path"), (secret & ~x.contains("=")).alias("hide"))
+        plain = F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)
+        named = F.regexp_extract(plain, "^([^=:]+[=:])", 1)
+        assigned = (named != "") & _is_secret(F.rtrim(named, F.lit("=:")))
+        shown = F.when(done["hide"], "REDACTED").when(assigned, F.concat(named, F.lit("REDACTED"))).when(plain.rlike(TOKEN_FORMS), "REDACTED").otherwise(x)
+        return F.struct(F.concat(done["path"], F.array(shown)).alias("path"), (~done["hide"] & ~assigned & _is_secret(plain)).alias("hide"))
 
     start = F.struct(F.array().cast("array<string>").alias("path"), F.lit(False).alias("hide"))
-    path = F.array_join(F.aggregate(steps, start, step, lambda x: x["path"]), "/")
-    query = F.array_join(F.transform(F.split(part(url, 4), "&"), safe), "&")
+    path = F.array_join(F.aggregate(F.split(part(url, 3), "/"), start, step, lambda x: x["path"]), "/")
+    query = F.array_join(F.transform(F.filter(F.split(part(url, 4), "&"), lambda x: x != ""), shown_pair), "&")
     site = F.regexp_replace(part(url, 2), "^.*@", "")
-    whole = F.concat(scheme(url), F.lit("://"), site, path, F.when(part(url, 4) == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return F.when((scheme(url) == "") | (host(url) == ""), F.concat(F.lit("redacted-url-"), F.substring(F.sha2(F.coalesce(url, F.lit("")), 256), 1, 16))).otherwise(whole)
+    before = lambda mark, x: F.when(x == "", "").otherwise(F.concat(F.lit(mark), x))
+    whole = F.concat(F.when(scheme(url) == "", "").otherwise(F.concat(scheme(url), F.lit(":"))), before("//", site), path, before("?", query))
+    broken = site.contains("[") != site.contains("]")
+    return F.when(broken, F.concat(F.lit("invalid-url:"), F.substring(F.sha2(url, 256), 1, 12))).otherwise(whole)

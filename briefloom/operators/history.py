@@ -119,3 +119,17 @@ def latest_by_key(rows: DataFrame, keys: list[str], at: str, tie: str) -> DataFr
     """Last write wins."""
     order = [F.col(at).desc(), F.col(tie).desc()]
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("nth = 1").drop("nth")
+
+
+def confirmed(payload: DataFrame, today: Column, statuses: tuple[str, ...]) -> DataFrame:
+    """Confirmations (delivery_date, delivery_id, run_status) that count: of today, with an id of 32 lower-case hex digits and a good status."""
+    good = (F.col("delivery_date") == F.date_format(today, "yyyy-MM-dd")) & F.col("delivery_id").rlike("^[0-9a-f]{32}$") & F.col("run_status").isin(*statuses)
+    return payload.where(F.coalesce(good, F.lit(False)))
+
+
+def day_states(states: DataFrame) -> DataFrame:
+    """The latest state of each day (day, at, delivery_status, sync_pending, dashboard_pending): whether it blocks another delivery,
+    and whether a sent day has work left."""
+    last = states.groupBy("day").agg(F.max_by(F.struct("delivery_status", "sync_pending", "dashboard_pending"), "at").alias("s"))
+    sent = F.col("s.delivery_status") == "sent"
+    return last.select("day", F.col("s.delivery_status").isin("sent", "uncertain_delivery").alias("blocks"), (sent & (F.col("s.sync_pending") | F.col("s.dashboard_pending"))).alias("pending"))

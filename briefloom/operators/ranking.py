@@ -39,8 +39,8 @@ def newest(candidates: DataFrame, limit: int = CANDIDATE_CAP) -> DataFrame:
 
 def merged_fallback(shortlisted: DataFrame, others: DataFrame, limit: int = CANDIDATE_CAP) -> DataFrame:
     """Shortlisted candidates in their order, then the rest by recency."""
-    marks = shortlisted.select("candidate_id", F.col("rank").alias("first"))
-    both = others.join(marks, "candidate_id", "left")
+    marks = shortlisted.select("run_id", "candidate_id", F.col("rank").alias("first"))
+    both = others.join(marks, ["run_id", "candidate_id"], "left")
     order = [F.col("first").asc_nulls_last(), F.col("published_at").desc(), F.col("source_weight").desc(), "candidate_id"]
     return top(both, min(limit, CANDIDATE_CAP), ["run_id"], order, "place").drop("first")
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import rules, text, urls
-from ..operators import boards, compose, corroboration, dedupe, history, ranking
+from ..functions import evidence, rules, text, urls
+from ..operators import anchors, boards, compose, corroboration, dedupe, history, ranking
 from ..sources import adapters
 from ..sources.adapters import candidates, clusters, event_records, now, scored_items, table
 
@@ -83,7 +83,7 @@ def f8_f9_checks(spark: SparkSession, d: str) -> DataFrame:
 def t5_normal_forms(spark: SparkSession, d: str) -> DataFrame:
     c = candidates(spark, d)
     t = F.col("title")
-    return c.select("candidate_id", text.normal_title(t).alias("title"), text.slug(F.substring(t, 1, 60)).alias("slug"), text.company_key(F.substring(t, 1, 60)).alias("company"))
+    return c.select("candidate_id", text.normal_title(t).alias("title"), text.slug(t).alias("slug"), text.company_key(t).alias("company"))
 
 
 def t1_clean_html(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +96,8 @@ def t2_page_content(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _url_history(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages").where("page_id % 3 = 0")
+    """Every page was met at one time or another; by their age, some were sent within the days that count."""
+    pages = table(spark, d, "pages")
     return pages.select("url", (now() - F.make_dt_interval(days=(F.col("page_id") % 45).cast("int"))).alias("recorded_at"))
 
 
@@ -105,7 +106,8 @@ def j1_unsent(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k4_url_history(spark: SparkSession, d: str) -> DataFrame:
-    new = table(spark, d, "pages").where("page_id % 10 = 0").select("url", now().alias("recorded_at"))
+    seen = _url_history(spark, d)
+    new = history.unsent(seen, seen, now()).select("url", now().alias("recorded_at"))  # pages that are due again are sent now
     out = history.url_history(_url_history(spark, d), new, now())
     return out.select("url", F.unix_timestamp("recorded_at").alias("recorded"))
 
@@ -302,13 +304,11 @@ def j2_source_integrity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j7_literal_anchors(spark: SparkSession, d: str) -> DataFrame:
-    """Of each document's two claimed benchmark passages: which it holds word for word."""
+    """How many benchmark passages each document holds word for word."""
     docs = table(spark, d, "documents").select("doc_id", text.collapsed(F.lower("text")).alias("body"))
     b = table(spark, d, "benchmark").select("item_id", text.collapsed(F.lower("text")).alias("quote"))
-    n = 40
-    claims = docs.withColumn("item_id", F.explode(F.array(F.col("doc_id") % n, (F.col("doc_id") * 7 + 3) % n)))
-    met = claims.join(b, "item_id").where((F.col("quote") != "") & F.contains("body", "quote"))
-    return docs.select("doc_id").join(met.groupBy("doc_id").agg(F.count_distinct("item_id").alias("n_anchors")), "doc_id", "left").na.fill(0, ["n_anchors"])
+    met = anchors.holdings(docs, b).groupBy("doc_id").agg(F.count("*").alias("n_anchors"))
+    return docs.select("doc_id").join(met.hint("merge"), "doc_id", "left").na.fill(0, ["n_anchors"])
 
 
 def w13_summary_pick(spark: SparkSession, d: str) -> DataFrame:
@@ -372,3 +372,71 @@ def v4_upgraded_items(spark: SparkSession, d: str) -> DataFrame:
 
 def w4_hard_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.hard_dedupe(candidates(spark, d)).select("run_id", "candidate_id")
+
+
+def t21_validated_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's first line as the claim, its next eight lines as quotes, its whole text as the source."""
+    lines = F.split("text", "\n")
+    records = table(spark, d, "documents").select(
+        "doc_id",
+        F.slice(lines, 1, 1).alias("claims"),
+        F.slice(lines, 2, 8).alias("quotes"),
+        F.col("text").alias("source_text"),
+        F.when(F.char_length(text.collapsed(F.col("text"))) >= text.LEAST_CHARACTERS, "verified").otherwise("insufficient").alias("source_status"),
+        F.lit(True).alias("covers_full_claim"),
+        F.lit("verified").alias("verification_status"),
+    )
+    return anchors.validated(records).select("doc_id", "n_anchors", "covers_full_claim", "verification_status")
+
+
+def t15_material(spark: SparkSession, d: str) -> DataFrame:
+    """What each turn of a conversation can be compared by."""
+    out = table(spark, d, "conversations").select("conv_id", "turn", evidence.profile(F.col("text")).alias("p"))
+    return out.select("conv_id", "turn", F.array_join("p.tokens", ",").alias("tokens"), F.size("p.units").cast("bigint").alias("n_units"), "p.directional", "p.direction")
+
+
+def t17_currencies(spark: SparkSession, d: str) -> DataFrame:
+    out = table(spark, d, "documents").select("doc_id", evidence.profile(F.col("text"))["currencies"].alias("c"))
+    return out.select("doc_id", F.array_join("c", ",").alias("currencies"))
+
+
+def f11_repository_titles(spark: SparkSession, d: str) -> DataFrame:
+    path = F.regexp_replace(urls.part(F.col("url"), 3), "^/", "")
+    return table(spark, d, "pages").select("page_id", path.alias("title")).where(~text.is_repository_name(F.col("title")))
+
+
+def f17_localised(spark: SparkSession, d: str) -> DataFrame:
+    """Titles by language: a German or French text's own first line, else the English one's, else the identifier."""
+    docs = table(spark, d, "documents")
+    first = F.split("text", "\n", 2)[0]
+    own, english = F.when(F.col("lang") != "en", first), F.when(F.col("lang") == "en", first)
+    label = text.source_label(F.concat_ws(" · ", "source", "lang"))
+    return docs.select("doc_id", text.first_full(own, english, F.col("doc_id").cast("string")).alias("title"), label.alias("label"))
+
+
+def t24_escaped_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.escaped_markdown(F.col("text"), 300).alias("shown"))
+
+
+def k8_confirmed_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """Events as delivery confirmations: only one of the run's day with a well-formed id and a good status is taken."""
+    e = table(spark, d, "events")
+    id_ = F.when(F.col("event_id") % 4 == 0, F.upper(F.md5(F.col("event_id").cast("string")))).otherwise(F.md5(F.col("event_id").cast("string")))
+    payload = e.select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("delivery_date"), id_.alias("delivery_id"), F.col("event_type").alias("run_status"))
+    return history.confirmed(payload, F.lit(adapters.EVENT_DAY).cast("date"), ("purchase", "click")).select("event_id", "delivery_id")
+
+
+def x6_day_states(spark: SparkSession, d: str) -> DataFrame:
+    """Days of events by their last state: which block another delivery, which have work left."""
+    e = table(spark, d, "events")
+    status = F.when(F.col("event_type") == "purchase", "sent").when(F.col("event_type") == "click", "uncertain_delivery").otherwise("failed")
+    states = e.select(F.to_date("ts").alias("day"), F.struct("ts", "event_id").alias("at"), status.alias("delivery_status"), (F.col("value") > 50).alias("sync_pending"), (F.col("user_id") % 3 == 0).alias("dashboard_pending"))
+    return history.day_states(states)
+
+
+def v8_missing_categories(spark: SparkSession, d: str) -> DataFrame:
+    """Which of all categories a run has no item of."""
+    items = scored_items(spark, d).where("eligible_main AND total >= 60")
+    every = F.array(*[F.lit(f"c{k}") for k in range(5)])
+    found = items.groupBy("run_id", "category").count().groupBy("run_id").agg(F.collect_set("category").alias("held"))  # five at most
+    return found.select("run_id", F.array_join(F.array_sort(F.array_except(every, "held")), ",").alias("missing"))

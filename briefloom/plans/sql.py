@@ -66,7 +66,7 @@ cu AS (SELECT * FROM ev WHERE ts >= TIMESTAMP '2024-01-24' AND ts < TIMESTAMP '2
 hi AS (SELECT * FROM ev WHERE ts < TIMESTAMP '2024-01-24' AND date_diff('day', CAST(ts + INTERVAL 8 HOUR AS DATE), CAST(TIMESTAMP '2024-01-24 23:59:59' + INTERVAL 8 HOUR AS DATE)) BETWEEN 0 AND 7)
 """
 
-_HISTORY = "hs AS (SELECT canonical, max(page_id % 45) AS oldest, min(page_id % 45) AS newest FROM p WHERE page_id % 3 = 0 GROUP BY canonical)"
+_HISTORY = "hs AS (SELECT canonical, max(page_id % 45) AS oldest, min(page_id % 45) AS newest FROM p GROUP BY canonical)"
 
 _RECORD = """
 q AS (SELECT item, run_id,
@@ -104,7 +104,7 @@ ORACLE_SQL = {
         SELECT doc_id, CASE WHEN length(flat) <= 120 THEN flat ELSE rtrim(left(flat, 119)) || '…' END AS short, CAST(wide + ceil((length(text) - wide) / 3.0) AS BIGINT) AS tokens,
         length(regexp_replace(text, '[^㐀-䶿一-鿿]', '', 'g')) >= 2 AS chinese FROM x""",
     "j1_unsent": f"WITH {_URL}, {_HISTORY} SELECT page_id FROM p WHERE canonical NOT IN (SELECT canonical FROM hs WHERE newest <= 30)",
-    "k4_url_history": f"""WITH {_URL}, z AS (SELECT canonical, page_id % 45 AS days FROM p WHERE page_id % 3 = 0 UNION ALL SELECT canonical, 0 FROM p WHERE page_id % 10 = 0)
+    "k4_url_history": f"""WITH {_URL}, {_HISTORY}, z AS (SELECT canonical, page_id % 45 AS days FROM p UNION ALL SELECT canonical, 0 FROM hs WHERE newest > 30)
         SELECT canonical AS url, (epoch(TIMESTAMP '2026-07-14 12:00:00') - 86400 * min(days))::BIGINT AS recorded FROM z GROUP BY canonical HAVING min(days) <= 30""",
     "j6_event_classification": f"""WITH {_EVENTS},
         ex AS (SELECT fp, arg_max(resource, ts::VARCHAR || lpad(event_id::VARCHAR, 20, '0')) AS o_resource, arg_max(science, ts::VARCHAR || lpad(event_id::VARCHAR, 20, '0')) AS o_science,
@@ -176,7 +176,7 @@ ORACLE_SQL = {
     "j2_source_integrity": """SELECT c_mktsegment, count(*) AS n, count(DISTINCT o_custkey) AS n_ids FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment
         UNION ALL SELECT 'unmatched', count(*), count(DISTINCT o_custkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""",
     "j7_literal_anchors": r"""WITH x AS (SELECT doc_id, trim(regexp_replace(lower(text), '[\s\p{Z}]+', ' ', 'g')) AS body FROM documents), y AS (SELECT item_id, trim(regexp_replace(lower(text), '[\s\p{Z}]+', ' ', 'g')) AS quote FROM benchmark)
-        SELECT doc_id, count(DISTINCT item_id) AS n_anchors FROM x LEFT JOIN y ON item_id IN (doc_id % 40, (doc_id * 7 + 3) % 40) AND quote <> '' AND contains(body, quote) GROUP BY doc_id""",
+        SELECT doc_id, count(DISTINCT item_id) AS n_anchors FROM x LEFT JOIN y ON len(string_split(quote, ' ')) >= 3 AND contains(body, quote) GROUP BY doc_id""",
     "w13_summary_pick": f"""WITH {_SCORED}, o AS (SELECT *, row_number() OVER (PARTITION BY run_id, fingerprint ORDER BY total DESC, item) AS n, max(published) OVER (PARTITION BY run_id) - published <= 604800 AS fresh FROM i),
         x AS (SELECT run_id, item, total, fresh, row_number() OVER (PARTITION BY run_id ORDER BY fresh DESC, total DESC, item) AS rank, bool_or(fresh) OVER (PARTITION BY run_id) AS some_fresh FROM o WHERE n = 1)
         SELECT run_id, rank, item, total FROM x WHERE rank <= 3 AND (fresh OR NOT some_fresh)""",
@@ -199,4 +199,19 @@ ORACLE_SQL = {
         x AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY importance DESC, url) AS p FROM o)
         SELECT run_id, url, CASE WHEN p <= 5 THEN 'must_read' WHEN p <= 8 THEN 'try_now' ELSE 'watch' END AS board, p - CASE WHEN p <= 5 THEN 0 WHEN p <= 8 THEN 5 ELSE 8 END AS rank,
           importance, 'old|' || sha256(url) AS fingerprint FROM x WHERE p <= 11""",
+    "t17_currencies": r"""WITH x AS (SELECT doc_id, lower(text) AS b FROM documents), w AS (SELECT doc_id, b, regexp_extract_all(b, '[a-z][a-z0-9_-]{2,}') AS ws FROM x)
+        SELECT doc_id, array_to_string(list_filter([CASE WHEN b LIKE '%$%' OR b LIKE '%美元%' OR list_has_any(ws, ['usd', 'dollar', 'dollars']) THEN 'dollar' END,
+            CASE WHEN b LIKE '%€%' OR b LIKE '%欧元%' OR list_has_any(ws, ['eur', 'euro', 'euros']) THEN 'euro' END,
+            CASE WHEN b LIKE '%£%' OR b LIKE '%英镑%' OR list_has_any(ws, ['gbp', 'pound', 'pounds']) THEN 'pound' END,
+            CASE WHEN b LIKE '%¥%' OR b LIKE '%日元%' OR b LIKE '%人民币%' OR list_has_any(ws, ['jpy', 'cny', 'rmb', 'yen', 'yuan']) THEN 'yen' END], lambda v: v IS NOT NULL), ',') AS currencies FROM w""",
+    "f11_repository_titles": r"""WITH x AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '^/', '') AS title FROM pages)
+        SELECT page_id, title FROM x WHERE NOT regexp_full_match(title, '[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+')""",
+    "f17_localised": """SELECT doc_id, coalesce(nullif(split_part(text, chr(10), 1), ''), CAST(doc_id AS VARCHAR)) AS title, source AS label FROM documents""",
+    "k8_confirmed_deliveries": """SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS delivery_id FROM events
+        WHERE CAST(ts AS DATE) = DATE '2024-01-24' AND event_id % 4 <> 0 AND event_type IN ('purchase', 'click')""",
+    "x6_day_states": """WITH x AS (SELECT CAST(ts AS DATE) AS day, event_type, value, user_id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS n FROM events)
+        SELECT day, event_type IN ('purchase', 'click') AS blocks, event_type = 'purchase' AND (value > 50 OR user_id % 3 = 0) AS pending FROM x WHERE n = 1""",
+    "v8_missing_categories": f"""WITH {_SCORED}, h AS (SELECT DISTINCT run_id, category FROM i WHERE eligible_main AND total >= 60),
+        a AS (SELECT DISTINCT run_id, 'c' || CAST(n AS VARCHAR) AS category FROM (SELECT DISTINCT run_id FROM h), range(5) t(n))
+        SELECT run_id, coalesce(string_agg(category, ',' ORDER BY category) FILTER (category NOT IN (SELECT category FROM h h2 WHERE h2.run_id = a.run_id)), '') AS missing FROM a GROUP BY run_id""",
 }
