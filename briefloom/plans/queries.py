@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import evidence, rules, text, urls
-from ..operators import anchors, boards, compose, corroboration, dedupe, history, ranking
+from ..functions import evidence, records, rules, text, urls
+from ..operators import anchors, boards, compose, corroboration, dedupe, history, lanes, ranking
 from ..sources import adapters
 from ..sources.adapters import candidates, clusters, event_records, now, scored_items, table
 
@@ -440,3 +440,31 @@ def v8_missing_categories(spark: SparkSession, d: str) -> DataFrame:
     every = F.array(*[F.lit(f"c{k}") for k in range(5)])
     found = items.groupBy("run_id", "category").count().groupBy("run_id").agg(F.collect_set("category").alias("held"))  # five at most
     return found.select("run_id", F.array_join(F.array_sort(F.array_except(every, "held")), ",").alias("missing"))
+
+
+def r6_two_passes(spark: SparkSession, d: str) -> DataFrame:
+    """Which records survive both gates, and why the others do not."""
+    rows = scored_items(spark, d).select("item", "run_id").withColumn("r", _record_struct())
+    kept, gone = lanes.two_passes(rows, lambda x: x.withColumn("status", _status()))
+    shown = lambda x: x.select("item", "run_id", F.array_join("why", ",").alias("reasons"), "status")
+    return shown(kept).withColumn("kept", F.lit(True)).unionByName(shown(gone).withColumn("kept", F.lit(False)))
+
+
+def f15_source_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Pages by the kind of source that their link shows, and whether a page of its host without www was asked for."""
+    u = F.col("url")
+    asked = F.concat(F.lit("https://www."), urls.host(u), F.lit("/"))
+    return table(spark, d, "pages").select("page_id", records.source_kind(u).alias("kind"), records.same_host(asked, u).alias("same"))
+
+
+def p1_technical_lane(spark: SparkSession, d: str) -> DataFrame:
+    """The technical lane over all runs of candidates, with an extractor that reads a record's flags off its number."""
+
+    def extract(c: DataFrame) -> DataFrame:
+        return c.select(
+            "run_id", "candidate_id", "url", "source_tier", "published_at", F.col("doc_id").alias("item"), F.col("source").alias("company"), F.col("candidate_id").alias("fingerprint"),
+            F.col("url").alias("final_url"), F.lit("verified").alias("source_status"), F.lit(None).cast("string").alias("original_status"),
+        ).withColumn("r", _record_struct())
+
+    shown, _ = lanes.technical(candidates(spark, d), lanes.technical_lane(extract, lambda x: x.withColumn("status", _status()), now()), now())
+    return shown.select("run_id", "item", "board", "rank", "total")

@@ -214,4 +214,13 @@ ORACLE_SQL = {
     "v8_missing_categories": f"""WITH {_SCORED}, h AS (SELECT DISTINCT run_id, category FROM i WHERE eligible_main AND total >= 60),
         a AS (SELECT DISTINCT run_id, 'c' || CAST(n AS VARCHAR) AS category FROM (SELECT DISTINCT run_id FROM h), range(5) t(n))
         SELECT run_id, coalesce(string_agg(category, ',' ORDER BY category) FILTER (category NOT IN (SELECT category FROM h h2 WHERE h2.run_id = a.run_id)), '') AS missing FROM a GROUP BY run_id""",
+    "r6_two_passes": f"""WITH {_SCORED}, {_RECORD}, w AS (SELECT *, list_filter(why, lambda x: x <> 'duplicate_without_material_update') AS first_why FROM y),
+        v AS (SELECT *, (verified AND NOT secondary AND len(first_why) = 0) OR (len(list_filter(first_why, lambda x: x <> 'unverified_primary_source')) = 0
+              AND ((verified AND NOT secondary) OR (secondary AND verified AND item % 8 < 4))) AS passed FROM w)
+        SELECT item, run_id, array_to_string(CASE WHEN passed THEN why ELSE first_why END, ',') AS reasons, CASE WHEN passed THEN status END AS status,
+          passed AND len(why) = len(first_why) AS kept FROM v""",
+    "f15_source_kinds": r"""WITH x AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS h, lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)) AS p FROM pages)
+        SELECT page_id, CASE WHEN regexp_matches(h, '(^|\.)github\.com$') THEN 'repository' WHEN h = 'huggingface.co' AND contains(p, '/blob/') THEN 'model_card'
+          WHEN h IN ('arxiv.org', 'openreview.net') THEN 'paper' WHEN regexp_matches(h, '(^|\.)sec\.gov$') THEN 'financial_filing' WHEN regexp_matches(h, '\.gov(\.cn)?$') THEN 'law_or_regulation'
+          ELSE 'official_announcement' END AS kind, h <> '' AND NOT starts_with(h, 'www.') AS same FROM x""",
 }
