@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .scratch import staged
 
-SHARDS, BUCKET_BYTES, PROBES, TOLERANCE, MOST_BUCKETS = 24, 128 << 20, 32, 0.0005, 12_000
+SHARDS, BUCKET_BYTES, PROBES, TOLERANCE, MOST_BUCKETS = 24, 32 << 20, 32, 0.0005, 12_000
 _SIGN, _WORD = 1 << 63, 1 << 64
 
 
@@ -117,7 +117,7 @@ def sharded(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shar
     before = [int(rows[k - k % each : k].sum()) for k in range(shards * each)]
     held = docs.drop("size", "shard", "slot")
     held = held.select(F.struct(*held.columns).alias("doc"), high.alias("high"), low.alias("low"), size.alias("size"))
-    dealt = held.withColumn("bucket", bucket(F.col("high"), F.col("low"), splitters)).repartitionById(shards * each, F.col("bucket").cast("int"))
+    dealt = held.withColumn("bucket", bucket(F.col("high"), F.col("low"), splitters)).repartition("bucket")
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("high", "low")) - 1
     base = F.element_at(F.array(*map(F.lit, before)), F.col("bucket").cast("int") + 1) if each * shards <= 1000 else lookup(F.col("bucket"), before)
     return dealt.select("doc.*", "size", F.floor(F.col("bucket") / each).cast("int").alias("shard"), (place + base).cast("bigint").alias("slot"))
