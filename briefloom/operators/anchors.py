@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import evidence
+from ..functions import evidence, text
 
 #: Keys of quotes that may be broadcast; beyond, the join is a shuffle.
 BROADCAST_ROWS = 500_000
@@ -16,7 +16,7 @@ KEY_WORDS, LEAST_WORDS = 5, 3
 def validated(records: DataFrame) -> DataFrame:
     """records (claims and quotes: array<string>, source_text, source_status, covers_full_claim, verification_status) with
     n_anchors (quotes that stand in the source), covers_full_claim and verification_status after the check."""
-    read = records.withColumns({"_claims": evidence.profiles(F.col("claims")), "_quotes": evidence.profiles(F.col("quotes")), "_source": evidence.profile(F.col("source_text"))})
+    read = records.withColumns({"_claims": evidence.profiles(F.col("claims")), "_quotes": evidence.profiles(F.col("quotes")), "_source": text.normal_body(F.coalesce("source_text", F.lit("")))})
     held = read.withColumn("_kept", evidence.kept_anchors(F.col("_quotes"), F.col("_source")))
     covered = F.col("covers_full_claim") & evidence.all_supported(F.col("_claims"), F.col("_kept"))
     out = held.withColumns({"n_anchors": F.size("_kept").cast("bigint"), "covers_full_claim": covered})
@@ -25,7 +25,12 @@ def validated(records: DataFrame) -> DataFrame:
 
 
 def _windows(words: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i: F.xxhash64(F.slice(words, i, n)))
+    """The hashes of all runs of n words.  The words are bound to a variable first, so that they are split once and not for each run."""
+
+    def runs(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda i: F.xxhash64(F.slice(w, i, n)))
+
+    return F.flatten(F.transform(F.array(words), runs))
 
 
 def holdings(bodies: DataFrame, quotes: DataFrame) -> DataFrame:

@@ -396,7 +396,7 @@ def t15_material(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t17_currencies(spark: SparkSession, d: str) -> DataFrame:
-    out = table(spark, d, "documents").select("doc_id", evidence.profile(F.col("text"))["currencies"].alias("c"))
+    out = table(spark, d, "documents").select("doc_id", evidence.currencies(text.normal_body(F.coalesce("text", F.lit("")))).alias("c"))
     return out.select("doc_id", F.array_join("c", ",").alias("currencies"))
 
 
