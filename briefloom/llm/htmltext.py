@@ -6,7 +6,8 @@ moved before it, and elements nested deeper than MOST_DEPTH made siblings.  What
 left out: head, scripts, styles, templates, elements with `hidden` or an inline or simple style rule
 of display:none or visibility:hidden that holds on every screen.  Of drawings, text elements are shown.  All other text is emitted: blocks on lines of their own,
 paragraphs with an empty line between them, list items with their marks and indents, quotes
-with "> ", preformatted text as it is, table cells aligned in columns.
+with "> ", preformatted text as it is, table cells aligned in columns (a cell that spans rows keeps
+its columns in all of them and its text in the first).
 
 Null pages give null, empty or invisible ones the empty text.  Broken markup never raises: what
 cannot be read as a tag is text, a tag that the page's end cuts off is dropped.  Rows are rendered one
@@ -29,7 +30,8 @@ MOST_DEPTH = 150
 #: Cells wider than this do not widen their column, so padding stays in proportion to the text.
 MOST_WIDTH = 80
 
-# HTML's element groups.
+# HTML's bounds of colspan and rowspan, and its element groups.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes noscript textarea title".split())
 UNSEEN = set("head script style template noscript iframe noembed noframes title meta link datalist object audio video canvas annotation annotation-xml".split())
@@ -46,6 +48,7 @@ FORMATTING = set("a abbr b bdi bdo cite code dfn em font i kbd label mark q s sa
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""\s*/?([^\s"'>/=]+)?(?:\s*=\s*("[^"]*(?:"|$)|'[^']*(?:'|$)|[^\s"'>]*))?""")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
+_NUMBER = re.compile(r"[ \t\n\r\f]*\+?([0-9]{1,9})")
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _QUOTED = re.compile(r"""/\*.*?(?:\*/|\Z)|"[^"\n]*"|'[^'\n]*'""", re.S)
 _MARKS = re.compile(r"[{};]")
@@ -357,50 +360,72 @@ def _width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 1 + (unicodedata.east_asian_width(c) in "WF") for c in text)
 
 
-def _cells(node: Node, hides: set[str]) -> tuple[list[list[tuple[int, list[str]]]], list[list[str]]]:
-    """A table's rows of cells (columns spanned, lines), and its captions."""
-    rows, captions, todo = [], [], [node]
-    while todo:
-        x = todo.pop()
-        for c in x.children if x is node or x.tag in SECTIONS else ():
-            if isinstance(c, str) or _hidden(c, hides):
-                continue
-            if c.tag == "caption":
-                captions.append(laid_out(c, hides))
-            elif c.tag == "tr":
-                row = []
-                for cell in c.children:
-                    if isinstance(cell, Node) and cell.tag in ("td", "th") and not _hidden(cell, hides):
-                        span = cell.attrs.get("colspan", "1")
-                        row.append((min(max(int(span), 1), 100) if span.isdecimal() and len(span) < 5 else 1, laid_out(cell, hides)))
-                rows.append(row)
-            elif c.tag in SECTIONS:
-                part = _cells(c, hides)
-                rows += part[0]
-                captions += part[1]
-    return rows, captions
+def _span(node: Node, name: str, least: int, most: int) -> int:
+    """How many columns or rows a cell says that it takes."""
+    found = _NUMBER.match(node.attrs.get(name, "1"))
+    return min(max(int(found[1]), least), most) if found else 1
+
+
+def _placed(rows: list[list[tuple[int, int, list[str]]]]) -> list[list[tuple[int, int, list[str]]]]:
+    """Cells (columns and rows spanned, lines) of one group of rows as (first column, columns spanned, lines): a cell takes the first
+    column that no cell from above reaches into.  A cell that spans no row spans all that are left of its group."""
+    free: dict[int, int] = {}  # of each column: the first row that cells above leave free
+    out = []
+    for i, row in enumerate(rows):
+        at, here = 0, []
+        for across, down, lines in row:
+            while free.get(at, 0) > i:
+                at += 1
+            here.append((at, across, lines))
+            end = i + down if down else len(rows)
+            if end > i + 1:
+                for column in range(at, at + across):
+                    free[column] = max(free.get(column, 0), end)
+            at += across
+        out.append(here)
+    return out
+
+
+def _cells(node: Node, hides: set[str]) -> tuple[list[list[tuple[int, int, list[str]]]], list[list[str]]]:
+    """A table's rows of placed cells (first column, columns spanned, lines), and its captions.  Cells span no rows of another group."""
+    rows, group, captions = [], [], []
+    for c in node.children:
+        if isinstance(c, str) or _hidden(c, hides):
+            continue
+        if c.tag == "caption":
+            captions.append(laid_out(c, hides))
+        elif c.tag == "tr":
+            cells = [x for x in c.children if isinstance(x, Node) and x.tag in ("td", "th") and not _hidden(x, hides)]
+            group.append([(_span(x, "colspan", 1, MOST_COLUMNS), _span(x, "rowspan", 0, MOST_ROWS), laid_out(x, hides)) for x in cells])
+        elif c.tag in SECTIONS:
+            rows += _placed(group)
+            group = []
+            part = _cells(c, hides)
+            rows += part[0]
+            captions += part[1]
+    return rows + _placed(group), captions
 
 
 def _table(page: Page, node: Node, hides: set[str]) -> None:
+    """Columns are aligned; the text of a cell that spans rows stands in the first of them."""
     rows, captions = _cells(node, hides)
     for lines in captions:
         for x in lines:
             page.line(x)
     widths: dict[int, int] = {}
     for row in rows:
-        at = 0
-        for span, lines in row:
+        for at, span, lines in row:
             if span == 1:
                 widths[at] = max([widths.get(at, 0), *(w for w in map(_width, lines) if w <= MOST_WIDTH)])
-            at += span
     for row in rows:
-        for k in range(max((len(lines) for _, lines in row), default=0)):
-            parts, at = [], 0
-            for span, lines in row:
+        for k in range(max((len(lines) for _, _, lines in row), default=0)):
+            parts, next_column = [], 0
+            for at, span, lines in row:
+                parts += [" " * widths.get(i, 0) for i in range(next_column, at)]
                 text = lines[k] if k < len(lines) else ""
                 room = sum(widths.get(i, 0) for i in range(at, at + span)) + 2 * (span - 1)
                 parts.append(text + " " * max(0, room - _width(text)))
-                at += span
+                next_column = at + span
             page.line("  ".join(parts).rstrip(" "))
 
 
