@@ -72,3 +72,41 @@ def with_provenance(record: Column, tier: Column, asked: Column, found: Column,
     asked for, is secondary, and so is one that says so while its original was looked up."""
     secondary = (record["source_type"] == SECONDARY) & original_status.isNotNull() | (tier > 2) | ~same_host(asked, found)
     return record.withField("source_type", F.when(secondary, SECONDARY).otherwise(source_kind(found))).withField("original_source_status", original_status)
+
+
+# How many characters the texts of a draft keep.
+DRAFT_BOUNDS = {
+    "candidate_id": 160, "original_title": 120, "title_en": 120, "summary_en": 320, "title_zh": 80, "summary_zh": 220,
+    "concrete_change": 1200, "evidence_url": 1000, "event_fingerprint": 1000, "update_of": 500, "source": 120,
+}
+NO_SUMMARY, JOINT = "No summary was provided by the source.", "；"
+
+
+def draft(c: Column, r: Column, fingerprint: Column, update_of: Column, score: Column) -> Column:
+    """A publishable item from a candidate (candidate_id, title, summary, source, published_at), its record and its score.
+
+    Of a secondary source whose original cannot be had, that is the item's status."""
+    lost = (r["source_type"] == SECONDARY) & r["original_source_status"].isin("unavailable", "blocked")
+    texts = {
+        "candidate_id": c["candidate_id"],
+        "original_title": c["title"],
+        "title_en": c["title"],
+        "summary_en": F.coalesce(F.nullif(c["summary"], F.lit("")), F.lit(NO_SUMMARY)),
+        "title_zh": r["title_zh"],
+        "summary_zh": r["summary_zh"],
+        "concrete_change": F.array_join(F.transform(r["concrete_changes"], lambda x: x["statement"]), JOINT),
+        "evidence_url": r["source_url"],
+        "event_fingerprint": fingerprint,
+        "update_of": update_of,
+        "source": c["source"],
+    }
+    same = "affected_audience affected_area recommended_action primary_entity product_or_model event_entities change_signature version_or_metric effective_date resource_available category".split()
+    return F.struct(
+        *[safe(x, DRAFT_BOUNDS[name]).alias(name) for name, x in texts.items()],
+        F.when(F.coalesce(lost, F.lit(False)), r["original_source_status"]).otherwise(r["verification_status"]).alias("verification_status"),
+        r["original_paper_or_independent_validation"].alias("scientific_verified"),
+        *[r[name].alias(name) for name in same],
+        F.slice(F.filter(r["extra_categories"], lambda x: x != r["category"]), 1, 3).alias("extra_categories"),
+        c["published_at"].alias("published_at"),
+        score.alias("score"),
+    )

@@ -8,6 +8,7 @@ import unicodedata
 from html.parser import HTMLParser
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,10 +25,11 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def truncated(text: Column, limit: int) -> Column:
+def truncated(text: Column, limit: int | Column) -> Column:
     """White space collapsed; what is longer than the limit ends in an ellipsis."""
     flat = collapsed(text)
-    return F.when(F.char_length(flat) <= limit, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, max(0, limit - 1))), F.lit("…")))
+    shown = max(0, limit - 1) if isinstance(limit, int) else F.greatest(F.lit(0), limit - 1)
+    return F.when(F.char_length(flat) <= limit, flat).otherwise(F.concat(F.rtrim(F.substring(flat, F.lit(1), F.lit(shown))), F.lit("…")))
 
 
 def estimated_tokens(text: Column) -> Column:
@@ -36,6 +38,36 @@ def estimated_tokens(text: Column) -> Column:
     return (wide + F.ceil((F.char_length(text) - wide) / 3)).cast("bigint")
 
 
+def excerpt_within(value: str, frame_wide: int, frame_other: int, budget: int) -> str:
+    """The longest beginning of a text on one line that fits beside a frame of so many wide and other characters, as JSON."""
+    flat = " ".join(value.split())
+    units = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
+    wide = (units >= 0x3400) & (units <= 0x9FFF)
+    # quotes, backslashes and backspaces take two characters of JSON, other control characters six
+    size = 1 + np.isin(units, (0x22, 0x5C, 0x08)) + 5 * ((units < 0x20) & (units != 0x08))
+    sums = lambda x: np.concatenate([[0], np.cumsum(x)])
+    n_wide, n_other = sums(wide), sums(np.where(wide, 0, size))
+    tokens = lambda w, o: frame_wide + w + (frame_other + o + 2) // 3
+    if tokens(n_wide[-1], n_other[-1]) <= budget:
+        return flat
+    # what is cut ends in one more character, the ellipsis, after the last character that is no space
+    ends = np.arange(max(0, len(flat) - 1))
+    ends -= (ends > 0) & (units[ends - 1] == 0x20)
+    fit = int(np.searchsorted(tokens(n_wide[ends], n_other[ends] + 1), budget, "right"))
+    return flat[: ends[fit - 1]] + "…" if fit else ""
+
+
+def excerpt(text: Column, frame: Column, budget: int) -> Column:
+    """The longest beginning of the text that, in the frame that a prompt puts around it, stays within a budget of estimated tokens."""
+
+    def run(texts: pa.Array, wide: pa.Array, other: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), wide.to_pylist(), other.to_pylist())
+        return pa.array([None if t is None else excerpt_within(t, w or 0, o or 0, budget) for t, w, o in rows], pa.string())
+
+    wide = F.regexp_count(frame, F.lit(CJK_WIDE))
+    return F.arrow_udf(run, "string")(text, wide, F.char_length(frame) - wide)
+
+
 def is_chinese(text: Column) -> Column:
     """Two CJK characters at least."""
     return F.coalesce(F.regexp_count(F.trim(text), F.lit(CJK)) >= 2, F.lit(False))
@@ -101,6 +133,15 @@ def slug(text: Column) -> Column:
     return _mapped(slug_text)(text)
 
 
+def slugs(texts: Column) -> Column:
+    """The slugs of a list of texts, in its order; null texts are empty."""
+
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else [slug_text(t or "") for t in x] for x in column.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrow_udf(run, "array<string>")(texts)
+
+
 def normal_title(text: Column) -> Column:
     return _mapped(title_text)(text)
 

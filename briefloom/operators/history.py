@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import slugs
 from ..functions.urls import canonical_url
 
 URL_DAYS, EVENT_DAYS, ZONE = 30, 7, "Asia/Shanghai"
@@ -133,3 +134,32 @@ def day_states(states: DataFrame) -> DataFrame:
     last = states.groupBy("day").agg(F.max_by(F.struct("delivery_status", "sync_pending", "dashboard_pending"), "at").alias("s"))
     sent = F.col("s.delivery_status") == "sent"
     return last.select("day", F.col("s.delivery_status").isin("sent", "uncertain_delivery").alias("blocks"), (sent & (F.col("s.sync_pending") | F.col("s.dashboard_pending"))).alias("pending"))
+
+
+def snapshots(records: DataFrame, lane: str, now: Column) -> DataFrame:
+    """Records as entries of event history: their names as slugs, and what they are about as one sorted set.
+
+    records: fingerprint, primary_entity, product_or_model, change_signature, version_or_metric, effective_date, event_entities, source_url;
+    of the technical lane resource_available, scientific_verified and source_type, of the global one scientific_verified,
+    source_type and geographic_scope, where known.  What a lane does not tell is false or empty."""
+    known = lambda name, default: F.coalesce(name, default) if name in records.columns else default
+    none = F.array().cast("array<string>")
+    names = ["primary_entity", "product_or_model", "change_signature", "version_or_metric", "effective_date"]
+    scope = known("geographic_scope", none) if lane == "global" else none
+    entities = F.coalesce("event_entities", none)
+    # one call for all names of a row
+    read = records.withColumn("_s", slugs(F.concat(F.array(*names), entities, scope))).withColumn("_n", F.size(entities))
+    s = F.col("_s")
+    about = F.concat(F.slice(s, 1, 2), F.slice(s, F.lit(len(names) + 1), F.col("_n")))
+    return read.select(
+        "fingerprint",
+        F.lit(lane).alias("lane"),
+        now.alias("recorded_at"),
+        F.array_sort(F.array_distinct(F.filter(about, lambda x: x != ""))).alias("entities"),
+        *[s[k].alias(name) for k, name in enumerate(names)],
+        (known("resource_available", F.lit(False)) if lane == "technical" else F.lit(False)).alias("resource_available"),
+        known("scientific_verified", F.lit(False)).alias("scientific_verified"),
+        known("source_type", F.lit("")).alias("source_type"),
+        F.slice(s, F.lit(len(names) + 1) + F.col("_n"), F.greatest(F.lit(0), F.size(s))).alias("geographic_scope"),
+        "source_url",
+    )

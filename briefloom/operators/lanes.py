@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import records, rules
 from ..functions.tables import staged
 from . import boards as board_rules
-from . import ranking
+from . import corroboration, ranking
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -60,3 +60,43 @@ def technical(candidates: DataFrame, lane: Lane, now: Column) -> tuple[DataFrame
 
 def technical_lane(extract: Step, classify: Step, now: Column) -> Lane:
     return Lane(lambda c: ranking.technical_shortlist(c, now), extract, classify)
+
+
+class GlobalLane(NamedTuple):
+    """The steps of the global lane: candidates to shortlisted ones; those to records in a struct column `r`, null where none could be
+    made, with fingerprint and source_status; records to the same with `status` against history."""
+
+    shortlist: Step
+    extract: Step
+    classify: Step
+    select: Step = board_rules.global_selection
+
+
+def global_events(candidates: DataFrame, lane: GlobalLane, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events, audit, stats by run) of all runs of candidates (run_id, candidate_id, published_at, ...).
+
+    Every record is held against how many hosts of its run tell of its event; audit has a row for each shortlisted candidate."""
+    short = staged(lane.shortlist(candidates), "shortlist")
+    found = staged(lane.extract(short), "events")
+    r = F.col("r")
+    made = found.where(r.isNotNull())
+    by = ["run_id", "fingerprint"]
+    reports = made.select(*by, *[r[x].alias(x) for x in ("source_url", "source_type", "verification_status")])
+    hosts = corroboration.secondary_hosts(reports, by).select(*by, "n_reports", "secondary_hosts")
+    age = (F.unix_micros(now) - F.unix_micros("published_at")) / 3.6e9
+    known = lane.classify(made).join(hosts.hint("merge"), by).withColumn("age", age)
+    why = rules.global_reasons(r, F.col("secondary_hosts"), F.col("status"), F.col("age"))
+    scored = known.withColumn("why", why).withColumn("s", rules.global_score(r, F.col("secondary_hosts"), F.col("status"), F.col("age")))
+    gated = staged(scored.select("*", F.col("s.total").alias("total"), F.col("s.recency").alias("time_sensitivity"), F.col("s.evidence_quality").alias("evidence_quality"), F.unix_timestamp("published_at").alias("published")), "gated")
+    events = staged(lane.select(gated.where(F.size("why") == 0)), "chosen")
+
+    seen = gated.select("run_id", "candidate_id", "source_status", "n_reports", "why", "status", F.when(F.size("why") == 0, F.col("total")).alias("total"))
+    none = {"n_reports": "bigint", "status": "string", "total": "int"}
+    failed = found.where(r.isNull()).select("run_id", "candidate_id", "source_status", F.array(F.lit("global_extraction_failed")).alias("why"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    marks = events.select("run_id", "candidate_id", F.lit(True).alias("selected"))
+    audit = seen.unionByName(failed).withColumn("n_reports", F.coalesce("n_reports", F.lit(0))).join(marks.hint("merge"), ["run_id", "candidate_id"], "left").na.fill(False, ["selected"])
+    counts = audit.groupBy("run_id").agg(F.count("*").alias("shortlist_count"), F.count_if(F.col("source_status") == "verified").alias("source_verified_count"), F.count_if(~F.col("selected")).alias("rejected_count"))
+    told = events.groupBy("run_id").agg(F.bool_or((F.col("age") > 48) & (F.col("age") <= 168)).alias("fallback_used"))
+    every = candidates.groupBy("run_id").agg(F.count("*").alias("candidate_count"))
+    stats = every.join(counts, "run_id", "left").join(told, "run_id", "left").na.fill(0).na.fill(False, ["fallback_used"])
+    return events, audit, stats

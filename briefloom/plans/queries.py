@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import evidence, records, rules, text, urls
-from ..operators import anchors, boards, compose, corroboration, dedupe, history, lanes, ranking
+from ..functions import actions, evidence, records, rules, text, urls
+from ..operators import anchors, boards, compose, contracts, corroboration, dedupe, history, lanes, ranking
 from ..sources import adapters
 from ..sources.adapters import candidates, clusters, event_records, now, scored_items, table
 
@@ -468,3 +468,150 @@ def p1_technical_lane(spark: SparkSession, d: str) -> DataFrame:
 
     shown, _ = lanes.technical(candidates(spark, d), lanes.technical_lane(extract, lambda x: x.withColumn("status", _status()), now()), now())
     return shown.select("run_id", "item", "board", "rank", "total")
+
+
+def t13_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    """What of each document fits a prompt of 1,200 tokens beside its title and its source."""
+    docs = table(spark, d, "documents")
+    title = text.truncated(F.split("text", "\n", 2)[0], 300)
+    frame = F.to_json(F.struct(F.col("doc_id").cast("string").alias("candidate_id"), title.alias("source_title"), "source", F.lit("").alias("source_text")))
+    out = docs.select("doc_id", text.excerpt(F.col("text"), frame, 1200).alias("excerpt"))
+    return out.select("doc_id", F.char_length("excerpt").cast("bigint").alias("n_chars"), F.sha2("excerpt", 256).alias("excerpt_sha256"))
+
+
+def t22_actions(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's first line as a change, whose kind and time limit follow from its number."""
+    k = F.col("doc_id")
+    kinds = ("pricing_change", "New Policy", "eval", "open_source", "model", "other", "API cost")
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (k % len(kinds) + 1).cast("int"))
+    first = F.struct(F.split(F.coalesce("text", F.lit("")), "\n", 2)[0].alias("statement"), kind.alias("change_type"))
+    days = F.when(k % 5 == 0, F.lit(None).cast("int")).otherwise((k % 45).cast("int"))
+    action = actions.recommended(F.array(F.struct(F.lit(" ").alias("statement"), F.lit("policy").alias("change_type")), first), F.array(F.lit(" "), "source"), F.array("lang"), days)
+    return table(spark, d, "documents").select("doc_id", action.alias("action"))
+
+
+def p3_daily(spark: SparkSession, d: str) -> DataFrame:
+    """The briefing of every run: its boards without what the global events tell, and one run that has nothing."""
+    at = F.col("published").cast("timestamp").alias("published_at")
+    times = scored_items(spark, d).select("run_id", "item", at)
+    shown = w5_boards(spark, d).join(times, ["run_id", "item"]).select("run_id", F.col("item").alias("candidate_id"), "published_at", (F.col("item") % 2 == 0).alias("actionable"))
+    events = w8_global_selection(spark, d).join(times, ["run_id", "item"])
+    groups = F.array("category", F.concat(F.lit("g"), (F.col("item") % 3).cast("string")))
+    events = events.select("run_id", "rank", F.col("item").alias("candidate_id"), F.concat(F.lit("e"), F.col("item").cast("string")).alias("title"), groups.alias("groups"), "published_at")
+    counts = scored_items(spark, d).groupBy("run_id").agg(F.count("*").alias("candidate_count"), F.count_if("eligible_watch").alias("global_candidate_count"), F.countDistinct("company").alias("source_count"))
+    empty = spark.range(1).select(F.lit("none").alias("run_id"), *[F.lit(0).cast("bigint").alias(c) for c in counts.columns[1:]])
+    runs = counts.unionByName(empty).withColumn("lookback_hours", F.lit(36)).withColumn("fallback_used", F.lit(False))
+    briefings, _ = compose.daily(runs, shown, events, F.lit("2001-08-02 00:00:00").cast("timestamp"))
+    return briefings.withColumn("latest_published_at", F.coalesce(F.unix_timestamp("latest_published_at"), F.lit(0)))
+
+
+def _global_record() -> Column:
+    """A global record whose flags follow from the number of a document; null for one that could not be read."""
+    k = F.col("doc_id")
+    flag = lambda m: (k % m == 0)
+    scope = F.when(k % 5 == 0, F.array(F.lit("US"))).otherwise(F.array(F.lit("US"), F.lit("EU")))
+    r = F.struct(
+        (k % 11 != 0).alias("occurred"), (k % 13 != 0).alias("material_change"), flag(17).alias("funding_only"), flag(19).alias("opinion_only"), flag(4).alias("policy_claim"), flag(8).alias("policy_text_available"),
+        flag(23).alias("title_body_conflict"), flag(9).alias("scientific_claim"), flag(3).alias("scientific_verified"), F.array(F.lit("a")).alias("evidence_anchors"), F.lit("verified").alias("verification_status"),
+        F.when(k % 3 == 0, "trusted_secondary").otherwise("paper").alias("source_type"), F.when(k % 6 < 2, "global").otherwise("multi_market").alias("impact_scope"), scope.alias("geographic_scope"), F.col("url").alias("source_url"),
+    )
+    return F.when(k % 47 != 0, r)
+
+
+def p2_global_lane(spark: SparkSession, d: str) -> DataFrame:
+    """The global lane over all runs of candidates: what became of every candidate of its shortlist."""
+
+    def extract(c: DataFrame) -> DataFrame:
+        k = F.col("doc_id")
+        named = c.select("run_id", "candidate_id", "doc_id", "published_at", "url", F.col("source").alias("category"), (k / 2).cast("bigint").alias("fingerprint"), k.alias("item"), F.when(k % 10 == 0, "insufficient").otherwise("verified").alias("source_status"))
+        return named.withColumn("r", _global_record())
+
+    lane = lanes.GlobalLane(lambda c: ranking.global_shortlist(c, now()), extract, lambda x: x.withColumn("status", _status()))
+    _, audit, stats = lanes.global_events(candidates(spark, d), lane, now())
+    told = audit.select("run_id", "candidate_id", "source_status", F.array_join("why", ",").alias("reasons"), F.coalesce("total", F.lit(0)).alias("total"), "selected", F.col("n_reports").cast("bigint").alias("n_reports"))
+    return told.join(stats.hint("merge"), "run_id")
+
+
+def f14_drafts(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates with a record of their own title and first lines as publishable items."""
+    c = candidates(spark, d)
+    k, lines = F.col("doc_id"), F.split("summary", "\n")
+    nothing = F.lit("").alias
+    r = F.struct(
+        F.col("title").alias("title_zh"), F.col("summary").alias("summary_zh"), F.transform(F.slice(lines, 1, 3), lambda x: F.struct(x.alias("statement"))).alias("concrete_changes"), F.array("lang_hint").alias("affected_audience"),
+        F.array("source").alias("affected_area"), F.array("title").alias("recommended_action"), F.col("url").alias("source_url"), F.when(k % 3 == 0, records.SECONDARY).otherwise("paper").alias("source_type"),
+        F.when(k % 2 == 0, "blocked").otherwise("verified").alias("original_source_status"), F.lit("verified").alias("verification_status"), F.col("source").alias("primary_entity"), nothing("product_or_model"),
+        F.array("source").alias("event_entities"), nothing("change_signature"), nothing("version_or_metric"), F.lit(None).cast("string").alias("effective_date"), (k % 2 == 0).alias("resource_available"), F.lit(False).alias("original_paper_or_independent_validation"),
+        F.lit("agents").alias("category"), F.array(*map(F.lit, ("agents", "mcp", "skills", "new_models", "ai_coding"))).alias("extra_categories"),
+    )
+    both = c.withColumn("lang_hint", F.col("run_id")).withColumn("r", r).withColumn("c", F.struct("candidate_id", "title", "summary", "source", "published_at"))
+    made = both.select("candidate_id", records.draft(F.col("c"), F.col("r"), F.col("candidate_id"), F.lit(None).cast("string"), F.lit(70)).alias("draft"))
+    return made.select("candidate_id", "draft.verification_status", F.array_join("draft.extra_categories", ",").alias("extra_categories"), F.char_length("draft.concrete_change").cast("bigint").alias("n_change"), F.sha2(F.to_json("draft"), 256).alias("draft_sha256"))
+
+
+def k6_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Events as entries of history."""
+    e = event_records(spark, d)
+    company = F.regexp_replace("primary_entity", "user", "User ")
+    rows = e.withColumn("primary_entity", company).withColumn("event_entities", F.array(F.upper("product_or_model"), F.lit(" "))).withColumn("geographic_scope", F.array(F.lit("EU"))).withColumn("source_url", F.lit(""))
+    out = history.snapshots(rows, "technical", F.lit(adapters.NOW).cast("timestamp"))
+    return out.select("fingerprint", F.array_join("entities", ",").alias("entities"), "primary_entity", "change_signature", "version_or_metric", "resource_available", F.size("geographic_scope").cast("bigint").alias("n_regions"))
+
+
+def _order_lines(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "lineitem")
+    return x.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", F.date_format("l_shipdate", "yyyy-MM-dd'T00:00:00Z'").alias("day"))
+
+
+def v2_old_digests(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as digests of the old form, lines as their items; some break the contract."""
+    k, name = F.col("l_partkey"), lambda x, c: F.concat(F.lit(x), F.col(c).cast("string"))
+    blank = lambda n: F.lit("").alias(n)
+    item = F.struct(
+        name("part ", "l_partkey").alias("original_title"), blank("title_en"), blank("summary_en"), blank("title_zh"), blank("summary_zh"),
+        F.concat(F.when(k % 97 == 0, "http").otherwise("https"), F.lit("://example.com/"), k.cast("string")).alias("url"), name("supplier ", "l_suppkey").alias("source"), F.col("day").alias("published_at"),
+        F.when(k % 89 == 0, "all").otherwise("agents").alias("category"), F.array().cast("array<string>").alias("extra_categories"), (F.col("l_quantity") * 2 + k % 3).cast("bigint").alias("importance"),
+    )
+    lines = _order_lines(spark, d).groupBy("l_orderkey").agg(F.collect_list(item).alias("items"), F.count("*").alias("n"))  # an order has a few lines
+    o = F.col("l_orderkey")
+    digest = F.struct(
+        F.lit(2).alias("schema_version"), F.when(o % 17 == 0, "no_qualifying_items").otherwise("published").alias("run_status"), F.lit("2002-01-01T00:00:00Z").alias("generated_at"),
+        (F.col("n") + o % 5 - 1).alias("candidate_count"), F.lit(1).alias("source_count"), F.lit(None).cast("string").alias("latest_published_at"), F.lit(0).alias("fresh_count_24h"), F.lit(36).alias("lookback_hours"),
+        F.lit(False).alias("fallback_used"), "items",
+    )
+    documents = lines.select("l_orderkey", F.to_json(digest, {"ignoreNullFields": "false"}).alias("payload"))
+    return contracts.checked(documents).select("l_orderkey", "version", F.array_join("violations", ",").alias("violations"), "good")
+
+
+def v3_digest_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as digests of the present form, lines as their items on boards; some break the contract."""
+    k, text_of = F.col("l_partkey"), lambda x, c: F.concat(F.lit(x), F.col(c).cast("string"))
+    parts = [(k % n).alias(name) for name, n in (("relevance", 26), ("actionability", 21), ("specificity", 16), ("information_gain", 16), ("evidence_quality", 16), ("time_sensitivity", 11))]
+    sums = sum((k % n for n in (26, 21, 16, 16, 16, 11)), F.lit(0))
+    penalties = F.when(k % 4 == 0, F.lit(-10)).otherwise(0)
+    score = F.struct(*parts, penalties.alias("penalties"), (F.greatest(F.lit(0), sums + penalties) + (k % 61 == 0).cast("int")).alias("total"))
+    one, blank = lambda x: F.array(F.lit(x)), F.lit("")
+    board = F.when(F.col("l_linenumber") <= 3, "must_read").when(F.col("l_linenumber") <= 5, "try_now").otherwise("watch")
+    item = F.struct(
+        F.col("candidate").alias("candidate_id"), board.alias("board"), text_of("part ", "l_partkey").alias("original_title"), blank.alias("title_en"), blank.alias("summary_en"), blank.alias("title_zh"), blank.alias("summary_zh"),
+        F.lit("change").alias("concrete_change"), one("a").alias("affected_audience"), one("b").alias("affected_area"), one("c").alias("recommended_action"), F.lit("https://example.com/").alias("evidence_url"),
+        F.lit("verified").alias("verification_status"), text_of("s", "l_suppkey").alias("event_fingerprint"), F.lit(None).cast("string").alias("update_of"), F.lit("p").alias("primary_entity"), blank.alias("product_or_model"),
+        F.array().cast("array<string>").alias("event_entities"), F.lit("s").alias("change_signature"), blank.alias("version_or_metric"), F.when(k % 101 == 0, "2026-02-30").alias("effective_date"), F.lit(True).alias("resource_available"),
+        F.lit(False).alias("scientific_verified"), F.lit("source").alias("source"), F.col("day").alias("published_at"), F.lit("mcp").alias("category"), one("skills").alias("extra_categories"), score.alias("score"),
+    )
+    lines = _order_lines(spark, d)
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    lines = lines.withColumn("candidate", F.concat_ws("-", "l_orderkey", number)).select("l_orderkey", "day", item.alias("item"))
+    listed = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("item.board", "item.candidate_id", "item"))).alias("x"), F.max("day").alias("latest"))
+    of = {b: F.transform(F.filter("x", lambda e: e["board"] == b), lambda e: e["item"]) for b in compose.BOARD_LIMITS}  # noqa: B023
+    none = F.create_map().cast("map<string, int>")
+    stats = lambda rejected: F.struct(F.lit(40).alias("candidate_count"), rejected.alias("shortlist_count"), F.lit(0).alias("source_verified_count"), F.lit(0).alias("rejected_count"), none.alias("top_rejection_reasons"))
+    o = F.col("l_orderkey")
+    digest = F.struct(
+        F.lit(4).alias("schema_version"), F.lit("published").alias("run_status"), F.concat(F.substring("latest", 1, 10), F.when(o % 3 == 0, "T12:00:00Z").otherwise("T00:00:00Z")).alias("generated_at"), F.lit(40).alias("candidate_count"),
+        F.lit(2).alias("source_count"), F.col("latest").alias("latest_published_at"), F.lit(1).alias("fresh_count_24h"), F.lit(48).alias("lookback_hours"), F.lit(False).alias("fallback_used"), F.struct(*[v.alias(b) for b, v in of.items()]).alias("boards"),
+        F.concat(*of.values()).alias("items"), stats(F.size("x")).alias("pipeline_stats"), F.when(o % 29 == 0, " ").otherwise("told").alias("daily_narrative_zh"), F.array().cast("array<string>").alias("global_events"),
+        stats(F.lit(0)).alias("global_pipeline_stats"),
+    )
+    documents = listed.select("l_orderkey", F.to_json(digest, {"ignoreNullFields": "false"}).alias("payload"))
+    return contracts.checked(documents).select("l_orderkey", "version", F.array_join("violations", ",").alias("violations"), "good")

@@ -223,4 +223,36 @@ ORACLE_SQL = {
         SELECT page_id, CASE WHEN regexp_matches(h, '(^|\.)github\.com$') THEN 'repository' WHEN h = 'huggingface.co' AND contains(p, '/blob/') THEN 'model_card'
           WHEN h IN ('arxiv.org', 'openreview.net') THEN 'paper' WHEN regexp_matches(h, '(^|\.)sec\.gov$') THEN 'financial_filing' WHEN regexp_matches(h, '\.gov(\.cn)?$') THEN 'law_or_regulation'
           ELSE 'official_announcement' END AS kind, h <> '' AND NOT starts_with(h, 'www.') AS same FROM x""",
+    "t22_actions": r"""WITH d AS (SELECT doc_id, source AS au, lang AS ar, trim(regexp_replace(split_part(coalesce(text, ''), chr(10), 1), '[\s\p{Z}]+', ' ', 'g')) AS st,
+          CASE WHEN doc_id % 5 = 0 THEN '7天内' WHEN doc_id % 45 = 0 THEN '今天' ELSE least(30, doc_id % 45) || '天内' END AS h FROM documents),
+        a AS (SELECT doc_id, st, CASE doc_id % 7 WHEN 0 THEN au || '应在' || h || '按当前用量重新计算' || ar || '，并与当前方案对比' WHEN 6 THEN au || '应在' || h || '按当前用量重新计算' || ar || '，并与当前方案对比'
+          WHEN 1 THEN au || '应在' || h || '核对' || ar || '的适用范围和生效时间，并更新合规清单' WHEN 2 THEN au || '应在' || h || '使用自身任务集复测' || ar || '，不要仅凭公开基准改变选型'
+          WHEN 3 THEN au || '应在' || h || '于隔离环境验证' || ar || '，并核查安装方式、许可证和维护状态' WHEN 4 THEN au || '应在' || h || '先在非生产环境验证' || ar || '的兼容性、性能和成本，再决定是否采用'
+          ELSE au || '应在' || h || '针对' || ar || '进行小范围验证，再决定是否扩大使用' END || '。依据：' AS lead FROM d)
+        SELECT doc_id, CASE WHEN st = '' THEN NULL WHEN length(lead) + length(st) <= 300 THEN lead || st ELSE lead || rtrim(left(st, 299 - length(lead)), ' ') || '…' END AS action FROM a""",
+    "p3_daily": f"""WITH {_SCORED}, {_BOARDS}, {_GLOBAL}, r AS (SELECT run_id, count(*) AS candidate_count, count(*) FILTER (eligible_watch) AS global_candidate_count, count(DISTINCT company) AS source_count FROM i GROUP BY run_id
+          UNION ALL SELECT 'none', 0, 0, 0), l AS (SELECT b.run_id, item FROM b WHERE item % 2 = 0 OR (run_id, item) NOT IN (SELECT (run_id, item) FROM g)),
+        t AS (SELECT run_id, item, TRUE AS is_event FROM g UNION ALL SELECT run_id, item, FALSE FROM l),
+        a AS (SELECT t.run_id, count(*) FILTER (is_event) AS n_events, count(*) FILTER (NOT is_event) AS n_items, max(published) AS latest, count(*) FILTER (996710400 - published BETWEEN 0 AND 86400) AS fresh,
+          coalesce(bool_or(996710400 - published > 172800 AND 996710400 - published <= 604800) FILTER (is_event), FALSE) AS late FROM t JOIN i ON t.run_id = i.run_id AND t.item = i.item GROUP BY t.run_id),
+        x AS (SELECT run_id, 2 * rank AS p, category AS name FROM g WHERE rank <= 3 UNION ALL SELECT run_id, 2 * rank + 1, 'g' || (item % 3) FROM g WHERE rank <= 3),
+        f AS (SELECT run_id, name, min(p) AS p FROM x GROUP BY ALL), q AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY p) AS n FROM f),
+        s AS (SELECT run_id, string_agg(name, '、' ORDER BY p) AS groups FROM q WHERE n <= 4 GROUP BY run_id), e AS (SELECT run_id, string_agg('e' || item, '；' ORDER BY rank) AS titles FROM g WHERE rank <= 3 GROUP BY run_id)
+        SELECT run_id, CASE WHEN n_events + n_items > 0 THEN 'published' ELSE 'no_qualifying_items' END AS run_status, coalesce(fresh, 0) AS fresh_count_24h, coalesce(latest, 0) AS latest_published_at,
+          CASE WHEN titles IS NOT NULL THEN '今天的全球 AI 重点包括：' || titles || '。主要影响' || groups || '，事实与原始来源见下方。' WHEN n_items > 0 THEN '今天没有全球重大事件通过核验；技术与工具栏有 ' || n_items || ' 条可行动信息。'
+            ELSE '今天没有全球重大事件或技术信息通过核验，以下为空榜说明。' END AS narrative,
+          source_count, coalesce(n_events, 0) AS n_events, coalesce(n_items, 0) AS n_items, greatest(candidate_count, global_candidate_count) AS candidate_count,
+          CAST(CASE WHEN coalesce(late, FALSE) THEN 168 ELSE 48 END AS INTEGER) AS lookback_hours, coalesce(late, FALSE) AS fallback_used FROM r LEFT JOIN a USING (run_id) LEFT JOIN s USING (run_id) LEFT JOIN e USING (run_id)""",
+    "k6_snapshots": """WITH x AS (SELECT *, coalesce(json_extract_string(props, '$.k'), '') AS ver, 'user' || user_id AS u FROM events)
+        SELECT concat_ws('|', u, event_type, event_type, ver, '') AS fingerprint, array_to_string(list_sort([event_type, 'user%20' || user_id]), ',') AS entities, 'user%20' || user_id AS primary_entity,
+          event_type AS change_signature, lower(ver) AS version_or_metric, event_id % 5 = 0 AS resource_available, 0::BIGINT AS n_regions FROM x""",
+    "v2_old_digests": """WITH a AS (SELECT l_orderkey, count(*) AS n, bool_or(l_partkey % 97 = 0 OR l_partkey % 89 = 0 OR l_quantity * 2 + l_partkey % 3 NOT BETWEEN 1 AND 100) OR count(*) > 10 AS bad FROM lineitem GROUP BY l_orderkey),
+        v AS (SELECT l_orderkey, list_filter([CASE WHEN l_orderkey % 5 = 0 THEN 'bad_counts' END, CASE WHEN bad THEN 'bad_item' END, CASE WHEN l_orderkey % 17 = 0 THEN 'bad_status' END], lambda x: x IS NOT NULL) AS w FROM a)
+        SELECT l_orderkey, 2 AS version, array_to_string(w, ',') AS violations, len(w) = 0 AS good FROM v""",
+    "v3_digest_documents": """WITH x AS (SELECT *, l_partkey % 26 + l_partkey % 21 + 3 * (l_partkey % 16) + l_partkey % 11 - (CASE WHEN l_partkey % 4 = 0 THEN 10 ELSE 0 END) AS total, max(l_shipdate) OVER (PARTITION BY l_orderkey) AS latest FROM lineitem),
+        a AS (SELECT l_orderkey, bool_or(l_partkey % 101 = 0) AS bad_item, bool_or(l_partkey % 61 = 0 OR total > 100) AS bad_score, count(*) FILTER (l_linenumber <= 3) > 5 OR count(*) FILTER (l_linenumber IN (4, 5)) > 3 OR count(*) FILTER (l_linenumber > 5) > 3 AS bad_boards,
+          count(*) <> count(DISTINCT l_suppkey) AS repeated, count(*) FILTER (latest - l_shipdate <= (CASE WHEN l_orderkey % 3 = 0 THEN INTERVAL 12 HOURS ELSE INTERVAL 24 HOURS END)) <> 1 AS bad_fresh FROM x GROUP BY l_orderkey),
+        v AS (SELECT l_orderkey, list_filter([CASE WHEN l_orderkey % 29 = 0 THEN 'bad_shape' END, CASE WHEN bad_item THEN 'bad_item' END, CASE WHEN bad_score THEN 'bad_score' END, CASE WHEN bad_boards THEN 'bad_boards' END,
+          CASE WHEN repeated THEN 'repeated' END, CASE WHEN bad_fresh THEN 'bad_freshness' END], lambda x: x IS NOT NULL) AS w FROM a)
+        SELECT l_orderkey, 4 AS version, array_to_string(w, ',') AS violations, len(w) = 0 AS good FROM v""",
 }
