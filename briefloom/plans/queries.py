@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import actions, evidence, records, rules, text, urls
-from ..operators import anchors, boards, compose, contracts, corroboration, dedupe, history, lanes, ranking
+from ..operators import anchors, boards, cards, compose, contracts, corroboration, dedupe, history, lanes, ranking
 from ..sources import adapters
 from ..sources.adapters import candidates, clusters, event_records, now, scored_items, table
 
@@ -615,3 +615,32 @@ def v3_digest_documents(spark: SparkSession, d: str) -> DataFrame:
     )
     documents = listed.select("l_orderkey", F.to_json(digest, {"ignoreNullFields": "false"}).alias("payload"))
     return contracts.checked(documents).select("l_orderkey", "version", F.array_join("violations", ",").alias("violations"), "good")
+
+
+def _item_cards(spark: SparkSession, d: str) -> DataFrame:
+    k, one = F.col("item"), lambda x: F.array(F.lit(x))
+    texts = {"title_zh": F.concat(F.lit("item_"), k.cast("string")), "concrete_change": F.concat(F.lit("change [of] "), F.col("company").cast("string"))}
+    lists = {"affected_audience": F.array(F.lit("a"), F.lit("b*")), "affected_area": one("area"), "recommended_action": one("act")}
+    status = F.when(k % 2 == 0, "blocked").otherwise("verified")
+    url = F.concat(F.lit("https://example.com/("), k.cast("string"), F.lit(")?q=é"))
+    return w5_boards(spark, d).withColumns(texts | lists | {"verification_status": status, "evidence_url": url})
+
+
+def t25_item_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Items on boards as the lines that a briefing shows."""
+    rows = _item_cards(spark, d)
+    return rows.select("run_id", "item", cards.item_text(F.struct(*rows.columns)).alias("lines"))
+
+
+def t26_cards(spark: SparkSession, d: str) -> DataFrame:
+    """The card of every run, and of one that has nothing."""
+    at = F.lit("2001-08-02 00:00:00").cast("timestamp")
+    events = w8_global_selection(spark, d).join(scored_items(spark, d).select("run_id", "item", F.col("published").cast("timestamp").alias("published_at")), ["run_id", "item"])
+    told = {c: F.concat(F.lit(f"{c} "), F.col("item").cast("string")) for c in ("title_zh", "what_happened_zh", "why_it_matters_zh", "source_name")}
+    kinds = F.array(*map(F.lit, cards.EVENT_LABELS))
+    events = events.withColumns(told | {"affected_groups_zh": F.array("category"), "key_facts": F.array("category"), "source_url": F.lit("https://example.com/"), "category": F.element_at(kinds, (F.col("item") % 5 + 1).cast("int"))})
+    runs = p3_daily(spark, d).select("run_id", "run_status", "narrative", "candidate_count").withColumn("generated_at", at)
+    zero = F.lit(0).cast("bigint")
+    runs = runs.withColumns({"shortlist_count": zero, "source_verified_count": zero, "rejected_count": zero, "reasons": F.array().cast("array<struct<reason: string, n: bigint>>")})
+    out = cards.rendered(runs, events, _item_cards(spark, d))
+    return out.select("run_id", "content", "n_events", "n_items", F.octet_length("card").cast("bigint").alias("card_bytes"))

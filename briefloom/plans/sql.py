@@ -255,4 +255,6 @@ ORACLE_SQL = {
         v AS (SELECT l_orderkey, list_filter([CASE WHEN l_orderkey % 29 = 0 THEN 'bad_shape' END, CASE WHEN bad_item THEN 'bad_item' END, CASE WHEN bad_score THEN 'bad_score' END, CASE WHEN bad_boards THEN 'bad_boards' END,
           CASE WHEN repeated THEN 'repeated' END, CASE WHEN bad_fresh THEN 'bad_freshness' END], lambda x: x IS NOT NULL) AS w FROM a)
         SELECT l_orderkey, 4 AS version, array_to_string(w, ',') AS violations, len(w) = 0 AS good FROM v""",
+    "t25_item_lines": f"""WITH {_SCORED}, {_BOARDS} SELECT run_id, item, '**' || rank || '. item\\_' || item || '**  `总分 ' || total || '`' || chr(10) || '具体变化：change \\[of\\] ' || company || chr(10)
+          || '影响：a、b\\* · area' || chr(10) || '建议行动：act' || chr(10) || '[核查原文](https://example.com/%28' || item || '%29?q=%C3%A9)' || (CASE WHEN board = 'watch' AND item % 2 = 0 THEN '  ⚠ 原始来源暂不可核查' ELSE '' END) || chr(10) AS lines FROM b""",
 }

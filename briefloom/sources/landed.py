@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..functions.urls import stable_id
+from ..operators.contracts import checked
 from ..operators.history import local_day
 
 FEED_ENTRIES = 50
@@ -156,3 +157,40 @@ def write_digests(boards: DataFrame, path: str) -> None:
 
 def write_audit(audit: DataFrame, path: str) -> None:
     audit.write.mode("overwrite").partitionBy("run_id").parquet(path)
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """Persisted digest files (path, content) with their version and violations; only good ones may be sent again."""
+    return checked(spark.read.format("binaryFile").load(path).select("path", "content"), "content")
+
+
+# The fields that an entry of event history must have, those that it may have, and their types.
+ENTRY_TEXTS = ("fingerprint", "recorded_at", "change_signature", "version_or_metric", "effective_date", "source_url")
+ENTRY_MAY = {"primary_entity": "STRING", "product_or_model": "STRING", "source_type": "STRING", "resource_available": "BOOLEAN", "scientific_verified": "BOOLEAN"}
+ENTRY_LANES = ("global", "technical")
+
+
+def event_history(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of event history files {"events": [...]}; those that are not well formed are left out, and so are files that are no JSON.
+    What old entries do not tell is filled: the technical lane, no kind of source, no regions."""
+    whole = spark.read.text(path, wholetext=True).select(F.try_variant_get(F.try_parse_json("value"), "$.events", "array<variant>").alias("events"))
+    v = F.col("v")
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+    text = lambda name: F.try_variant_get(v, f"$.{name}", "string")
+    texts = lambda name: F.try_variant_get(v, f"$.{name}", "array<string>")
+    listed = lambda name: kind(name).isin("ARRAY<STRING>", "ARRAY<VOID>") & F.forall(texts(name), lambda x: x.isNotNull())
+    good = F.try_to_timestamp(text("recorded_at")).isNotNull() & listed("entities")
+    for name in ENTRY_TEXTS:
+        good = good & (kind(name) == "STRING")
+    for name, form in ENTRY_MAY.items():
+        good = good & F.coalesce(kind(name) == form, F.lit(True))
+    good = good & (kind("lane").isNull() | text("lane").isin(*ENTRY_LANES)) & (kind("geographic_scope").isNull() | listed("geographic_scope"))
+    entries = whole.select(F.explode("events").alias("v")).where(F.coalesce(good, F.lit(False)))
+    return entries.select(
+        *[text(x).alias(x) for x in ENTRY_TEXTS if x != "recorded_at"],
+        F.try_to_timestamp(text("recorded_at")).alias("recorded_at"),
+        texts("entities").alias("entities"),
+        *[(F.coalesce(text(x), F.lit("")) if form == "STRING" else F.coalesce(F.try_variant_get(v, f"$.{x}", "boolean"), F.lit(False))).alias(x) for x, form in ENTRY_MAY.items()],
+        F.coalesce(text("lane"), F.lit("technical")).alias("lane"),
+        F.coalesce(texts("geographic_scope"), F.array().cast("array<string>")).alias("geographic_scope"),
+    )
