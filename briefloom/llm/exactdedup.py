@@ -13,7 +13,8 @@
 
 Null counts as the empty text, whose list is empty; all such documents are equal.  Of equal
 documents the one with the largest id stays; rows repeated with that same id all stay as one
-document would (they share keep_id).  An empty table gives an empty result.
+document would (they share keep_id).  Rows with one id and different texts are judged each by its own text.
+A null id is less than all others; where equal documents have no other ids, all of them stay.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -84,16 +85,18 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
         F.col("id").alias(id_column),
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
-        (keep == F.col("id")).alias("kept"),
+        keep.eqNullSafe(F.col("id")).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
 
 
 def distinct_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows whose text another document with a larger id has as well."""
-    gone = exact_groups(docs, id_column, text).where(~F.col("kept")).select(F.col(id_column).alias("_gone")).distinct()
-    gone = staged(gone, "copies")
-    return docs.join(hinted(gone, gone.count(), 1_000_000), docs[id_column] == gone["_gone"], "left_anti")
+    # an id may stand at several texts, of which only one is a copy
+    groups = exact_groups(docs, id_column, text).where(~F.col("kept"))
+    gone = staged(groups.select(F.col(id_column).alias("_gone"), F.xxhash64("text_sha256").alias("_text")).distinct(), "copies")
+    same = docs[id_column].eqNullSafe(gone["_gone"]) & (F.xxhash64(F.sha2(normalised(docs[text]), 256)) == gone["_text"])
+    return docs.join(hinted(gone, gone.count(), 1_000_000), same, "left_anti")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
