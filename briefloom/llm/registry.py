@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exactdedup, htmltext, lmscore, neardup, packing, pieces, quality, records, secrets, sharding
+from . import exactdedup, hardneg, htmltext, lmscore, neardup, packing, pieces, quality, records, secrets, sharding, simhash, whitening
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         exactdedup.op8_exact_dedup,
         quality.op9_quality_rules,
         secrets.op10_secret_scans,
+        hardneg.op11_hard_negatives,
+        whitening.op12_embedding_whitening,
+        simhash.op13_simhash_near_dedup,
     )
 }
-ORACLE_SQL = {"op8_exact_dedup": exactdedup.OP8_SQL}
+ORACLE_SQL = {"op8_exact_dedup": exactdedup.OP8_SQL, "op11_hard_negatives": hardneg.OP11_SQL}
