@@ -154,8 +154,6 @@ def linked(lists: np.ndarray, fps: np.ndarray, tables: np.ndarray, most: int) ->
         near = root[i] != root[j]
         for k in range(1, tables.shape[1]):
             i, j = i[near], j[near]
-            if not len(i):
-                break
             near = np.abs(tables[i, k] - tables[j, k]) <= most
         i, j = i[near], j[near]
         near = np.bitwise_count(fps[i] ^ fps[j]) <= most

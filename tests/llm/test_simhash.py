@@ -107,3 +107,10 @@ def test_masks_leave_no_pair_apart():
         for _ in range(200):
             bits = rng.sample([b for b in range(64) if not mask >> b & 1], 4)
             assert any(not any(m >> b & 1 for b in bits) for m in parts)
+
+
+def test_pairs_that_all_go_leave_every_member_alone():
+    fps = np.array([0, 0x0F0F0F0F0F0F0F0F, 0xF0F0F0F0F0F0F0F0], np.uint64)
+    for first in ([30, 30, 30], [10, 30, 50]):
+        tables = np.column_stack([np.array(first, np.int16), np.array([0, 30, 60], np.int16), np.array([60, 0, 30], np.int16)])
+        assert simhash.linked(np.zeros(3), fps, tables, 4).tolist() == [0, 1, 2]
