@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,31 +50,43 @@ def event_history(history: DataFrame, new: DataFrame, now: Column, keys: list[st
     return last.where(is_active(F.col("recorded_at"), now))
 
 
-_ENTRY = ("fingerprint", "recorded_at", "product_or_model", "entities", "version_or_metric", "effective_date", "resource_available", "scientific_verified")
+#: What an entry of the technical lane's history tells besides its time and fingerprint.
+ENTRY = ("product_or_model", "entities", "version_or_metric", "effective_date", "resource_available", "scientific_verified")
 
 
-def classified(records: DataFrame, history: DataFrame, now: Column, key: str = "event_id") -> DataFrame:
-    """records with dup_status and update_of, against a history of the same lane.
+#: What joins a record to earlier ones of its company and change.
+_ABOUT = ["lane", "primary_entity", "change_signature"]
 
-    The latest entry with the same fingerprint decides; else the latest of the same company and change
-    that shares the product or an entity that is neither the company nor general; else the record is unique.
-    Every record is held against the same history, whatever else comes with it.  Both joins are on what
-    must be equal; of entries with one fingerprint only the latest enters them."""
-    entry = F.struct("recorded_at", "fingerprint", *[c for c in _ENTRY[2:]])
+
+def technical_tokens(product: Column, entities: Column, company: Column) -> Column:
+    """What two records of one company and change must share to tell of the same thing: a product or an entity, neither general nor the company."""
+    own = F.array_except(F.coalesce(entities, F.array().cast("array<string>")), F.array(F.coalesce(company, F.lit("")), F.lit(""), *map(F.lit, GENERIC)))
+    named = F.when((product != "") & ~product.isin(*GENERIC), F.array(F.concat(F.lit("product "), product))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.transform(F.filter(own, lambda e: e.isNotNull()), lambda e: F.concat(F.lit("entity "), e)), named)
+
+
+def global_tokens(entities: Column) -> Column:
+    return F.array_distinct(F.filter(F.coalesce(entities, F.array().cast("array<string>")), lambda e: e.isNotNull()))
+
+
+def _nearest(open_ones: DataFrame, latest: DataFrame, key: str, tokens: Callable[[str], Column]) -> DataFrame:
+    """(key, near): of each open record the latest entry of its company and change that shares a token with it.
+
+    Entries are an inverted index: of all that have a token only the latest is kept, counted up in each task first, so a company with any number of
+    entries is a row for each of its tokens, and a record meets as many rows as it has tokens."""
+    posted = latest.select(*_ABOUT, "old", F.explode(tokens("old.")).alias("token"))
+    posted = posted.groupBy(*_ABOUT, "token").agg(F.max_by("old", F.struct("old.recorded_at", "old.fingerprint")).alias("old"))
+    asked = open_ones.select(key, *_ABOUT, F.explode(tokens("")).alias("token"))
+    return asked.join(posted.hint("merge"), [*_ABOUT, "token"]).groupBy(key).agg(F.max_by("old", F.struct("old.recorded_at", "old.fingerprint")).alias("near"))
+
+
+def _told(records: DataFrame, history: DataFrame, now: Column, key: str, fields: tuple[str, ...], tokens: Callable[[str], Column], newly: Callable[[str], Column]) -> DataFrame:
+    """records with dup_status and update_of; newly: what is new over an entry, and makes its update a material one."""
     active = history.where(is_active(F.col("recorded_at"), now))
-    latest = active.groupBy("lane", "primary_entity", "change_signature", "fingerprint").agg(F.max_by(entry, F.struct("recorded_at", "event_id")).alias("old"))
-    exact = latest.select("lane", "fingerprint", F.col("old").alias("same"))
-    found = records.join(exact, ["lane", "fingerprint"], "left")
-
-    near = latest.select("lane", "primary_entity", "change_signature", "old")
-    open_ones = found.where(F.col("same").isNull() & (F.col("primary_entity") != ""))
-    met = open_ones.join(near, ["lane", "primary_entity", "change_signature"])
-    shared = F.array_except(F.array_intersect("entities", "old.entities"), F.array(F.col("primary_entity"), F.lit(""), *map(F.lit, GENERIC)))
-    product = (F.col("product_or_model") != "") & (F.col("product_or_model") == F.col("old.product_or_model")) & ~F.col("product_or_model").isin(*GENERIC)
-    first = met.where(product | (F.size(shared) > 0)).groupBy(key).agg(F.max_by("old", F.struct("old.recorded_at", "old.fingerprint")).alias("near"))
-
-    both = found.join(first, key, "left")
-    newly = lambda o: (F.col("resource_available") & ~F.col(f"{o}.resource_available")) | (F.col("scientific_verified") & ~F.col(f"{o}.scientific_verified"))
+    latest = active.groupBy(*_ABOUT, "fingerprint").agg(F.max_by(F.struct("recorded_at", "fingerprint", *fields), F.struct("recorded_at", "event_id")).alias("old"))
+    found = records.join(latest.select("lane", "fingerprint", F.col("old").alias("same")), ["lane", "fingerprint"], "left")
+    first = _nearest(found.where(F.col("same").isNull() & (F.col("primary_entity") != "")), latest, key, tokens)
+    both = found.join(first.hint("merge"), key, "left")
     changed = (F.col("version_or_metric") != F.col("near.version_or_metric")) | (F.col("effective_date") != F.col("near.effective_date")) | newly("near")
     status = (
         F.when(F.col("same").isNotNull(), F.when(newly("same"), "material_update").otherwise("duplicate"))
@@ -83,25 +97,22 @@ def classified(records: DataFrame, history: DataFrame, now: Column, key: str = "
     return both.withColumn("dup_status", status).withColumn("update_of", update).drop("same", "near")
 
 
+def classified(records: DataFrame, history: DataFrame, now: Column, key: str = "event_id") -> DataFrame:
+    """records with dup_status and update_of, against a history of the same lane.
+
+    The latest entry with the same fingerprint decides; else the latest of the same company and change
+    that shares the product or an entity that is neither the company nor general; else the record is unique.
+    Every record is held against the same history, whatever else comes with it."""
+    newly = lambda o: (F.col("resource_available") & ~F.col(f"{o}.resource_available")) | (F.col("scientific_verified") & ~F.col(f"{o}.scientific_verified"))
+    tokens = lambda at: technical_tokens(F.col(f"{at}product_or_model"), F.col(f"{at}entities"), F.col("primary_entity"))
+    return _told(records, history, now, key, ENTRY, tokens, newly)
+
+
 def classified_global(records: DataFrame, history: DataFrame, now: Column, key: str = "event_id") -> DataFrame:
-    """As classified(), for the global lane: new regions or a first primary source make an update material."""
-    entry = F.struct("recorded_at", "fingerprint", "entities", "version_or_metric", "effective_date", "geographic_scope", "source_type")
-    active = history.where(is_active(F.col("recorded_at"), now))
-    latest = active.groupBy("lane", "primary_entity", "change_signature", "fingerprint").agg(F.max_by(entry, F.struct("recorded_at", "event_id")).alias("old"))
-    found = records.join(latest.select("lane", "fingerprint", F.col("old").alias("same")), ["lane", "fingerprint"], "left")
-    open_ones = found.where(F.col("same").isNull() & (F.col("primary_entity") != ""))
-    met = open_ones.join(latest.select("lane", "primary_entity", "change_signature", "old"), ["lane", "primary_entity", "change_signature"])
-    first = met.where(F.arrays_overlap("entities", "old.entities")).groupBy(key).agg(F.max_by("old", F.struct("old.recorded_at", "old.fingerprint")).alias("near"))
-    both = found.join(first, key, "left")
+    """As classified(), for the global lane: any shared entity makes entries near, and new regions or a first primary source make an update material."""
+    fields = ("entities", "version_or_metric", "effective_date", "geographic_scope", "source_type")
     wider = lambda o: (F.size(F.array_except("geographic_scope", f"{o}.geographic_scope")) > 0) | ((F.col("source_type") != "trusted_secondary") & (F.col(f"{o}.source_type") == "trusted_secondary"))
-    changed = (F.col("version_or_metric") != F.col("near.version_or_metric")) | (F.col("effective_date") != F.col("near.effective_date")) | wider("near")
-    status = (
-        F.when(F.col("same").isNotNull(), F.when(wider("same"), "material_update").otherwise("duplicate"))
-        .when(F.col("near").isNotNull(), F.when(changed, "material_update").otherwise("minor_update"))
-        .otherwise("unique")
-    )
-    update = F.when(F.col("same").isNotNull(), F.when(wider("same"), F.col("same.fingerprint"))).otherwise(F.col("near.fingerprint"))
-    return both.withColumn("dup_status", status).withColumn("update_of", update).drop("same", "near")
+    return _told(records, history, now, key, fields, lambda at: global_tokens(F.col(f"{at}entities")), wider)
 
 
 def delivery_ledger(ledger: DataFrame, new: DataFrame) -> DataFrame:

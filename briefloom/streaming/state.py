@@ -33,23 +33,6 @@ def run_available(df: DataFrame, write: Callable[[DataFrame, int], None], checkp
     return query
 
 
-def classify_batches(spark: SparkSession, folder: str) -> Callable[[DataFrame, int], None]:
-    """Classifies each batch against the records that earlier batches left, and only then records the batch.
-
-    Both are written under the batch's number, so a batch that runs again replaces its own rows."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        seen = spark.read.schema(batch.schema).option("recursiveFileLookup", True).parquet(f"{folder}/records") if number else batch.where("false")
-        now = F.lit(batch.agg(F.max("recorded_at")).first()[0])
-        if number:
-            seen = seen.where(F.regexp_extract(F.input_file_name(), r"batch-(\d+)", 1).cast("int") < number)
-        out = history.classified(batch, seen, now)
-        out.write.mode("overwrite").parquet(f"{folder}/classified/batch-{number:08d}")
-        batch.write.mode("overwrite").parquet(f"{folder}/records/batch-{number:08d}")
-
-    return write
-
-
 def deliver_batches(spark: SparkSession, folder: str, send: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
     """Sends what (day, target) has not had, then writes the ledger first and the URL history after it, the latter
     only where something was sent."""

@@ -79,15 +79,11 @@ def test_classification(spark):
     assert got == {10: "duplicate", 11: "material_update", 12: "material_update", 13: "unique", 14: "unique", 15: "unique"}
 
 
-def test_streams_equal_batches(spark, tmp_path):
+def test_first_seen(spark, tmp_path):
     rows = [event(i, f"c{i % 3}", "gizmo", "launch", str(i % 2), f"2026-07-{10 + i // 6:02d} 0{i % 6}:00:00") for i in range(24)]
     for k in range(3):
         events(spark, rows[8 * k : 8 * k + 8]).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
     schema = events(spark, rows).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
-    state.run_available(stream, state.classify_batches(spark, str(tmp_path / "out")), str(tmp_path / "c1"))
-    got = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "out" / "classified"))
-    assert got.count() == 24 and got.where("dup_status = 'duplicate'").count() > 0
     first = state.event_first_seen(spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*")), ["fingerprint"], "recorded_at", "30 days")
     state.run_available(first, lambda df, n: df.write.parquet(str(tmp_path / f"first{n}")), str(tmp_path / "c2"))
     assert spark.read.parquet(str(tmp_path / "first0")).count() == 6
