@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import actions, evidence, records, rules, text, urls
+from ..functions.tables import new_folder
 from ..operators import anchors, boards, cards, compose, contracts, corroboration, dedupe, history, lanes, ranking
 from ..sources import adapters
 from ..sources.adapters import candidates, clusters, event_records, now, scored_items, table
+from ..streaming import memory, state
 
 
 def w2_technical_shortlist(spark: SparkSession, d: str) -> DataFrame:
@@ -127,6 +129,16 @@ def j6_event_classification(spark: SparkSession, d: str) -> DataFrame:
     return history.classified(current, past, _event_now()).select("event_id", "fingerprint", "dup_status", "update_of")
 
 
+def x2_event_memory(spark: SparkSession, d: str) -> DataFrame:
+    """The events of all days through a stream that keeps a week of them as state; each day is a run."""
+    folder = new_folder(spark, "memory")
+    with memory.keyed_state(spark):
+        out = memory.classified_stream(adapters.event_stream(spark, d))
+        state.run_available(out, lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), f"{folder}/checkpoint")
+    kind = "event_id bigint, lane string, dup_status string, update_of string, batch bigint"
+    return spark.read.schema(kind).parquet(f"{folder}/out").select("event_id", "dup_status", "update_of")
+
+
 def k5_event_history(spark: SparkSession, d: str) -> DataFrame:
     current, past = _event_sides(spark, d)
     return history.event_history(past, current, _event_now()).select("lane", "fingerprint", "event_id")

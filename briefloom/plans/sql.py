@@ -116,6 +116,16 @@ ORACLE_SQL = {
                WHEN n.fp IS NOT NULL THEN CASE WHEN c.version <> n.version OR (c.resource AND NOT n.o_resource) OR (c.science AND NOT n.o_science) THEN 'material_update' ELSE 'minor_update' END ELSE 'unique' END AS dup_status,
           CASE WHEN e.fp IS NOT NULL THEN CASE WHEN (c.resource AND NOT e.o_resource) OR (c.science AND NOT e.o_science) THEN e.fp END ELSE n.fp END AS update_of
         FROM cu c LEFT JOIN ex e ON c.fp = e.fp LEFT JOIN nr n ON c.event_id = n.event_id AND n.n = 1""",
+    "x2_event_memory": f"""WITH {_EVENTS}, d AS (SELECT *, date_trunc('day', ts) AS run, ts::VARCHAR || lpad(event_id::VARCHAR, 20, '0') AS at FROM ev),
+        ex AS (SELECT r.run, h.fp, arg_max(h.resource, h.at) AS o_resource, arg_max(h.science, h.at) AS o_science, arg_max(h.ts, h.at) AS o_ts, any_value(h.company) AS company, any_value(h.product) AS product, any_value(h.version) AS version
+               FROM (SELECT DISTINCT run FROM d) r JOIN d h ON h.ts < r.run AND date_diff('day', CAST(h.ts + INTERVAL 8 HOUR AS DATE), CAST(r.run + INTERVAL 86399 SECOND + INTERVAL 8 HOUR AS DATE)) BETWEEN 0 AND 7 GROUP BY r.run, h.fp),
+        nr AS (SELECT c.event_id, x.fp, x.version, x.o_resource, x.o_science, row_number() OVER (PARTITION BY c.event_id ORDER BY x.o_ts DESC, x.fp DESC) AS n
+               FROM d c JOIN ex x ON c.run = x.run AND c.company = x.company AND c.product = x.product WHERE (c.run, c.fp) NOT IN (SELECT (run, fp) FROM ex))
+        SELECT c.event_id,
+          CASE WHEN e.fp IS NOT NULL THEN CASE WHEN (c.resource AND NOT e.o_resource) OR (c.science AND NOT e.o_science) THEN 'material_update' ELSE 'duplicate' END
+               WHEN n.fp IS NOT NULL THEN CASE WHEN c.version <> n.version OR (c.resource AND NOT n.o_resource) OR (c.science AND NOT n.o_science) THEN 'material_update' ELSE 'minor_update' END ELSE 'unique' END AS dup_status,
+          CASE WHEN e.fp IS NOT NULL THEN CASE WHEN (c.resource AND NOT e.o_resource) OR (c.science AND NOT e.o_science) THEN e.fp END ELSE n.fp END AS update_of
+        FROM d c LEFT JOIN ex e ON c.run = e.run AND c.fp = e.fp LEFT JOIN nr n ON c.event_id = n.event_id AND n.n = 1""",
     "k5_event_history": f"""WITH {_EVENTS}, z AS (SELECT *, 0 AS age FROM cu UNION ALL SELECT *, 1 FROM ev WHERE ts < TIMESTAMP '2024-01-24'),
         o AS (SELECT *, row_number() OVER (PARTITION BY lane, fp ORDER BY age, ts DESC, event_id) AS n FROM z)
         SELECT lane, fp AS fingerprint, event_id FROM o WHERE n = 1 AND date_diff('day', CAST(ts + INTERVAL 8 HOUR AS DATE), CAST(TIMESTAMP '2024-01-24 23:59:59' + INTERVAL 8 HOUR AS DATE)) BETWEEN 0 AND 7""",

@@ -45,8 +45,17 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_event_records(table(spark, sf_dir, "events"))
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream; `now` is the end of an event's day, when its run is."""
+    e = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")  # a pattern, since a stream takes no single file
+    return as_event_records(e).withColumn("now", F.date_trunc("day", "recorded_at") + F.expr("INTERVAL 86399 SECONDS"))
+
+
+def as_event_records(e: DataFrame) -> DataFrame:
     """The event stream as classified records: a user is a company, an event type its product and change."""
-    e = table(spark, sf_dir, "events")
     version = F.coalesce(F.get_json_object("props", "$.k"), F.lit(""))
     company = F.concat(F.lit("user"), F.col("user_id").cast("string"))
     return e.select(

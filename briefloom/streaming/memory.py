@@ -47,19 +47,37 @@ class EventMemory(StatefulProcessor):
         self.entries = handle.getMapState("entries", "fingerprint string", _ENTRY)
         self.posted = handle.getMapState("posted", "token string", "ats array<bigint>, fingerprints array<string>")
 
-    def _entry(self, fingerprint: str) -> Row | None:
-        return self.entries.getValue((fingerprint,)) if self.entries.containsKey((fingerprint,)) else None
+    def _open(self) -> None:
+        """Nothing of this key is held yet.  What is read is held until _close(), so that each entry and list crosses once in a batch."""
+        self._entries: dict[str, tuple | None] = {}
+        self._posts: dict[str, list[tuple[int, str]]] = {}
+        self._new: tuple[set, set, set] = set(), set(), set()
+
+    def _close(self) -> None:
+        for fingerprint in self._new[0]:
+            self.entries.updateValue((fingerprint,), self._entries[fingerprint])
+        for token in self._new[1]:
+            self._put(token, self._posts[token])
+        for at in self._new[2]:
+            self.handle.registerTimer(at)
+        self._open()
+
+    def _entry(self, fingerprint: str) -> tuple | None:
+        if fingerprint not in self._entries:
+            found = self.entries.getValue((fingerprint,))
+            self._entries[fingerprint] = None if found is None else tuple(found)
+        return self._entries[fingerprint]
 
     def _post(self, token: str) -> list[tuple[int, str]]:
-        if not self.posted.containsKey((token,)):
-            return []
-        found = self.posted.getValue((token,))
-        return list(zip(found[0], found[1]))
+        if token not in self._posts:
+            found = self.posted.getValue((token,))
+            self._posts[token] = [] if found is None else list(zip(found[0], found[1]))
+        return self._posts[token]
 
     def _put(self, token: str, post: list[tuple[int, str]]) -> None:
         if post:
             self.posted.updateValue((token,), ([a for a, _ in post], [f for _, f in post]))
-        elif self.posted.containsKey((token,)):
+        else:
             self.posted.removeKey((token,))
 
     @staticmethod
@@ -68,16 +86,14 @@ class EventMemory(StatefulProcessor):
         wider = lane == "global" and bool(set(row["scope"]) - set(scope))
         return bool(wider or (row["first"] and not first) or (row["second"] and not second))
 
-    def _judged(self, lane: str, company: str, row: Row, posts: dict) -> tuple[str, str | None]:
+    def _judged(self, lane: str, company: str, row: Row) -> tuple[str, str | None]:
         counts = lambda day: 0 <= row["now_day"] - day <= history.EVENT_DAYS
         same = self._entry(row["fingerprint"])
         if same is not None and counts(same[1]):
             return ("material_update", row["fingerprint"]) if self._newly(row, same[5], same[6], same[7], lane) else ("duplicate", None)
         best = None
         for token in row["tokens"] if company else ():
-            if token not in posts:
-                posts[token] = self._post(token)
-            for at, fingerprint in reversed(posts[token]):
+            for at, fingerprint in reversed(self._post(token)):
                 if best is not None and (at, fingerprint) <= best[0]:
                     break
                 entry = self._entry(fingerprint)
@@ -93,32 +109,27 @@ class EventMemory(StatefulProcessor):
         return "material_update" if changed else "minor_update", best[0][1]
 
     def _record(self, rows: list[Row]) -> None:
-        """The latest of each fingerprint over what is there; each token's list is read and written once."""
+        """The latest of each fingerprint over what is there."""
         last: dict[str, Row] = {}
         for row in rows:
             had = last.get(row["fingerprint"])
             if had is None or (row["at"], row["event_id"]) > (had["at"], had["event_id"]):
                 last[row["fingerprint"]] = row
-        posts: dict[str, list[tuple[int, str]]] = {}
-
-        def post(token: str) -> list[tuple[int, str]]:
-            if token not in posts:
-                posts[token] = self._post(token)
-            return posts[token]
-
+        entries, tokens, timers = self._new
         for fingerprint, row in last.items():
             old = self._entry(fingerprint)
             if old is not None:
                 if (old[0], old[2]) > (row["at"], row["event_id"]):
                     continue
                 for token in old[8]:
-                    self._drop(post(token), (old[0], fingerprint))
+                    self._drop(self._post(token), (old[0], fingerprint))
+                    tokens.add(token)
             for token in row["tokens"]:
-                insort(post(token), (row["at"], fingerprint))
-            self.entries.updateValue((fingerprint,), tuple(row[c] for c in ("at", "day", "event_id", "version", "date", "first", "second", "scope", "tokens")))
-            self.handle.registerTimer(row["gone"])
-        for token, found in posts.items():
-            self._put(token, found)
+                insort(self._post(token), (row["at"], fingerprint))
+                tokens.add(token)
+            self._entries[fingerprint] = tuple(row[c] for c in ("at", "day", "event_id", "version", "date", "first", "second", "scope", "tokens"))
+            entries.add(fingerprint)
+            timers.add(row["gone"])
 
     @staticmethod
     def _drop(post: list[tuple[int, str]], item: tuple[int, str]) -> None:
@@ -131,26 +142,25 @@ class EventMemory(StatefulProcessor):
         runs: dict[int, list[Row]] = {}
         for row in rows:
             runs.setdefault(row["now_micros"], []).append(row)
+        self._open()
         for _, own in sorted(runs.items()):
-            posts: dict = {}
             for row in own:
-                status, update = self._judged(lane, company, row, posts)
+                status, update = self._judged(lane, company, row)
                 yield Row(event_id=row["event_id"], lane=lane, dup_status=status, update_of=update)
             self._record(own)
+        self._close()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         """Removes the entries whose last day is over, and their places in the lists."""
         ended = expiredTimerInfo.getExpiryTimeInMs()
-        over = [(k[0], e) for k, e in self.entries.iterator() if self._gone(e[1]) <= ended]
-        posts: dict[str, list[tuple[int, str]]] = {}
-        for fingerprint, e in over:
-            for token in e[8]:
-                if token not in posts:
-                    posts[token] = self._post(token)
-                self._drop(posts[token], (e[0], fingerprint))
-            self.entries.removeKey((fingerprint,))
-        for token, found in posts.items():
-            self._put(token, found)
+        self._open()
+        for fingerprint, e in [(k[0], tuple(e)) for k, e in self.entries.iterator()]:
+            if self._gone(e[1]) <= ended:
+                for token in e[8]:
+                    self._drop(self._post(token), (e[0], fingerprint))
+                    self._new[1].add(token)
+                self.entries.removeKey((fingerprint,))
+        self._close()
         return iter(())
 
     @staticmethod
