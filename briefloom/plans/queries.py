@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions import actions, evidence, records, rules, text, urls
 from ..functions.tables import new_folder
-from ..operators import anchors, boards, cards, compose, contracts, corroboration, dedupe, history, lanes, ranking
+from ..operators import anchors, boards, cards, compose, contracts, corroboration, dedupe, extraction, history, lanes, ranking
 from ..sources import adapters
 from ..sources.adapters import candidates, clusters, event_records, now, scored_items, table
 from ..streaming import memory, state
@@ -469,6 +470,36 @@ def f15_source_kinds(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", records.source_kind(u).alias("kind"), records.same_host(asked, u).alias("same"))
 
 
+_TITLE_RECORD = StructType(
+    [
+        StructField("candidate_id", StringType(), False), StructField("title", StringType(), False), StructField("n_words", LongType(), False),
+        StructField("facts", ArrayType(StructType([StructField("name", StringType(), False), StructField("value", LongType(), False)]), False), False),
+    ]
+)
+
+
+def _title_record(row: dict) -> object:
+    """Answers from the text alone: it takes 8,000 characters at most, breaks its JSON over digits, and mistakes whose title it is after a plural."""
+    if len(row["text"]) > 8000:
+        raise ValueError("request body too large")
+    title = row["title"]
+    if any("0" <= c <= "9" for c in title):
+        return "{" + title
+    words = title.split(" ")
+    facts = [{"name": w, "value": len(w)} for w in words[:3]]
+    return {"candidate_id": row["id"] + ("0" if words[0].endswith("s") else ""), "title": title, "n_words": len(words), "facts": facts}
+
+
+def y2_extraction(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of each document in extraction: its record, or why there is none, and in how many attempts."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("candidate_id"), "text", F.substring(F.split(F.coalesce("text", F.lit("")), "\n", 2)[0], 1, 200).alias("title"))
+    found = extraction.extracted(docs, _title_record, _TITLE_RECORD, bounds={"$.facts[].name": (1, 12)})
+    facts = F.array_join(F.transform("r.facts", lambda x: F.concat_ws(":", x["name"], x["value"])), " ")
+    made = found.records.select("candidate_id", "attempts", F.lit("ok").alias("outcome"), F.lit("").alias("detail"), F.col("r.n_words").alias("n_words"), facts.alias("facts"))
+    gone = found.audit.select("candidate_id", "attempts", "reason", F.coalesce("detail", F.lit("")), F.lit(-1).cast("bigint"), F.lit(""))
+    return made.union(gone)
+
+
 def p1_technical_lane(spark: SparkSession, d: str) -> DataFrame:
     """The technical lane over all runs of candidates, with an extractor that reads a record's flags off its number."""
 

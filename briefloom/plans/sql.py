@@ -116,6 +116,14 @@ ORACLE_SQL = {
                WHEN n.fp IS NOT NULL THEN CASE WHEN c.version <> n.version OR (c.resource AND NOT n.o_resource) OR (c.science AND NOT n.o_science) THEN 'material_update' ELSE 'minor_update' END ELSE 'unique' END AS dup_status,
           CASE WHEN e.fp IS NOT NULL THEN CASE WHEN (c.resource AND NOT e.o_resource) OR (c.science AND NOT e.o_science) THEN e.fp END ELSE n.fp END AS update_of
         FROM cu c LEFT JOIN ex e ON c.fp = e.fp LEFT JOIN nr n ON c.event_id = n.event_id AND n.n = 1""",
+    "y2_extraction": r"""WITH x AS (SELECT CAST(doc_id AS VARCHAR) AS id, left(split_part(coalesce(text, ''), chr(10), 1), 200) AS title, length(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS n FROM documents),
+        y AS (SELECT *, string_split(title, ' ') AS w FROM x),
+        z AS (SELECT *, list_position([NOT (length(v) BETWEEN 1 AND 12) FOR v IN w[1:3]], true) AS bad FROM y),
+        o AS (SELECT *, CASE WHEN regexp_matches(title, '[0-9]') THEN 'not_json' WHEN bad > 0 THEN 'bad_field' WHEN w[1] LIKE '%s' THEN 'other_id' ELSE 'ok' END AS outcome FROM z)
+        SELECT id AS candidate_id, CAST(CASE WHEN outcome = 'ok' AND n <= 8000 THEN 1 ELSE 2 END AS INTEGER) AS attempts, outcome,
+          CASE outcome WHEN 'bad_field' THEN '$.facts[' || (bad - 1) || '].name' WHEN 'other_id' THEN id || '0' ELSE '' END AS detail,
+          CASE WHEN outcome = 'ok' THEN len(w) ELSE -1 END AS n_words,
+          CASE WHEN outcome = 'ok' THEN array_to_string([v || ':' || length(v) FOR v IN w[1:3]], ' ') ELSE '' END AS facts FROM o""",
     "x2_event_memory": f"""WITH {_EVENTS}, d AS (SELECT *, date_trunc('day', ts) AS run, ts::VARCHAR || lpad(event_id::VARCHAR, 20, '0') AS at FROM ev),
         ex AS (SELECT r.run, h.fp, arg_max(h.resource, h.at) AS o_resource, arg_max(h.science, h.at) AS o_science, arg_max(h.ts, h.at) AS o_ts, any_value(h.company) AS company, any_value(h.product) AS product, any_value(h.version) AS version
                FROM (SELECT DISTINCT run FROM d) r JOIN d h ON h.ts < r.run AND date_diff('day', CAST(h.ts + INTERVAL 8 HOUR AS DATE), CAST(r.run + INTERVAL 86399 SECOND + INTERVAL 8 HOUR AS DATE)) BETWEEN 0 AND 7 GROUP BY r.run, h.fp),
