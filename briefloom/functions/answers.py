@@ -48,12 +48,14 @@ def _offence(value: Column, kind: DataType, needed: bool, at: Column, path: str,
     return F.when(is_null, at if needed else F.lit(None).cast("string")).otherwise(within)
 
 
-def decoded(answer: Column, kind: StructType, bounds: Bounds | None = None) -> tuple[Column, Column, Column]:
-    """(is JSON, the first offending path, the record) of an answer in JSON text.
+def offence(value: Column, kind: StructType, bounds: Bounds | None = None) -> Column:
+    """The first offending path of an answer, a variant, or null if it is a record of the kind.
 
     Fields that may be null may be left out, and fields that are not asked for are ignored.  A path is as in `$.facts[1].name`; a list that is
-    too long offends as a whole.  The record is null unless the answer has no offence."""
-    value = F.try_parse_json(answer)
-    offence = _offence(value, kind, True, F.lit("$"), "$", bounds or {})
-    record = F.when(value.isNotNull() & offence.isNull(), F.try_variant_get(value, "$", kind.simpleString()))
-    return value.isNotNull(), F.when(value.isNotNull(), offence), record
+    too long offends as a whole.  Null, which try_parse_json makes of what is no JSON, offends as `$`."""
+    return _offence(value, kind, True, F.lit("$"), "$", bounds or {})
+
+
+def record(value: Column, kind: StructType) -> Column:
+    """The record in an answer without offence."""
+    return F.try_variant_get(value, "$", kind.simpleString())

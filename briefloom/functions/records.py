@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, StringType, StructField, StructType
 
 from . import text, urls
 
@@ -28,6 +28,77 @@ SOURCE_KINDS = (
 OTHER_KIND, SECONDARY = "official_announcement", "trusted_secondary"
 
 
+_TEXT, _FLAG, _TEXTS = StringType(), BooleanType(), ArrayType(StringType())
+_CHANGES = ArrayType(StructType([StructField("change_type", _TEXT, False), StructField("statement", _TEXT, False), StructField("numbers", _TEXTS), StructField("entities", _TEXTS)]))
+_ANCHORS = ArrayType(StructType([StructField("quote", _TEXT, False), StructField("locator", _TEXT, False)]))
+
+
+def _kind(needed: dict[str, DataType], other: dict[str, DataType]) -> StructType:
+    return StructType([StructField(name, t, bool(optional)) for optional, fields in enumerate((needed, other)) for name, t in fields.items()])
+
+
+def _each(names: str, kind: DataType) -> dict[str, DataType]:
+    return dict.fromkeys(names.split(), kind)
+
+
+# The fields of the records that an extractor answers with, those that it must have and those that it may leave out.
+TECHNICAL_KIND = _kind(
+    _each("candidate_id title_zh summary_zh category source_url source_type verification_status primary_entity change_signature", _TEXT),
+    {"concrete_changes": _CHANGES, "evidence_anchors": _ANCHORS, "action_horizon_days": IntegerType()}
+    | _each("extra_categories affected_audience affected_area event_entities policy_terms", _TEXTS)
+    | _each("product_or_model version_or_metric effective_date relevance_signal original_source_status", _TEXT)
+    | _each("resource_available funding_only opinion_only policy_claim vague_claim_without_evidence title_body_conflict scientific_claim original_paper_or_independent_validation marketing_exaggeration evidence_covers_full_claim", _FLAG),
+)
+GLOBAL_KIND = _kind(
+    _each("candidate_id", _TEXT) | _each("occurred material_change", _FLAG) | _each("category title_zh what_happened_zh why_it_matters_zh", _TEXT) | _each("affected_groups_zh key_facts", _TEXTS)
+    | {"evidence_anchors": _ANCHORS} | _each("source_url source_type verification_status primary_entity change_signature impact_scope", _TEXT),
+    _each("product_or_policy version_or_metric effective_date", _TEXT) | _each("event_entities geographic_scope", _TEXTS)
+    | _each("funding_only opinion_only policy_claim policy_text_available title_body_conflict scientific_claim scientific_verified", _FLAG),
+)
+_ANCHOR = {"$.evidence_anchors[].quote": (4, 500), "$.evidence_anchors[].locator": (1, 200)}
+_STATUS = ("verified", "insufficient", "unavailable", "blocked")
+TECHNICAL_BOUNDS = _ANCHOR | {
+    "$.title_zh": (1, 1 << 30), "$.summary_zh": (1, 1 << 30), "$.extra_categories": (0, 3), "$.relevance_signal": ("direct", "adjacent", "low"), "$.action_horizon_days": (0, 1 << 30),
+    "$.verification_status": _STATUS, "$.original_source_status": _STATUS,
+}
+GLOBAL_BOUNDS = _ANCHOR | {
+    "$.candidate_id": (1, 160), "$.title_zh": (1, 80), "$.what_happened_zh": (1, 360), "$.why_it_matters_zh": (1, 320), "$.affected_groups_zh": (1, 5), "$.key_facts": (1, 5), "$.evidence_anchors": (1, 8),
+    "$.source_url": (0, 1000), "$.primary_entity": (1, 160), "$.product_or_policy": (0, 160), "$.change_signature": (1, 160), "$.version_or_metric": (0, 120), "$.effective_date": (0, 32), "$.event_entities": (0, 10),
+    "$.geographic_scope": (0, 8), "$.verification_status": _STATUS,
+}
+
+
+def technical_rule(r: Column) -> Column:
+    """What is wrong with an answered record beyond its fields, or null: the reader's texts must be Chinese."""
+    return F.when(~text.is_chinese(r["title_zh"]), "title_zh is not Chinese").when(~text.is_chinese(r["summary_zh"]), "summary_zh is not Chinese")
+
+
+def global_rule(r: Column) -> Column:
+    """As technical_rule(), for the global lane, which takes no repository's name as a title either."""
+    wrong = F.when(text.is_repository_name(r["title_zh"]), "title_zh is a repository's name")
+    for name in ("title_zh", "what_happened_zh", "why_it_matters_zh"):
+        wrong = wrong.when(~text.is_chinese(r[name]), f"{name} is not Chinese")
+    for name in ("affected_groups_zh", "key_facts"):
+        wrong = wrong.when(F.exists(r[name], lambda x: ~text.is_chinese(x)), f"{name} is not Chinese")
+    return wrong
+
+
+def filled(record: Column, kind: StructType) -> Column:
+    """The record with what an answer left out: flags are false (but its evidence covers the claim), texts and lists empty, its relevance low; a date or a number stays null."""
+    fields = []
+    for field in kind.fields:
+        value = record[field.name]
+        if field.nullable and field.name not in ("effective_date", "original_source_status"):
+            if isinstance(field.dataType, BooleanType):
+                value = F.coalesce(value, F.lit(field.name == "evidence_covers_full_claim"))
+            elif isinstance(field.dataType, StringType):
+                value = F.coalesce(value, F.lit("low" if field.name == "relevance_signal" else ""))
+            elif isinstance(field.dataType, ArrayType):
+                value = F.coalesce(value, F.array().cast(field.dataType))
+        fields.append(value.alias(field.name))
+    return F.when(record.isNotNull(), F.struct(*fields))
+
+
 def safe(value: Column, most: int) -> Column:
     """One line without secrets, of a bounded length."""
     return text.truncated(text.redacted(text.collapsed(value)), most)
@@ -74,6 +145,11 @@ def with_provenance(record: Column, tier: Column, asked: Column, found: Column,
     return record.withField("source_type", F.when(secondary, SECONDARY).otherwise(source_kind(found))).withField("original_source_status", original_status)
 
 
+def global_provenance(record: Column, tier: Column, source_status: Column) -> Column:
+    """A global record's source is official where its candidate's is of the first tier and secondary elsewhere, whatever it says, and its status is what the fetch came to."""
+    return record.withField("source_type", F.when(tier == 1, OTHER_KIND).otherwise(SECONDARY)).withField("verification_status", source_status)
+
+
 # How many characters the texts of a draft keep.
 DRAFT_BOUNDS = {
     "candidate_id": 160, "original_title": 120, "title_en": 120, "summary_en": 320, "title_zh": 80, "summary_zh": 220,

@@ -24,6 +24,25 @@ def validated(records: DataFrame) -> DataFrame:
     return out.withColumn("verification_status", status).drop("_claims", "_quotes", "_source", "_kept")
 
 
+def checked(rows: DataFrame, claims: bool) -> DataFrame:
+    """rows (a record struct `r`, null where there is none, and a struct `source` with final_url, status and text) with the record held against its
+    source: only anchors whose quote stands there stay, its link is where the source was found, and its status is what these anchors bear out.
+
+    claims: whether each of its concrete changes needs an anchor that supports it (the technical lane); without one, evidence_covers_full_claim is false."""
+    r, source = F.col("r"), F.col("source")
+    read = rows.withColumn("_quotes", evidence.profiles(F.transform(r["evidence_anchors"], lambda a: a["quote"]))).withColumn("_text", text.normal_body(F.coalesce(source["text"], F.lit(""))))
+    stands = lambda i: F.coalesce((F.get("_quotes", i)["body"] != "") & F.contains("_text", F.get("_quotes", i)["body"]), F.lit(False))
+    kept = F.filter(r["evidence_anchors"], lambda a, i: stands(i))
+    own = r.withField("evidence_anchors", kept).withField("source_url", source["final_url"])
+    holds = F.size(kept) > 0
+    if claims:
+        read = read.withColumn("_claims", evidence.profiles(F.transform(r["concrete_changes"], lambda c: c["statement"])))
+        covered = r["evidence_covers_full_claim"] & evidence.all_supported(F.col("_claims"), evidence.kept_anchors(F.col("_quotes"), F.col("_text")))
+        own, holds = own.withField("evidence_covers_full_claim", covered), holds & covered
+    status = F.when(source["status"] != "verified", source["status"]).when(holds, r["verification_status"]).otherwise("insufficient")
+    return read.withColumn("r", F.when(r.isNotNull(), own.withField("verification_status", status))).drop("_quotes", "_text", "_claims")
+
+
 def _windows(words: Column, n: int) -> Column:
     """The hashes of all runs of n words.  The words are bound to a variable first, so that they are split once and not for each run."""
 

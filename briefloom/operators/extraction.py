@@ -83,18 +83,19 @@ def _asked(call: Callable[[dict], object]):
 
 
 def _judged(answered: DataFrame, kind: StructType, bounds: answers.Bounds, id_field: str, rule: Callable[[Column], Column] | None, attempt: int) -> DataFrame:
-    is_json, path, record = answers.decoded(F.col("answer"), kind, bounds)
-    read = answered.withColumns({"is_json": is_json, "path": path, "r": record})
+    # one step after another, so that an answer is parsed once and not for each of its fields
+    read = answered.withColumn("value", F.try_parse_json("answer")).withColumn("path", answers.offence(F.col("value"), kind, bounds))
+    read = read.withColumn("r", F.when(F.col("path").isNull(), answers.record(F.col("value"), kind)))
     broken = rule(F.col("r")) if rule else F.lit(None).cast("string")
     reason = (
         F.when(F.col("error").isNotNull(), F.when(F.col("too_large"), "too_large").otherwise("failed"))
         .when(F.col("answer").isNull(), "no_answer")
-        .when(~F.col("is_json"), "not_json")
+        .when(F.col("value").isNull(), "not_json")
         .when(F.col("path").isNotNull(), "bad_field")
         .when(~F.col("r")[id_field].eqNullSafe(F.col("id")), "other_id")
         .when(broken.isNotNull(), "broken_rule")
     )
-    detail = F.coalesce(F.col("error"), F.col("path"), F.when(reason == "other_id", F.col("r")[id_field]), broken)
+    detail = F.coalesce(F.col("error"), F.when(reason == "bad_field", F.col("path")), F.when(reason == "other_id", F.col("r")[id_field]), broken)
     told = read.withColumns({"reason": reason, "detail": F.when(reason.isNotNull(), text.truncated(text.redacted(text.collapsed(detail)), DETAIL))})
     return told.select("id", F.lit(attempt).alias("attempts"), "reason", "detail", "too_large", F.when(F.col("reason").isNull(), F.col("r")).alias("r"))
 

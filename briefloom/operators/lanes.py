@@ -10,10 +10,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import records, rules
+from ..functions import actions, records, rules
 from ..functions.tables import staged
+from . import anchors, corroboration, extraction, ranking
 from . import boards as board_rules
-from . import corroboration, ranking
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -46,13 +46,45 @@ def two_passes(rows: DataFrame, classify: Step, reasons: Callable[[Column, Colum
     return second.where(fits), out.drop("eligible_main", "eligible_watch")
 
 
+def reading(fetched: DataFrame, call: Callable[[dict], object], is_global: bool = False, originals: DataFrame | None = None, **options: object) -> Step:
+    """The extract step of a lane that reads its records from texts: of shortlisted candidates (candidate_id, title, source_tier, ...) and fetched sources
+    (candidate_id, final_url, status, text), of which others than the shortlist's are left alone.
+
+    Ids must go together (extraction.matched), call answers for each text (extraction.extracted), and the record is held against its source: anchors that do not stand there go, and
+    its kind of source, status and action are the program's, not the answer's.  Every candidate gives a row; `r` is null where there is no record, and `failure` says why."""
+    kind, bounds, rule = (records.GLOBAL_KIND, records.GLOBAL_BOUNDS, records.global_rule) if is_global else (records.TECHNICAL_KIND, records.TECHNICAL_BOUNDS, records.technical_rule)
+
+    def extract(shortlisted: DataFrame) -> DataFrame:
+        ids = shortlisted.select("candidate_id").distinct()
+        own = [None if side is None else side.join(ids.hint("merge"), "candidate_id", "left_semi") for side in (fetched, originals)]
+        both = staged(extraction.matched(shortlisted, *own), "matched")
+        found = extraction.extracted(both.select("candidate_id", "title", F.col("source.text").alias("text")), call, kind, bounds=bounds, rule=rule, **options)
+        told = both.join(found.records.select("candidate_id", "r").hint("merge"), "candidate_id", "left").join(found.audit.select("candidate_id", F.struct("attempts", "reason", "detail").alias("failure")).hint("merge"), "candidate_id", "left")
+        r = F.col("r")
+        told = staged(told.withColumn("r", records.filled(r, kind)), "told")
+        if is_global:
+            told = told.withColumn("r", F.when(r.isNotNull(), records.global_provenance(r, F.col("source_tier"), F.col("source.status"))))
+        held = staged(anchors.checked(told, claims=not is_global), "held")
+        if not is_global:
+            action = actions.recommended(r["concrete_changes"], r["affected_audience"], r["affected_area"], r["action_horizon_days"])
+            held = held.withColumn("r", F.when(r.isNotNull(), r.withField("recommended_action", action)))
+        out = held.withColumns({"final_url": F.col("source.final_url"), "source_status": F.col("source.status"), "original_status": F.col("original_source_status")})
+        return out.drop("source", "original_source_status")
+
+    return extract
+
+
 def technical(candidates: DataFrame, lane: Lane, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(items on boards, rejected records) of all runs of candidates (run_id, candidate_id, url, source_tier, published_at, ...)."""
-    found = lane.extract(lane.shortlist(candidates))
+    """(items on boards, rejected ones) of all runs of candidates (run_id, candidate_id, url, source_tier, published_at, ...).  A candidate without
+    a record is rejected as evidence_extraction_failed."""
+    every = lane.extract(lane.shortlist(candidates))
+    found = every.where(F.col("r").isNotNull())
     own = records.with_provenance(F.col("r"), F.col("source_tier"), F.col("url"), F.col("final_url"), F.col("original_status"))
     # written once: every rule below reads many fields of it
     extracted = staged(found.withColumn("r", records.bounded(own, found.schema["r"].dataType)), "records")
     kept, rejected = two_passes(extracted, lane.classify, lane.reasons)
+    failed = every.where(F.col("r").isNull()).withColumn("why", F.array(F.lit("evidence_extraction_failed"))).withColumn("status", F.lit(None).cast("string"))
+    rejected = rejected.unionByName(failed.withColumn("r", F.lit(None).cast(rejected.schema["r"].dataType)), allowMissingColumns=True)
     scored = kept.withColumn("s", rules.technical_score(F.col("r"), F.col("status"), F.col("published_at"), now))
     items = scored.select("*", "s.*", F.col("r.resource_available").alias("resource_available"), F.col("r.action_horizon_days").alias("action_horizon_days"), F.unix_timestamp("published_at").alias("published"))
     return lane.boards(staged(items.drop("s"), "scored")), rejected

@@ -500,6 +500,30 @@ def y2_extraction(spark: SparkSession, d: str) -> DataFrame:
     return made.union(gone)
 
 
+def _global_answer(row: dict) -> dict:
+    """A record with two quotes, the title and one that the text does not have; only the latter where the title has digits, and none after a plural."""
+    title = row["title"]
+    if title.split(" ")[0].endswith("s"):
+        raise ValueError("no answer")
+    quotes = [title + " ✗"] if any("0" <= c <= "9" for c in title) else [title, title + " ✗"]
+    same = ("title_zh", "what_happened_zh", "why_it_matters_zh")
+    return {k: "新闻" for k in same} | {
+        "candidate_id": row["id"], "occurred": True, "material_change": True, "category": "policy", "affected_groups_zh": ["公众"], "key_facts": ["事实"], "source_url": "x", "source_type": "paper", "verification_status": "verified",
+        "primary_entity": "e", "change_signature": "c", "impact_scope": "global", "evidence_anchors": [{"quote": q, "locator": "first line"} for q in quotes],
+    }
+
+
+def f16_global_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as the source of a global record: what its anchors and its tier leave of what the answer says."""
+    docs = table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    made = docs.select(F.col("doc_id").cast("string").alias("candidate_id"), F.substring(F.split("text", "\n", 2)[0], 1, 200).alias("title"), (1 + F.col("doc_id") % 3).alias("source_tier"))
+    status = F.when(F.char_length(text.collapsed(F.col("text"))) >= text.LEAST_CHARACTERS, "verified").otherwise("insufficient")
+    fetched = docs.select(F.col("doc_id").cast("string").alias("candidate_id"), F.lit("https://h.x/").alias("final_url"), status.alias("status"), "text")
+    out = lanes.reading(fetched, _global_answer, is_global=True)(made)
+    known = lambda c, none: F.coalesce(c, F.lit(none))
+    return out.select("candidate_id", known(F.col("r.source_type"), "").alias("source_type"), known(F.col("r.verification_status"), "").alias("status"), known(F.size("r.evidence_anchors"), -1).alias("n_anchors"), known(F.col("failure.reason"), "").alias("failure"), known(F.col("failure.detail"), "").alias("detail"))
+
+
 def p1_technical_lane(spark: SparkSession, d: str) -> DataFrame:
     """The technical lane over all runs of candidates, with an extractor that reads a record's flags off its number."""
 

@@ -116,6 +116,13 @@ ORACLE_SQL = {
                WHEN n.fp IS NOT NULL THEN CASE WHEN c.version <> n.version OR (c.resource AND NOT n.o_resource) OR (c.science AND NOT n.o_science) THEN 'material_update' ELSE 'minor_update' END ELSE 'unique' END AS dup_status,
           CASE WHEN e.fp IS NOT NULL THEN CASE WHEN (c.resource AND NOT e.o_resource) OR (c.science AND NOT e.o_science) THEN e.fp END ELSE n.fp END AS update_of
         FROM cu c LEFT JOIN ex e ON c.fp = e.fp LEFT JOIN nr n ON c.event_id = n.event_id AND n.n = 1""",
+    "f16_global_records": r"""WITH x AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, left(split_part(coalesce(text, ''), chr(10), 1), 200) AS title, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS flat FROM documents),
+        y AS (SELECT *, string_split(title, ' ')[1] LIKE '%s' AS crashes, regexp_matches(title, '[0-9]') AS digits, trim(regexp_replace(title, '\s+', ' ', 'g')) AS quote FROM x),
+        z AS (SELECT *, CASE WHEN crashes THEN 'failed' WHEN NOT digits AND length(title) < 4 OR length(title) + 2 < 4 THEN 'bad_field' ELSE '' END AS failure,
+                CAST(CASE WHEN NOT digits AND quote <> '' AND contains(lower(flat), lower(quote)) THEN 1 ELSE 0 END + CASE WHEN contains(lower(flat), lower(quote || ' ✗')) THEN 1 ELSE 0 END AS INTEGER) AS n FROM y)
+        SELECT id AS candidate_id, CASE WHEN failure <> '' THEN '' WHEN doc_id % 3 = 0 THEN 'official_announcement' ELSE 'trusted_secondary' END AS source_type,
+          CASE WHEN failure <> '' THEN '' WHEN length(flat) < 80 THEN 'insufficient' WHEN n = 0 THEN 'insufficient' ELSE 'verified' END AS status,
+          CASE WHEN failure <> '' THEN -1 ELSE n END AS n_anchors, failure, CASE failure WHEN 'failed' THEN 'ValueError: no answer' WHEN 'bad_field' THEN '$.evidence_anchors[0].quote' ELSE '' END AS detail FROM z""",
     "y2_extraction": r"""WITH x AS (SELECT CAST(doc_id AS VARCHAR) AS id, left(split_part(coalesce(text, ''), chr(10), 1), 200) AS title, length(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS n FROM documents),
         y AS (SELECT *, string_split(title, ' ') AS w FROM x),
         z AS (SELECT *, list_position([NOT (length(v) BETWEEN 1 AND 12) FOR v IN w[1:3]], true) AS bad FROM y),

@@ -30,18 +30,18 @@ BOUNDS = {"$.title": (2, 10), "$.kind": ("a", "b"), "$.n": (0, 9), "$.facts": (0
 )
 def test_first_offending_path(spark, answer, path):
     whole = json.dumps({"candidate_id": "1", "title": "Title"} | answer)
-    is_json, found, record = answers.decoded(F.col("a"), KIND, BOUNDS)
-    got = spark.createDataFrame([(whole,)], "a string").select(is_json.alias("j"), found.alias("p"), record.alias("r")).first()
-    assert got.j and got.p == path and (got.r is None) == (path is not None)
+    value = F.try_parse_json(F.col("a"))
+    got = spark.createDataFrame([(whole,)], "a string").select(answers.offence(value, KIND, BOUNDS).alias("p"), answers.record(value, KIND).alias("r")).first()
+    assert got.p == path
     if path is None and answer.get("facts"):
         assert got.r.facts[1].value == 1.5 and got.r.tags == ["t"]
 
 
 def test_no_object(spark):
-    is_json, found, record = answers.decoded(F.col("a"), KIND)
-    df = spark.createDataFrame([("[1]",), ("3",), ("{", ), (None,), ("null",), ("",)], "a string")
-    got = df.select(is_json.alias("j"), found.alias("p"), record.isNull().alias("n")).collect()
-    assert [(r.j, r.p, r.n) for r in got] == [(True, "$", True), (True, "$", True), (False, None, True), (False, None, True), (True, "$", True), (False, None, True)]
+    df = spark.createDataFrame([("[1]",), ("3",), ("{",), (None,), ("null",), ("",)], "a string")
+    value = F.try_parse_json(F.col("a"))
+    got = df.select(value.isNotNull().alias("j"), answers.offence(value, KIND).alias("p")).collect()
+    assert [(r.j, r.p) for r in got] == [(True, "$"), (True, "$"), (False, "$"), (False, "$"), (True, "$"), (False, "$")]
 
 
 def test_tables_that_do_not_go_together(spark):

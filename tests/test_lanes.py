@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from briefloom.functions import records
+from briefloom.functions import records, text
 from briefloom.operators import lanes
 from briefloom.plans import queries, registry
 
@@ -52,3 +52,48 @@ def test_lane_of_runs(spark):
     shown = registry.QUERIES["p1_technical_lane"](spark, FOLDER).collect()
     assert len({(r.run_id, r.item) for r in shown}) == len(shown)
     assert all(r["rank"] >= 1 and r.total >= 50 for r in shown)
+
+
+PAGE = "<html><head><title>T</title></head><body><p>Acme cuts the price of Gizmo from $20 to $10 for all customers on Monday, its largest cut so far.</p><p>{}</p></body></html>"
+
+
+def test_lanes_read_their_records_from_pages(spark):
+    """Records whose quotes do not stand in their page are rejected, and so is what gave no record."""
+    answers = {
+        "good": "Acme cuts the price of Gizmo from $20 to $10", "wide": "ＡＣＭＥ cuts  the price of gizmo from $20 to $10", "false": "Acme raises the price of Gizmo from $10 to $20", "other": "its largest cut so far", "none": None, "short": "Acme cuts the price of Gizmo from $20 to $10",
+    }
+
+    def call(row):
+        quote = answers[row["title"]]
+        if quote is None:
+            raise RuntimeError("down")
+        return {
+            "candidate_id": row["id"], "title_zh": "降价消息", "summary_zh": "价格下调", "category": "models", "source_url": "https://evil.x/", "source_type": "law_or_regulation", "verification_status": "verified",
+            "concrete_changes": [{"change_type": "pricing", "statement": "Acme cuts the price of Gizmo from $20 to $10"}], "evidence_anchors": [{"quote": quote, "locator": "p1"}, {"quote": "not in the page", "locator": "p2"}],
+            "affected_audience": ["customers"], "affected_area": ["prices"], "primary_entity": "acme", "change_signature": "price", "relevance_signal": "direct", "resource_available": True,
+        }
+
+    names = list(answers)
+    rows = [("r1", f"c{i}", n, 1, "https://a.x/") for i, n in enumerate(names)]
+    made = spark.createDataFrame(rows, "run_id string, candidate_id string, title string, source_tier int, url string").withColumn("published_at", F.lit("2026-07-14 10:00:00").cast("timestamp")).withColumn("item", F.col("candidate_id"))
+    pages = spark.createDataFrame([(f"c{i}", PAGE.format("More text. " * 20) if n != "short" else "<p>Acme cuts the price of Gizmo from $20 to $10</p>") for i, n in enumerate(names)] + [("c99", "unused")], "candidate_id string, html string")
+    fetched = pages.select("candidate_id", F.lit("https://a.x/found").alias("final_url"), text.page_content(F.col("html")).alias("p")).select("candidate_id", "final_url", "p.status", "p.text")
+    read = lanes.reading(fetched, call)
+    at = F.lit("2026-07-14 12:00:00").cast("timestamp")
+    got = {r.title: r for r in read(made).collect()}
+    assert {n: (len(r.r.evidence_anchors), r.r.verification_status, r.r.evidence_covers_full_claim) if r.r else r.failure.reason for n, r in got.items()} == {
+        "good": (1, "verified", True), "wide": (1, "verified", True), "false": (0, "insufficient", False), "other": (1, "insufficient", False), "none": "failed", "short": (1, "insufficient", True),
+    }
+    assert got["good"].r.source_url == "https://a.x/found" and got["good"].r.recommended_action
+    keyed = lambda df: read(df).withColumns({"company": F.col("candidate_id"), "fingerprint": F.col("candidate_id")})
+    lane = lanes.Lane(lambda c: c, keyed, lambda x: x.withColumn("status", F.lit("unique")))
+    shown, rejected = lanes.technical(made, lane, at)
+    assert {r.title for r in shown.collect()} == {"good", "wide"}
+    why = {r.title: r.why for r in rejected.collect()}
+    assert why["none"] == ["evidence_extraction_failed"] and all("invalid_evidence_anchor" in why[n] for n in ("false", "other")) and why["short"] == ["unverified_primary_source"]
+
+
+def test_sources_of_records(spark):
+    df = spark.createDataFrame([(("paper", "verified"),)], "r struct<source_type: string, verification_status: string>")
+    own = lambda tier, status: tuple(df.select(records.global_provenance(F.col("r"), F.lit(tier), F.lit(status)).alias("r")).first().r)
+    assert own(1, "blocked") == ("official_announcement", "blocked") and own(2, "verified") == ("trusted_secondary", "verified")
