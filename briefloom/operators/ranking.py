@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.tables import staged
 
 CANDIDATE_CAP, SHORTLIST_CAP = 80, 20
 
@@ -58,10 +59,27 @@ def heuristic_top(candidates: DataFrame, now: Column, limit: int) -> DataFrame:
     return top(candidates.withColumn("score", score), limit, ["run_id"], [F.col("score").desc(), "candidate_id"])
 
 
-def byte_budget(blocks: DataFrame, budget: int, by: list, order: list, text: str) -> DataFrame:
-    """The leading blocks of each group whose bytes, with a line feed after each, fit the budget."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return blocks.withColumn("used", F.sum(F.octet_length(text) + 1).over(w)).where(F.col("used") <= budget)
+def fitting_places(blocks: DataFrame, budget: int, by: list[str], order: list[str], text: str) -> DataFrame:
+    """(by, order, used) of the leading blocks of each group whose bytes, with a line feed after each, fit the budget; order tells a group's blocks apart.
+
+    Prefix sums in two steps over places and sizes alone: all groups are range-sorted together and each range is summed, so a group of any size is spread over many ranges;
+    then sizes are added up within the ranges that begin within the budget.  A null text takes nothing, and has no sum where nothing comes before it."""
+    keys = [*by, *order]
+    sizes = blocks.select(*keys, (F.octet_length(text) + 1).cast("bigint").alias("bytes"))
+    sized = staged(sizes.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()), "sizes")  # written, so that a row keeps its range
+    sums = sized.groupBy(*by, "part").agg(F.sum("bytes").alias("bytes"))
+    earlier = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a group
+    begins = sums.select(*by, "part", F.sum("bytes").over(earlier).alias("before")).where(F.col("before").isNull() | (F.col("before") < budget))
+    within = Window.partitionBy(*by, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    met = sized.alias("s").join(begins.hint("merge").alias("b"), F.expr(" AND ".join(f"s.`{c}` <=> b.`{c}`" for c in [*by, "part"])))
+    told = met.select(*[F.col(f"s.`{c}`") for c in [*keys, "part", "bytes"]], "before").withColumn("own", F.sum("bytes").over(within))
+    used = F.when(F.col("before").isNotNull() | F.col("own").isNotNull(), F.coalesce("before", F.lit(0)) + F.coalesce("own", F.lit(0)))
+    return told.select(*keys, used.alias("used")).where(F.col("used") <= budget)
+
+
+def byte_budget(blocks: DataFrame, budget: int, by: list[str], order: list[str], text: str) -> DataFrame:
+    """The blocks of fitting_places(), whole, with what is used up to each; groups and places are not null."""
+    return blocks.join(fitting_places(blocks, budget, by, order, text).hint("merge"), [*by, *order])
 
 
 def external_selection(selection: DataFrame, candidates: DataFrame, limit: int, key: str = "candidate_id") -> DataFrame:

@@ -207,7 +207,7 @@ def w15_item_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w16_byte_budget(spark: SparkSession, d: str) -> DataFrame:
-    out = ranking.byte_budget(table(spark, d, "documents"), 18_000, ["source"], ["doc_id"], "text")
+    out = ranking.fitting_places(table(spark, d, "documents"), 18_000, ["source"], ["doc_id"], "text")
     return out.groupBy("source").agg(F.count("*").alias("n_blocks"), F.max("used").cast("bigint").alias("used"))
 
 
