@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.tables import staged
 from ..functions.urls import canonical_url
 from ..operators import history
 
@@ -33,20 +34,32 @@ def run_available(df: DataFrame, write: Callable[[DataFrame, int], None], checkp
     return query
 
 
-def deliver_batches(spark: SparkSession, folder: str, send: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """Sends what (day, target) has not had, then writes the ledger first and the URL history after it, the latter
-    only where something was sent."""
+#: What is written after the ledger, in this order, of what was sent.
+History = dict[str, Callable[[DataFrame], DataFrame]]
+
+
+def deliver_batches(spark: SparkSession, folder: str, send: Callable[[DataFrame], None], histories: History | None = None) -> Callable[[DataFrame, int], None]:
+    """Sends what (day, target) has not had, then writes the ledger, and only after it the histories, each only where it has rows.
+
+    histories: for each name what to write of the rows that were sent, such as their URLs and the snapshots of their events (history.snapshots).  All
+    is written under the batch's number: one that runs again after a crash replaces its own rows.  What is in the ledger is not sent again; a
+    batch that was sent but not written down is, since only the ledger tells."""
+    histories = histories or {"sent": lambda due: due.select("target", "sent_at")}
 
     def write(batch: DataFrame, number: int) -> None:
         kind = "day date, target string, sent_at timestamp, run_status string"
         ledger = spark.read.schema(kind).option("recursiveFileLookup", True).parquet(f"{folder}/ledger") if number else spark.createDataFrame([], kind)
+        if number:
+            ledger = ledger.where(F.regexp_extract(F.input_file_name(), r"batch-(\d+)", 1).cast("int") < number)
         attempts = batch.withColumn("day", history.local_day(F.col("sent_at")))
-        due = history.undelivered(attempts.dropDuplicates(["day", "target"]), ledger).persist()
+        due = history.undelivered(attempts.dropDuplicates(["day", "target"]), ledger).select("day", "target")
+        due = staged(attempts.join(due.hint("merge"), ["day", "target"]), "due")
         send(due)
-        due.select("day", "target", "sent_at", "run_status").write.mode("overwrite").parquet(f"{folder}/ledger/batch-{number:08d}")
-        if not due.isEmpty():
-            due.select("target", "sent_at").write.mode("overwrite").parquet(f"{folder}/sent/batch-{number:08d}")
-        due.unpersist()
+        due.select("day", "target", "sent_at", "run_status").dropDuplicates(["day", "target"]).write.mode("overwrite").parquet(f"{folder}/ledger/batch-{number:08d}")
+        for name, of in histories.items():
+            rows = of(due)
+            if not rows.isEmpty():
+                rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch-{number:08d}")
 
     return write
 

@@ -97,3 +97,34 @@ def test_delivery_is_made_once(spark, tmp_path):
     stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
     state.run_available(stream, state.deliver_batches(spark, str(tmp_path / "out"), lambda df: sent.append(df.count())), str(tmp_path / "c"))
     assert sum(sent) == 1 and state.delivered_once(spark, str(tmp_path / "out")).count() == 1
+
+
+def test_histories_follow_the_ledger(spark, tmp_path):
+    """What was sent is written down: first the delivery, then its URLs, then its events; a batch that crashed between is repeated without loss."""
+    kind = "target string, sent_at string, run_status string, url string, fingerprint string, primary_entity string, product_or_model string, change_signature string, version_or_metric string, effective_date string, event_entities array<string>, source_url string"
+    row = lambda target, day, n: (target, f"2026-07-{day} 01:00:00", "published", f"https://a.x/{n}", f"f{n}", "Acme", "Gizmo", "launch", str(n), "", ["Acme"], f"https://a.x/{n}")
+    batches = [[row("a", 14, 1), row("a", 14, 2)], [row("a", 14, 3), row("b", 14, 4)], [row("a", 15, 5)]]
+    made = [spark.createDataFrame(rows, kind).withColumn("sent_at", F.col("sent_at").cast("timestamp")) for rows in batches]
+    histories = {"urls": lambda due: due.select("url", F.col("sent_at").alias("recorded_at")), "events": lambda due: history.snapshots(due, "technical", F.col("sent_at"))}
+    sent = []
+    write = state.deliver_batches(spark, str(tmp_path), lambda due: sent.append(sorted(r.url[-1] for r in due.collect())), histories)
+    broken = state.deliver_batches(spark, str(tmp_path), lambda due: None, histories | {"events": lambda due: due.select(F.raise_error(F.lit("down")).alias("x"))})
+    write(made[0], 0)
+    with pytest.raises(PySparkException):
+        broken(made[1], 1)
+    for n in (1, 2, 1):
+        write(made[n], n)
+    assert sent == [["1", "2"], ["4"], ["5"], ["4"]]
+    assert sorted((str(r.day), r.target) for r in state.delivered_once(spark, str(tmp_path)).collect()) == [("2026-07-14", "a"), ("2026-07-14", "b"), ("2026-07-15", "a")]
+    read = lambda name: spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / name))
+    assert sorted(r.url[-1] for r in read("urls").collect()) == ["1", "2", "4", "5"]
+    assert sorted((r.fingerprint, r.lane, r.primary_entity) for r in read("events").collect()) == [(f"f{n}", "technical", "acme") for n in (1, 2, 4, 5)]
+
+
+def test_pages_seen_first(spark, tmp_path):
+    """Forms of one link count once within 30 days, whatever batch they come in."""
+    for k, urls in enumerate((["https://a.x/1?utm_source=q", "https://A.x/1/"], ["https://a.x/1#top", "https://a.x/2"])):
+        spark.createDataFrame([(u,) for u in urls], "url string").withColumn("recorded_at", F.lit(f"2026-07-1{k} 00:00:00").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    stream = spark.readStream.schema("url string, recorded_at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    state.run_available(state.url_first_seen(stream), lambda df, n: df.write.mode("overwrite").parquet(str(tmp_path / "out" / str(n))), str(tmp_path / "c"))
+    assert sorted(r.canonical_url for r in spark.read.parquet(str(tmp_path / "out" / "*")).collect()) == ["https://a.x/1", "https://a.x/2"]
