@@ -4,7 +4,8 @@ One hash function h maps the shingles of a document to 64-bit values; the docume
 kept as its values, its sketch is the k least of them.
 
 1. Documents with the same set (size and 128-bit BLAKE2b digest of all its values in order) are one
-   class; only its representative, the least id, goes on.
+   class with a key of its own; classes are what is linked, and ids are put to them last.  So rows of one id with
+   different texts, and rows without an id, are each judged by their own text.
 2. Inverted lists: every retained value points to the representatives that retain it.  Two sets
    with similarity s share a value of their union's bottom-k with probability s each, so their
    sketches have at least `least_overlap` values in common (k = 64, s = 0.8: 31, missed with a
@@ -20,17 +21,22 @@ A list of n members is not expanded into its n^2 pairs.  First every member meet
 of its lists, one comparison each, and what is confirmed is joined into components: a group of copies costs its
 members.  Then only members of different components can add anything.  Long lists that still have
 several are put together by their leader, so that a group is one family however many lists it shares; members outside
-the family's largest component are compared exactly with all its members, in blocks of bounded size that are
-row groups of their own, and only the links that join something leave a block.  In short lists the pairs of
+the family's largest component meet all its members in blocks of bounded size that are row groups of their own.  A block
+estimates its pairs first, on sketches of `WIDE` values: all values of the union up to the end of the shorter sketch
+(between WIDE and twice as many) are a sketch of the union, of which the common ones are counted by a product of matrices.
+Only members of a pair that this does not rule out have their full sets moved, into the same block, where they are compared
+exactly, and only the links that join something leave it.  In short lists the pairs of
 different components meet.  Both leave out no pair, and pairs within a component change nothing.
 
 Null, empty and blank texts have an empty set and are linked with nothing.  A text with fewer
-words than a shingle has its whole word sequence as one.  Rows repeated with one id
-are copies of one document; each is returned.  A null id is an id of its own that sorts first.  An empty table gives an empty result.
+words than a shingle has its whole word sequence as one.  Every row is returned.  A null id sorts before all others: a component with
+one has a null `component_id`.  Rows of one id and text are copies of one document, all kept or none;
+`one_of_each` keeps one text of each component even where its least id (or none) stands at several.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -52,9 +58,9 @@ LEADERS, LEAST_LISTS = 2, 3
 
 #: Members times members outside the largest component from which a list is compared in blocks; members and values of a block.
 LONG_LIST, BLOCK_MEMBERS, BLOCK_VALUES = 1_000, 256, 1 << 20
+#: Values of the sketches that blocks estimate from, and the probability that a similar pair is missed at one length of the union's sketch.
+WIDE, WIDE_LOSS = 512, 1e-11
 
-#: Stands for a null id within.
-_NO_ID = -(1 << 63)
 _SIGNATURE = "struct<n_shingles: bigint, hi: bigint, lo: bigint, sketch: array<bigint>>"
 
 
@@ -105,11 +111,11 @@ def signatures(text: Column, shingle: int, k: int) -> Column:
     return F.arrow_udf(signed, _SIGNATURE)(text)
 
 
-def full_sets(text: Column, shingle: int) -> Column:
-    """The sorted values as bytes."""
+def full_sets(text: Column, shingle: int, least: int | None = None) -> Column:
+    """The sorted values as bytes, or the least of them."""
 
     def packed(column: pa.Array) -> pa.Array:
-        return pa.array([s.tobytes() for block in blocks(column) for s in block_sets(block, shingle)], pa.binary())
+        return pa.array([s[:least].tobytes() for block in blocks(column) for s in block_sets(block, shingle)], pa.binary())
 
     return F.arrow_udf(packed, "binary")(text)
 
@@ -179,17 +185,19 @@ def _estimated(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataF
     return both.where(F.col("estimate") >= least_overlap(k, k, percent)).select("a", "b", "estimate")
 
 
-def _sets(ids: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, values): the full sets of the given documents."""
-    ids = staged(ids, "ids")
-    own = texts.join(hinted(ids, ids.count(), BROADCAST_ROWS), "id", "left_semi")
-    return staged(own.select("id", full_sets(F.col("body"), shingle).alias("values")), "sets").dropDuplicates(["id"])
+def _sets(ids: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, least: int | None = None) -> DataFrame:
+    """(id, values): the full sets of the given classes, or the least of their values, from the text that stands for each."""
+    found = reps.join(ids.hint("merge"), "id", "left_semi").select("id", F.col("doc").alias("_doc"), F.col("hash").alias("_hash"))
+    found = staged(found, "ids")
+    same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("hash") == F.col("_hash"))
+    own = texts.join(hinted(found, found.count(), BROADCAST_ROWS), same)
+    return staged(own.select("id", full_sets(F.col("body"), shingle, least).alias("values")), "sets").dropDuplicates(["id"])
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar; only documents in a pair have their sets moved."""
+def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar; only classes in a pair have their sets moved."""
     pairs = staged(pairs, "pairs")
-    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), texts, shingle)
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), reps, texts, shingle)
     both = pairs.join(sets.toDF("a", "x").hint("merge"), "a").join(sets.toDF("b", "y").hint("merge"), "b")
     return staged(both.where(similar(F.col("x"), F.col("y"), percent)).select("a", "b"), "links")
 
@@ -249,6 +257,54 @@ def overlaps(first: list[np.ndarray], second: list[np.ndarray], step: int = 1 <<
     return out
 
 
+@functools.cache
+def common_bounds(most: int, percent: int, loss: float = WIDE_LOSS) -> np.ndarray:
+    """For each length n (0 to most) of a union's sketch: the values common to both sets that a similar pair has at least,
+    but with probability `loss`; the lower end of a binomial distribution of n draws."""
+    if percent >= 100:
+        return np.arange(most + 1)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, most + 1)))])  # of factorials
+    out = np.zeros(most + 1, np.int64)
+    for n in range(1, most + 1):
+        t = np.arange(n + 1)
+        chance = np.exp(logs[n] - logs[t] - logs[n - t] + t * math.log(percent / 100) + (n - t) * math.log(1 - percent / 100))
+        out[n] = max(1, np.searchsorted(np.cumsum(chance), loss))
+    return out
+
+
+def may_be_similar(first: list[np.ndarray], second: list[np.ndarray], percent: int, wide: int = WIDE) -> np.ndarray:
+    """Which pairs of sketches (the `wide` least values of a set, or all) are not ruled out.
+
+    Common values of two sketches lie up to the end of the one that ends first, and both sketches are whole up to there: so far they
+    tell the union's values and the common ones.  Two whole sets are told exactly."""
+    common = overlaps(first, second)
+    none = np.uint64(2**64 - 1)
+    ends = [np.array([x[-1] if len(x) == wide else none for x in side], np.uint64) for side in (first, second)]
+    of_first = np.array([np.searchsorted(x, np.minimum(x[-1], ends[1]), "right") for x in first])
+    of_second = np.array([np.searchsorted(y, np.minimum(y[-1], ends[0]), "right") for y in second]).T
+    union = of_first + of_second - common
+    bound = common_bounds(2 * wide, percent)
+    whole = (ends[0] == none)[:, None] & (ends[1] == none)[None, :]
+    return (common > 0) & np.where(whole, 100 * common >= percent * union, common >= bound[np.minimum(union, 2 * wide)])
+
+
+def _possible_members(percent: int):
+    """Of a block's sketches (rows as for `_joining_links`): the rows with a pair of different components that may be similar."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        side, comps = table["side"].to_numpy(), table["component"].to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["values"]]
+        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        kept = np.zeros(len(sets), bool)
+        if len(first) and len(second):
+            near = may_be_similar([sets[i] for i in first], [sets[j] for j in second], percent)
+            near &= comps[first][:, None] != comps[second][None, :]
+            kept[first], kept[second] = near.any(axis=1), near.any(axis=0)
+        return table.drop_columns(["values"]).filter(pa.array(kept))
+
+    return run
+
+
 def _joining_links(percent: int):
     """Of a block of sets (rows with side 0, id, component, values) and another (side 1): links between
     components, as few as join what can be joined."""
@@ -282,21 +338,35 @@ def _joining_links(percent: int):
     return run
 
 
-def _family_links(mixed_lists: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between components that meet in a long list: of each family (the long lists of one leader) the members
-    outside its largest component against all its members."""
+def _family_blocks(mixed_lists: DataFrame) -> DataFrame:
+    """(lead, i, j, side, id, component): of each family (the long lists of one leader) the members outside its largest component (side 0),
+    and all its members (side 1), so that every one of the first meets every one of the second in one block."""
     members = staged(mixed_lists.where("long").select("lead", "id", "size", "component").distinct(), "families")
     by_component = members.groupBy("lead", "component").agg(F.count("*").alias("c"), F.sum("size").alias("s"))
     blocks_for = lambda c, s: F.ceil(F.greatest(c / BLOCK_MEMBERS, s / BLOCK_VALUES, F.lit(1))).cast("int")
     family = by_component.groupBy("lead").agg(F.max(F.struct("c", "component", "s")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s"))
     family = family.select("lead", F.col("main.component").alias("main"), blocks_for(F.col("c"), F.col("s")).alias("n_all"), blocks_for(F.col("c") - F.col("main.c"), F.col("s") - F.col("main.s")).alias("n_other"))
-    sets = _sets(members.select("id").distinct(), texts, shingle)
-    placed = members.join(family.hint("merge"), "lead")
+    family = staged(family, "leads")
+    placed = members.join(hinted(family, family.count(), BROADCAST_ROWS), "lead")
     spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     others = placed.where("component <> main").select("lead", "id", "component", F.lit(0).alias("side"), spread("n_other").alias("i"), each("n_all").alias("j"))
     whole = placed.select("lead", "id", "component", F.lit(1).alias("side"), each("n_other").alias("i"), spread("n_all").alias("j"))
-    rows = others.union(whole).join(sets.hint("merge"), "id").select("lead", "i", "j", "side", "id", "component", "values")
+    return staged(others.unionByName(whole).select("lead", "i", "j", "side", "id", "component"), "blocks")
+
+
+def _possible(rows: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The rows of blocks that are in a pair which their sketches do not rule out."""
+    sketches = _sets(rows.select("id").distinct(), reps, texts, shingle, WIDE)
+    known = rows.join(sketches.hint("merge"), "id").select(*rows.columns, "values")
+    return staged(known.groupBy("lead", "i", "j").applyInArrow(_possible_members(percent), rows.schema), "possible")
+
+
+def _family_links(mixed_lists: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between components that meet in a long list."""
+    left = _possible(_family_blocks(mixed_lists), reps, texts, shingle, percent)
+    sets = _sets(left.select("id").distinct(), reps, texts, shingle)
+    rows = left.join(sets.hint("merge"), "id").select(*left.columns, "values")
     return staged(rows.groupBy("lead", "i", "j").applyInArrow(_joining_links(percent), "a bigint, b bigint"), "links")
 
 
@@ -310,44 +380,57 @@ def _residual(mixed_lists: DataFrame, percent: int) -> DataFrame:
 
 
 def links(texts: DataFrame, reps: DataFrame, shingle: int, percent: int, k: int) -> DataFrame:
-    """(id, component) of every representative (id, n_shingles, sketch) that is linked with another."""
+    """(id, component) of every class (id, n_shingles, sketch, doc, hash) that is linked with another; doc and hash
+    are those of the row of texts (doc, hash, body) that stands for it."""
     lists = staged(_lists(reps, k, percent), "lists")
     first = _estimated(_leader_pairs(lists, percent), reps, k, percent)
-    done = _confirmed(first.select("a", "b"), texts, shingle, percent)
+    done = _confirmed(first.select("a", "b"), reps, texts, shingle, percent)
     comps = staged(components(done), "components")
     mixed_lists = _mixed(lists, comps)
     short = mixed_lists.where("NOT long")
     if not mixed_lists.where("long").isEmpty():
-        done = done.union(_family_links(mixed_lists, texts, shingle, percent))
+        done = done.union(_family_links(mixed_lists, reps, texts, shingle, percent))
         comps = staged(components(done), "components")
         short = _mixed(short.select("list", "id", "size", "weight"), comps)
-    new = _confirmed(_estimated(_residual(short, percent), reps, k, percent).select("a", "b"), texts, shingle, percent)
+    new = _confirmed(_estimated(_residual(short, percent), reps, k, percent).select("a", "b"), reps, texts, shingle, percent)
     return comps if new.isEmpty() else staged(components(done.union(new)), "components")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, k: int = K) -> DataFrame:
-    """id, n_shingles, component_id (least id reachable) and kept of every document."""
+def _judged(docs: DataFrame, id_column: str, text: str, shingle: int, percent: int, k: int) -> DataFrame:
+    """(doc, hash, n_shingles, component, stays) of every row; hash is one of its text."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col(id_column).cast("bigint"), F.lit(_NO_ID)).alias("id"), F.col(text).alias("body"))
-    signed = staged(texts.select("id", signatures(F.col("body"), shingle, k).alias("s")).select("id", "s.*"), "signatures")
+    texts = docs.select(F.col(id_column).cast("bigint").alias("doc"), F.xxhash64(text).alias("hash"), F.col(text).alias("body"))
+    signed = staged(texts.select("doc", "hash", signatures(F.col("body"), shingle, k).alias("s")).select("doc", "hash", "s.*"), "signatures")
+    own = ["n_shingles", "hi", "lo"]
+    first = F.struct(F.col("doc").isNotNull().alias("has"), "doc", "hash")  # rows without an id come first
     full = signed.where("n_shingles > 0")
-    classes = staged(full.groupBy("n_shingles", "hi", "lo").agg(F.min("id").alias("rep")), "classes")
-    member = signed.select("id", "n_shingles", "hi", "lo").join(classes.hint("merge"), ["n_shingles", "hi", "lo"], "left")
-    member = member.select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
-    reps = full.join(classes.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id"])
-    reps = staged(reps.select("id", "n_shingles", "sketch"), "representatives")
+    classes = full.groupBy(*own).agg(F.min(first).alias("first"), F.first("sketch").alias("sketch"))
+    # written at once, so a class has one key for good
+    reps = staged(classes.select(F.monotonically_increasing_id().alias("id"), *own, "sketch", F.col("first.doc").alias("doc"), F.col("first.hash").alias("hash")), "classes")
     comps = links(texts, reps, shingle, percent, k)
-    found = member.join(comps.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left")
-    component = F.coalesce("component", "rep")
-    shown = lambda c: F.when(c != _NO_ID, c)
-    return found.select(shown(F.col("id")).alias(id_column), "n_shingles", shown(component).alias("component_id"), (component == F.col("id")).alias("kept"))
+    linked = comps.join(reps.select("id", *own, "doc", "hash").hint("merge"), "id")
+    least = linked.groupBy("component").agg(F.min(first).alias("first"))
+    linked = linked.select(*own, "component").join(least.hint("merge"), "component")
+    alone = reps.join(comps.select("id").hint("merge"), "id", "left_anti").select(*own, first.alias("first"))
+    known = staged(linked.select(*own, "first").unionByName(alone), "known").withColumn("known", F.lit(True))
+    found = signed.select("doc", "hash", *own).join(known.hint("merge"), own, "left")
+    component = F.when(F.col("known"), F.col("first.doc")).otherwise(F.col("doc"))
+    stays = F.col("known").isNull() | (component.eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("first.hash")))
+    return found.select("doc", "hash", "n_shingles", component.alias("component"), stays.alias("stays"))
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, k: int = K) -> DataFrame:
+    """id, n_shingles, component_id (least id reachable) and kept of every document."""
+    found = _judged(docs, id_column, text, shingle, percent, k)
+    return found.select(F.col("doc").alias(id_column), "n_shingles", F.col("component").alias("component_id"), F.col("component").eqNullSafe(F.col("doc")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those that are near duplicates of a document with a smaller id."""
-    gone = near_duplicates(docs, id_column, text, shingle, percent).where(~F.col("kept")).select(F.col(id_column).alias("_gone")).distinct()
-    gone = staged(gone, "copies")
-    return docs.join(hinted(gone, gone.count(), 1_000_000), docs[id_column].eqNullSafe(gone["_gone"]), "left_anti")
+    """docs without the near duplicates of one text that stays in each component: that of its least id."""
+    gone = _judged(docs, id_column, text, shingle, percent, K).where(~F.col("stays"))
+    gone = staged(gone.select(F.col("doc").alias("_gone"), F.col("hash").alias("_text")).distinct(), "copies")
+    same = docs[id_column].cast("bigint").eqNullSafe(gone["_gone"]) & (F.xxhash64(docs[text]) == gone["_text"])
+    return docs.join(hinted(gone, gone.count(), 1_000_000), same, "left_anti")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
