@@ -28,10 +28,10 @@ def _kept(at: Column, now: Column) -> Column:
     return at.between(now - F.expr(f"INTERVAL {URL_DAYS} DAYS"), now)
 
 
-def unsent(candidates: DataFrame, history: DataFrame, now: Column) -> DataFrame:
-    """Candidates whose page was not sent within the last 30 days. history: (url, recorded_at)."""
-    sent = history.where(_kept(F.col("recorded_at"), now)).select(canonical_url(F.col("url")).alias("sent")).distinct()
-    return candidates.join(sent, canonical_url(candidates["url"]) == F.col("sent"), "left_anti")
+def unsent(candidates: DataFrame, history: DataFrame, now: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """Candidates whose page was not sent within the last 30 days. history: (url, recorded_at), and the columns `by` of both where each has a history of its own."""
+    sent = history.where(_kept(F.col("recorded_at"), now)).select(*by, canonical_url(F.col("url")).alias("_sent")).distinct()
+    return candidates.withColumn("_sent", canonical_url(F.col("url"))).join(sent, [*by, "_sent"], "left_anti").drop("_sent")
 
 
 def url_history(history: DataFrame, new: DataFrame, now: Column) -> DataFrame:
@@ -147,8 +147,8 @@ def day_states(states: DataFrame) -> DataFrame:
     return last.select("day", F.col("s.delivery_status").isin("sent", "uncertain_delivery").alias("blocks"), (sent & (F.col("s.sync_pending") | F.col("s.dashboard_pending"))).alias("pending"))
 
 
-def snapshots(records: DataFrame, lane: str, now: Column) -> DataFrame:
-    """Records as entries of event history: their names as slugs, and what they are about as one sorted set.
+def snapshots(records: DataFrame, lane: str, now: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Records as entries of event history, with the columns `keep`: their names as slugs, and what they are about as one sorted set.
 
     records: fingerprint, primary_entity, product_or_model, change_signature, version_or_metric, effective_date, event_entities, source_url;
     of the technical lane resource_available, scientific_verified and source_type, of the global one scientific_verified,
@@ -163,6 +163,7 @@ def snapshots(records: DataFrame, lane: str, now: Column) -> DataFrame:
     s = F.col("_s")
     about = F.concat(F.slice(s, 1, 2), F.slice(s, F.lit(len(names) + 1), F.col("_n")))
     return read.select(
+        *keep,
         "fingerprint",
         F.lit(lane).alias("lane"),
         now.alias("recorded_at"),

@@ -42,7 +42,7 @@ def two_passes(rows: DataFrame, classify: Step, reasons: Callable[[Column, Colum
     fits = F.col("eligible_main") | F.col("eligible_watch")
     known = classify(first.where(fits).drop("why", "eligible_main", "eligible_watch"))
     second = _passed(known, reasons(F.col("r"), F.col("status")))
-    out = first.where(~fits).withColumn("status", F.lit(None).cast("string")).unionByName(second.where(~fits))
+    out = first.where(~fits).withColumn("status", F.lit(None).cast("string")).unionByName(second.where(~fits), allowMissingColumns=True)
     return second.where(fits), out.drop("eligible_main", "eligible_watch")
 
 
@@ -74,9 +74,9 @@ def reading(fetched: DataFrame, call: Callable[[dict], object], is_global: bool
     return extract
 
 
-def technical(candidates: DataFrame, lane: Lane, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(items on boards, rejected ones) of all runs of candidates (run_id, candidate_id, url, source_tier, published_at, ...).  A candidate without
-    a record is rejected as evidence_extraction_failed."""
+def scored(candidates: DataFrame, lane: Lane, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(scored items that may be on boards, rejected ones) of all runs of candidates (run_id, candidate_id, url, source_tier, published_at, ...).
+    A candidate without a record is rejected as evidence_extraction_failed."""
     every = lane.extract(lane.shortlist(candidates))
     found = every.where(F.col("r").isNotNull())
     own = records.with_provenance(F.col("r"), F.col("source_tier"), F.col("url"), F.col("final_url"), F.col("original_status"))
@@ -85,9 +85,37 @@ def technical(candidates: DataFrame, lane: Lane, now: Column) -> tuple[DataFrame
     kept, rejected = two_passes(extracted, lane.classify, lane.reasons)
     failed = every.where(F.col("r").isNull()).withColumn("why", F.array(F.lit("evidence_extraction_failed"))).withColumn("status", F.lit(None).cast("string"))
     rejected = rejected.unionByName(failed.withColumn("r", F.lit(None).cast(rejected.schema["r"].dataType)), allowMissingColumns=True)
-    scored = kept.withColumn("s", rules.technical_score(F.col("r"), F.col("status"), F.col("published_at"), now))
-    items = scored.select("*", "s.*", F.col("r.resource_available").alias("resource_available"), F.col("r.action_horizon_days").alias("action_horizon_days"), F.unix_timestamp("published_at").alias("published"))
-    return lane.boards(staged(items.drop("s"), "scored")), rejected
+    valued = kept.withColumn("s", rules.technical_score(F.col("r"), F.col("status"), F.col("published_at"), now))
+    items = valued.select("*", "s.*", F.col("r.resource_available").alias("resource_available"), F.col("r.action_horizon_days").alias("action_horizon_days"), F.unix_timestamp("published_at").alias("published"))
+    return staged(items, "scored"), rejected
+
+
+def technical(candidates: DataFrame, lane: Lane, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(items on boards, rejected ones) of all runs, as scored() takes them."""
+    items, rejected = scored(candidates, lane, now)
+    return lane.boards(items.drop("s")), rejected
+
+
+def technical_audit(items: DataFrame, rejected: DataFrame, shown: DataFrame) -> DataFrame:
+    """What became of every candidate that was read: why it was rejected, what it was against history, its score and its board; null where it
+    did not come so far.  items and rejected as scored() gives them, shown those on boards."""
+    common = ["run_id", "candidate_id", "source_status", "why", "status"]
+    r = F.col("r")
+    told = [r["source_url"].alias("source_url"), F.transform(r["evidence_anchors"], lambda a: a["locator"]).alias("anchor_locators")]
+    seen = items.select(*common, *told, F.col("total").cast("int").alias("total")).unionByName(rejected.select(*common, *told, F.lit(None).cast("int").alias("total")))
+    boards = shown.select("run_id", "candidate_id", "board")
+    return seen.join(boards.hint("merge"), ["run_id", "candidate_id"], "left").withColumn("selected", F.col("board").isNotNull())
+
+
+def statistics(audit: DataFrame) -> DataFrame:
+    """(run_id, shortlist_count, source_verified_count, rejected_count, top_rejection_reasons) of audit rows (run_id, source_status, selected, why):
+    the reasons of those that were not selected, the most frequent first.  Reasons are a fixed list of codes."""
+    counts = audit.groupBy("run_id").agg(F.count("*").alias("shortlist_count"), F.count_if(F.col("source_status") == "verified").alias("source_verified_count"), F.count_if(~F.col("selected")).alias("rejected_count"))
+    each = audit.where(~F.col("selected")).select("run_id", F.explode("why").alias("reason")).groupBy("run_id", "reason").agg(F.count("*").alias("n"))
+    listed = each.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "reason"))).alias("x"))
+    reasons = F.map_from_entries(F.transform("x", lambda x: F.struct(x["reason"], -x["order"])))
+    named = listed.select("run_id", reasons.alias("top_rejection_reasons"))
+    return counts.join(named.hint("merge"), "run_id", "left").withColumn("top_rejection_reasons", F.coalesce("top_rejection_reasons", F.create_map().cast("map<string, bigint>")))
 
 
 def technical_lane(extract: Step, classify: Step, now: Column) -> Lane:
@@ -105,7 +133,7 @@ class GlobalLane(NamedTuple):
 
 
 def global_events(candidates: DataFrame, lane: GlobalLane, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(events, audit, stats by run) of all runs of candidates (run_id, candidate_id, published_at, ...).
+    """(events with supporting_urls, audit, stats by run) of all runs of candidates (run_id, candidate_id, published_at, ...).
 
     Every record is held against how many hosts of its run tell of its event; audit has a row for each shortlisted candidate."""
     short = staged(lane.shortlist(candidates), "shortlist")
@@ -113,14 +141,15 @@ def global_events(candidates: DataFrame, lane: GlobalLane, now: Column) -> tuple
     r = F.col("r")
     made = found.where(r.isNotNull())
     by = ["run_id", "fingerprint"]
-    reports = made.select(*by, *[r[x].alias(x) for x in ("source_url", "source_type", "verification_status")])
+    reports = made.select(*by, "candidate_id", *[r[x].alias(x) for x in ("source_url", "source_type", "verification_status")])
     hosts = corroboration.secondary_hosts(reports, by).select(*by, "n_reports", "secondary_hosts")
     age = (F.unix_micros(now) - F.unix_micros("published_at")) / 3.6e9
     known = lane.classify(made).join(hosts.hint("merge"), by).withColumn("age", age)
     why = rules.global_reasons(r, F.col("secondary_hosts"), F.col("status"), F.col("age"))
     scored = known.withColumn("why", why).withColumn("s", rules.global_score(r, F.col("secondary_hosts"), F.col("status"), F.col("age")))
     gated = staged(scored.select("*", F.col("s.total").alias("total"), F.col("s.recency").alias("time_sensitivity"), F.col("s.evidence_quality").alias("evidence_quality"), F.unix_timestamp("published_at").alias("published")), "gated")
-    events = staged(lane.select(gated.where(F.size("why") == 0)), "chosen")
+    others = corroboration.supporting_urls(reports, by).select("run_id", "candidate_id", "supporting_urls")
+    events = staged(lane.select(gated.where(F.size("why") == 0)).join(others.hint("merge"), ["run_id", "candidate_id"]), "chosen")
 
     seen = gated.select("run_id", "candidate_id", "source_status", "n_reports", "why", "status", F.when(F.size("why") == 0, F.col("total")).alias("total"))
     none = {"n_reports": "bigint", "status": "string", "total": "int"}

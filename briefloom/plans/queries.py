@@ -12,6 +12,7 @@ from ..operators import anchors, boards, cards, compose, contracts, corroboratio
 from ..sources import adapters
 from ..sources.adapters import candidates, clusters, event_records, now, scored_items, table
 from ..streaming import memory, state
+from . import daily
 
 
 def w2_technical_shortlist(spark: SparkSession, d: str) -> DataFrame:
@@ -599,6 +600,48 @@ def p2_global_lane(spark: SparkSession, d: str) -> DataFrame:
     return told.join(stats.hint("merge"), "run_id")
 
 
+def _daily_answer(row: dict) -> dict | None:
+    """A record of a document's first words, for either lane; some documents have none."""
+    told, k = " ".join(row["text"].split()[:12])[:200], int(row["id"])
+    if k % 7 == 6 or len(told) < 4:
+        return None
+    return {
+        "candidate_id": row["id"], "title_zh": "消息", "source_url": "https://example.com/", "source_type": "paper", "verification_status": "verified", "primary_entity": f"company {k % 50}", "event_entities": [f"company {k % 50}"],
+        "change_signature": "price", "evidence_anchors": [{"quote": told, "locator": "p1"}],
+    }
+
+
+def _daily_technical(row: dict) -> dict | None:
+    said = _daily_answer(row)
+    return said and said | {
+        "summary_zh": "变化", "category": "agents", "concrete_changes": [{"change_type": "pricing", "statement": said["evidence_anchors"][0]["quote"]}], "product_or_model": f"product {row['id']}", "affected_audience": ["customers"],
+        "affected_area": ["prices"], "relevance_signal": "direct", "resource_available": True, "action_horizon_days": 3,
+    }
+
+
+def _daily_world(row: dict) -> dict | None:
+    said = _daily_answer(row)
+    return said and said | {
+        "occurred": True, "material_change": True, "category": "models_products", "what_happened_zh": "变化", "why_it_matters_zh": "影响", "affected_groups_zh": ["开发者"], "key_facts": ["变化"], "product_or_policy": f"product {row['id']}",
+        "impact_scope": "global", "geographic_scope": ["US"],
+    }
+
+
+def p4_daily_run(spark: SparkSession, d: str) -> DataFrame:
+    """One run over all candidates and their documents as pages, to documents within their contract, deliveries and histories; an edition for each language."""
+    home, c = new_folder(spark, "daily"), candidates(spark, d)
+    html = F.concat(F.lit("<html><body><p>"), F.coalesce("text", F.lit("")), F.lit("</p></body></html>"))
+    texts = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("candidate_id"), html.alias("html"))
+    pages = c.select("candidate_id", "url").join(texts.hint("merge"), "candidate_id").select("url", F.col("url").alias("final_url"), F.lit(200).alias("code"), F.lit("text/html").alias("content_type"), "html", now().alias("fetched_at"))
+    inputs = daily.Inputs(c, pages, _daily_technical, _daily_world)
+    daily.daily_run(spark, home, "day", inputs, c.select("run_id").distinct(), now(), lambda due: due.write.parquet(f"{home}/sent"))
+    told = spark.read.parquet(f"{home}/digests/run=day")
+    ledger = spark.read.parquet(f"{home}/ledger/run=day").select(F.col("target").alias("run_id"), F.lit(True).alias("delivered"))
+    counts = spark.read.parquet(f"{home}/audit/run=day").groupBy("run_id").agg(F.count("*").alias("n_audited"), F.count_if("selected").alias("n_selected"))
+    both = told.join(ledger.hint("merge"), "run_id", "left").join(counts.hint("merge"), "run_id", "left").na.fill(False, ["delivered"]).na.fill(0)
+    return both.select("run_id", "run_status", "version", F.array_join("violations", ",").alias("violations"), "good", "delivered", "n_audited", "n_selected")
+
+
 def f14_drafts(spark: SparkSession, d: str) -> DataFrame:
     """Candidates with a record of their own title and first lines as publishable items."""
     c = candidates(spark, d)

@@ -42,6 +42,12 @@ def feed_candidates(spark: SparkSession, path: str, sources: DataFrame, now: Col
     return fit.withColumn("candidate_id", stable_id(F.col("url")))
 
 
+def feed_sources(spark: SparkSession, path: str) -> DataFrame:
+    """(source): those whose folder has a feed file that could be read."""
+    feeds = spark.read.format("xml").option("rowTag", "channel").schema(FEED).load(path)
+    return feeds.select(F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]*$", 1).alias("source")).distinct()
+
+
 class _Listing(HTMLParser):
     """Elements of a class as items: the first link, heading text, time and paragraph in each."""
 
@@ -148,17 +154,6 @@ def latest_digest(stored: DataFrame, default: DataFrame, schema: str) -> DataFra
     return default.join(read, "id", "left").select("id", F.coalesce("found", F.from_json("payload", schema)).alias("digest"))
 
 
-def write_digests(boards: DataFrame, path: str) -> None:
-    """One JSON document for each run, in a folder of its own.  A run has a bounded number of items."""
-    item = F.struct(*[c for c in boards.columns if c != "run_id"])
-    digests = boards.groupBy("run_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    digests.withColumn("schema_version", F.lit(4)).write.mode("overwrite").partitionBy("run_id").json(path)
-
-
-def write_audit(audit: DataFrame, path: str) -> None:
-    audit.write.mode("overwrite").partitionBy("run_id").parquet(path)
-
-
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """Persisted digest files (path, content) with their version and violations; only good ones may be sent again."""
     return checked(spark.read.format("binaryFile").load(path).select("path", "content"), "content")
