@@ -169,7 +169,8 @@ def _event() -> Column:
 def briefing(inputs: Inputs, editions: DataFrame, sent: DataFrame, past: DataFrame, now: Column) -> Briefing:
     """The briefing of every edition (run_id, ...), also of one that has no candidates.  sent: run_id, url, recorded_at; past: entries of history with run_id.
 
-    An item that a global event tells as well, and that has nothing to act on, is not on a board; it counts as rejected."""
+    An item of a global event's candidate that has nothing to act on is not on a board, and neither is one of the same fingerprint as a global event, which the
+    contract forbids; both count as rejected."""
     kept, enough = prepared(inputs.candidates, sent, now)
     pages = staged(fetched(kept, inputs.pages), "fetched")
     short = {"technical": staged(ranking.technical_shortlist(kept, now), "technical"), "global": staged(ranking.global_shortlist(kept, now), "global")}
@@ -186,7 +187,8 @@ def briefing(inputs: Inputs, editions: DataFrame, sent: DataFrame, past: DataFra
     runs = staged(runs.withColumn("global_candidate_count", F.col("candidate_count")).withColumn("lookback_hours", F.when(F.col("fallback_used"), WIDE_HOURS).otherwise(HOURS)), "runs")
     acts = F.col("r.resource_available") & (F.coalesce("r.recommended_action", F.lit("")) != "") & F.col("r.category").isin(*ACTIONABLE)
     told_events = events.select("run_id", "rank", "candidate_id", F.col("r.title_zh").alias("title"), F.col("r.affected_groups_zh").alias("groups"), "published_at")
-    heads, left = compose.daily(runs, shown.withColumn("actionable", F.coalesce(acts, F.lit(False))), told_events, now)
+    apart = shown.join(events.select("run_id", "fingerprint").hint("merge"), ["run_id", "fingerprint"], "left_anti")
+    heads, left = compose.daily(runs, apart.withColumn("actionable", F.coalesce(acts, F.lit(False))), told_events, now)
     left = staged(left, "left")
 
     audit = lanes.technical_audit(items, rejected, shown)
@@ -242,6 +244,11 @@ def _stored(spark: SparkSession, home: str, name: str, kind: str) -> DataFrame:
         return spark.createDataFrame([], kind)
 
 
+def delivered(spark: SparkSession, home: str) -> DataFrame:
+    """The ledger of all runs: day, target, sent_at, run_status, run."""
+    return _stored(spark, home, "ledger", _LEDGER)
+
+
 def generate(spark: SparkSession, home: str, run: str, inputs: Inputs, editions: DataFrame, now: Column) -> None:
     """Writes what the run tells, its audit and its documents, these last, in place of what an earlier attempt left."""
     others = [_stored(spark, home, name, kind).where(F.col("run") != run) for name, kind in (("urls", _URLS), ("events", _EVENTS))]
@@ -256,13 +263,13 @@ def deliver(spark: SparkSession, home: str, run: str, send: Callable[[DataFrame]
     The ledger only grows.  Histories are those of all that the ledger has of this run, so an attempt that ended after the ledger is made up for.  What was sent
     but not entered is sent again, since only the ledger tells.  Documents that break the contract are not sent and stay as they are, to be looked at."""
     good = spark.read.parquet(f"{home}/digests/run={run}").where("good")
-    ledger = _stored(spark, home, "ledger", _LEDGER)
+    ledger = delivered(spark, home)
     attempts = good.select(history.local_day(now).alias("day"), F.col("run_id").alias("target"), "run_status", "payload")
     due = staged(history.undelivered(attempts, ledger), "due")
     if not due.isEmpty():
         send(due.select(F.col("target").alias("run_id"), "run_status", "payload"))
         due.select("day", "target", now.alias("sent_at"), "run_status").write.mode("append").parquet(f"{home}/ledger/run={run}")
-    entered = _stored(spark, home, "ledger", _LEDGER).where(F.col("run") == run).groupBy(F.col("target").alias("run_id")).agg(F.max("sent_at").alias("recorded_at"))
+    entered = delivered(spark, home).where(F.col("run") == run).groupBy(F.col("target").alias("run_id")).agg(F.max("sent_at").alias("recorded_at"))
     told = staged(spark.read.parquet(f"{home}/told/run={run}").join(entered.hint("merge"), "run_id"), "told")
     told.select("run_id", F.col("source_url").alias("url"), "recorded_at").distinct().write.mode("overwrite").parquet(f"{home}/urls/run={run}")
     shots = [history.snapshots(told.where(F.col("lane") == lane), lane, F.col("recorded_at"), ("run_id",)) for lane in ("technical", "global")]
@@ -271,6 +278,6 @@ def deliver(spark: SparkSession, home: str, run: str, send: Callable[[DataFrame]
 
 def daily_run(spark: SparkSession, home: str, run: str, inputs: Inputs, editions: DataFrame, now: Column, send: Callable[[DataFrame], None]) -> None:
     """One run, whole or what is left of it.  run: its identifier, a name for a folder, the same whenever the run is repeated."""
-    if _stored(spark, home, "ledger", _LEDGER).where(F.col("run") == run).isEmpty():
+    if delivered(spark, home).where(F.col("run") == run).isEmpty():
         generate(spark, home, run, inputs, editions, now)
     deliver(spark, home, run, send, now)

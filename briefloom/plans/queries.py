@@ -636,7 +636,7 @@ def p4_daily_run(spark: SparkSession, d: str) -> DataFrame:
     inputs = daily.Inputs(c, pages, _daily_technical, _daily_world)
     daily.daily_run(spark, home, "day", inputs, c.select("run_id").distinct(), now(), lambda due: due.write.parquet(f"{home}/sent"))
     told = spark.read.parquet(f"{home}/digests/run=day")
-    ledger = spark.read.parquet(f"{home}/ledger/run=day").select(F.col("target").alias("run_id"), F.lit(True).alias("delivered"))
+    ledger = daily.delivered(spark, home).select(F.col("target").alias("run_id"), F.lit(True).alias("delivered"))
     counts = spark.read.parquet(f"{home}/audit/run=day").groupBy("run_id").agg(F.count("*").alias("n_audited"), F.count_if("selected").alias("n_selected"))
     both = told.join(ledger.hint("merge"), "run_id", "left").join(counts.hint("merge"), "run_id", "left").na.fill(False, ["delivered"]).na.fill(0)
     return both.select("run_id", "run_status", "version", F.array_join("violations", ",").alias("violations"), "good", "delivered", "n_audited", "n_selected")
