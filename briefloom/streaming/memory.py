@@ -3,7 +3,9 @@
 The key is (lane, company, change), which all that can match a record share.  Its state is
 `entries`, the latest record of each fingerprint, and `posted`, for each token (product or entity, or entity alone in the global lane) the
 fingerprints that have it, by time.  A record reads its own fingerprint and its own tokens, whatever else the key holds.
-Entries leave by a timer at the end of the last day on which they count, so the state is what a week tells.
+Entries leave by a timer at the end of the last day on which they count, so the state is what a week tells.  A key with entries has one timer, for the first of
+them to leave; what no later run can meet (runs come in order) is never written.  Each read or write is a call to the state store, so a key of which nothing is held
+is asked for nothing but that.
 
 All records of a run (rows with one `now`) are held against the state that earlier runs left, and recorded only after that;
 a batch may hold several runs, but a run is in one batch.  Runs come in the order of their time, and no record is
@@ -49,35 +51,52 @@ class EventMemory(StatefulProcessor):
 
     def _open(self) -> None:
         """Nothing of this key is held yet.  What is read is held until _close(), so that each entry and list crosses once in a batch."""
+        self._stored = self.entries.exists()
         self._entries: dict[str, tuple | None] = {}
         self._posts: dict[str, list[tuple[int, str]]] = {}
-        self._new: tuple[set, set, set] = set(), set(), set()
-
-    def _close(self) -> None:
-        for fingerprint in self._new[0]:
+        self._new: tuple[set, set] = set(), set()
+
+    def _close(self, last_day: int) -> None:
+        """Writes what is new and still counts for a run of that day or a later one; what is older is left out, of the lists too."""
+        fingerprints, tokens = self._new
+        for fingerprint in list(fingerprints):
+            e = self._entries[fingerprint]
+            if last_day - e[1] > history.EVENT_DAYS:
+                for token in e[8]:
+                    self._drop(self._post(token), (e[0], fingerprint))
+                    tokens.add(token)
+                fingerprints.remove(fingerprint)
+                if self._stored:
+                    self.entries.removeKey((fingerprint,))
+        for fingerprint in fingerprints:
             self.entries.updateValue((fingerprint,), self._entries[fingerprint])
-        for token in self._new[1]:
+        for token in tokens:
             self._put(token, self._posts[token])
-        for at in self._new[2]:
-            self.handle.registerTimer(at)
-        self._open()
+        if fingerprints and not self._stored:
+            self.handle.registerTimer(min(self._gone(self._entries[f][1]) for f in fingerprints))
+        elif self._stored and not self.entries.exists():
+            self._forget_timers()
+
+    def _forget_timers(self) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
 
     def _entry(self, fingerprint: str) -> tuple | None:
         if fingerprint not in self._entries:
-            found = self.entries.getValue((fingerprint,))
+            found = self.entries.getValue((fingerprint,)) if self._stored else None
             self._entries[fingerprint] = None if found is None else tuple(found)
         return self._entries[fingerprint]
 
     def _post(self, token: str) -> list[tuple[int, str]]:
         if token not in self._posts:
-            found = self.posted.getValue((token,))
+            found = self.posted.getValue((token,)) if self._stored else None
             self._posts[token] = [] if found is None else list(zip(found[0], found[1]))
         return self._posts[token]
 
     def _put(self, token: str, post: list[tuple[int, str]]) -> None:
         if post:
             self.posted.updateValue((token,), ([a for a, _ in post], [f for _, f in post]))
-        else:
+        elif self._stored:
             self.posted.removeKey((token,))
 
     @staticmethod
@@ -115,7 +134,7 @@ class EventMemory(StatefulProcessor):
             had = last.get(row["fingerprint"])
             if had is None or (row["at"], row["event_id"]) > (had["at"], had["event_id"]):
                 last[row["fingerprint"]] = row
-        entries, tokens, timers = self._new
+        entries, tokens = self._new
         for fingerprint, row in last.items():
             old = self._entry(fingerprint)
             if old is not None:
@@ -129,7 +148,6 @@ class EventMemory(StatefulProcessor):
                 tokens.add(token)
             self._entries[fingerprint] = tuple(row[c] for c in ("at", "day", "event_id", "version", "date", "first", "second", "scope", "tokens"))
             entries.add(fingerprint)
-            timers.add(row["gone"])
 
     @staticmethod
     def _drop(post: list[tuple[int, str]], item: tuple[int, str]) -> None:
@@ -148,19 +166,25 @@ class EventMemory(StatefulProcessor):
                 status, update = self._judged(lane, company, row)
                 yield Row(event_id=row["event_id"], lane=lane, dup_status=status, update_of=update)
             self._record(own)
-        self._close()
+        self._close(max(row["now_day"] for row in own))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         """Removes the entries whose last day is over, and their places in the lists."""
-        ended = expiredTimerInfo.getExpiryTimeInMs()
+        ended = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         self._open()
+        left, tokens = [], set()
         for fingerprint, e in [(k[0], tuple(e)) for k, e in self.entries.iterator()]:
-            if self._gone(e[1]) <= ended:
-                for token in e[8]:
-                    self._drop(self._post(token), (e[0], fingerprint))
-                    self._new[1].add(token)
-                self.entries.removeKey((fingerprint,))
-        self._close()
+            if self._gone(e[1]) > ended:
+                left.append(self._gone(e[1]))
+                continue
+            for token in e[8]:
+                self._drop(self._post(token), (e[0], fingerprint))
+                tokens.add(token)
+            self.entries.removeKey((fingerprint,))
+        for token in tokens:
+            self._put(token, self._posts[token])
+        if left:
+            self.handle.registerTimer(min(left))
         return iter(())
 
     @staticmethod
@@ -184,7 +208,6 @@ def classified_stream(stream: DataFrame, late: str = "1 day") -> DataFrame:
     rows = stream.withWatermark("recorded_at", late).select(
         "lane", F.coalesce("primary_entity", F.lit("")).alias("primary_entity"), F.coalesce("change_signature", F.lit("")).alias("change_signature"), "event_id", "fingerprint", "recorded_at",
         F.unix_micros("recorded_at").alias("at"), number(day).alias("day"), F.unix_micros("now").alias("now_micros"), number(history.local_day(F.col("now"))).alias("now_day"),
-        F.unix_millis(F.to_utc_timestamp(F.date_add(day, history.EVENT_DAYS + 1), history.ZONE)).alias("gone"),
         F.col("version_or_metric").alias("version"), F.col("effective_date").alias("date"), tokens.alias("tokens"),
         F.when(is_global, no).otherwise(known("resource_available", no)).alias("first"),
         F.when(is_global, known("source_type", F.lit("")) != "trusted_secondary").otherwise(known("scientific_verified", no)).alias("second"),
