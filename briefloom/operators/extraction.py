@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import answers, text
-from ..functions.tables import staged
+from ..functions.tables import SLICE, staged
 
 #: Estimated tokens of a prompt: at first, and after one that was too large.
 BUDGETS = (4500, 2200)
@@ -64,7 +64,7 @@ def matched(candidates: DataFrame, fetched: DataFrame, originals: DataFrame | No
 
 def _asked(call: Callable[[dict], object]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
             rows = []
             for row in batch.to_pylist():
                 answer = error = None
