@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import hinted, small_batches, staged
-from .textscan import blocks, release, windows, words
+from .textscan import blocks, release, tidy, windows, words
 
 K = 64
 #: Rows of an id table that may be broadcast; beyond, the join is a shuffle.
@@ -100,7 +100,7 @@ def signatures(text: Column, shingle: int, k: int) -> Column:
             for values in block_sets(block, shingle):
                 sizes.append(len(values))
                 digests.append(hashlib.blake2b(values, digest_size=16).digest())
-                least.append(values[:k])
+                least.append(values[:k].copy())
         ends = np.cumsum([0, *map(len, least)])
         flat = np.concatenate(least) if least else np.zeros(0, np.uint64)
         sketch = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((flat ^ np.uint64(1 << 63)).view(np.int64)))
@@ -108,7 +108,7 @@ def signatures(text: Column, shingle: int, k: int) -> Column:
         longs = [pa.array(np.ascontiguousarray(halves[:, i])) for i in range(2)]
         return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), *longs, sketch], names=["n_shingles", "hi", "lo", "sketch"])
 
-    return F.arrow_udf(signed, _SIGNATURE)(text)
+    return F.arrow_udf(tidy(signed), _SIGNATURE)(text)
 
 
 def full_sets(text: Column, shingle: int, least: int | None = None) -> Column:
@@ -117,7 +117,7 @@ def full_sets(text: Column, shingle: int, least: int | None = None) -> Column:
     def packed(column: pa.Array) -> pa.Array:
         return pa.array([s[:least].tobytes() for block in blocks(column) for s in block_sets(block, shingle)], pa.binary())
 
-    return F.arrow_udf(packed, "binary")(text)
+    return F.arrow_udf(tidy(packed), "binary")(text)
 
 
 def similar(left: Column, right: Column, percent: int) -> Column:
@@ -131,7 +131,7 @@ def similar(left: Column, right: Column, percent: int) -> Column:
             found.append(bool(common) and 100 * common >= percent * (len(x) + len(y) - common))
         return pa.array(found, pa.bool_())
 
-    return F.arrow_udf(compared, "boolean")(left, right)
+    return F.arrow_udf(tidy(compared), "boolean")(left, right)
 
 
 def union_overlap(left: Column, right: Column, k: int) -> Column:
@@ -147,7 +147,7 @@ def union_overlap(left: Column, right: Column, k: int) -> Column:
             found.append(common * k // max(1, len(least)))
         return pa.array(found, pa.int32())
 
-    return F.arrow_udf(estimated, "int")(left, right)
+    return F.arrow_udf(tidy(estimated), "int")(left, right)
 
 
 def _size_class(size: str, percent: int) -> tuple[Column, int]:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import small_batches, staged
-from .textscan import Block, SPACE, blocks, mixed, per_text, release, span_hashes, windows, words
+from .textscan import Block, SPACE, blocks, mixed, per_text, release, span_hashes, tidy, windows, words
 
 # Characters that count as symbols; sentence ends; commonest words by language.
 SYMBOLS = "#*$%&|<>"
@@ -109,7 +109,7 @@ def features(text: Column) -> Column:
         parts = [np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in range(len(FEATURES))]
         return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in parts], names=list(FEATURES))
 
-    return F.arrow_udf(measured, f"struct<{_TYPE}>")(text)
+    return F.arrow_udf(tidy(measured), f"struct<{_TYPE}>")(text)
 
 
 def base_failed(f: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import small_batches
-from .textscan import release
+from .textscan import release, tidy
 
 KINDS = ("assign", "access", "hex", "pem", "key", "jwt", "encoded")
 BASE = KINDS[:3]
@@ -209,7 +209,7 @@ def found_secrets(text: Column) -> Column:
         rows = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans(x.as_py() or "")] for x in column]
         return pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
 
-    return F.arrow_udf(scanned, "array<struct<kind: string, start: int, end: int>>")(text)
+    return F.arrow_udf(tidy(scanned), "array<struct<kind: string, start: int, end: int>>")(text)
 
 
 def without_secrets(text: str) -> str:
@@ -228,7 +228,7 @@ def redacted(text: Column) -> Column:
         release()
         return pa.array([None if x is None else without_secrets(x) for x in column.to_pylist()], pa.string())
 
-    return F.arrow_udf(cleaned, "string")(text)
+    return F.arrow_udf(tidy(cleaned), "string")(text)
 
 
 def redact_documents(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .textscan import LOWER, SPACE, Block, blocks, hold, span_hashes
+from .textscan import LOWER, SPACE, Block, blocks, hold, span_hashes, trim
 
 _GRAPH = np.zeros(256, bool)
 _GRAPH[0x21:0x7F] = True
@@ -296,7 +296,13 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """The encoder of a vocabulary file; a worker loads each once."""
-    return hold(f"tokens {path}", lambda: Encoder(path))
+
+    def load() -> Encoder:
+        made = Encoder(path)
+        trim()  # the vocabulary as it was read
+        return made
+
+    return hold(f"tokens {path}", load)
 
 
 def encoded(column: pa.Array, path: str, end: int) -> Iterator[bytes]:
