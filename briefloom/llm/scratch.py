@@ -27,7 +27,8 @@ def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
     """Bounds the bytes that one batch takes to a Python worker, by the session's own setting.
     Results never depend on it; memory does, where texts are long."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int((spark.conf.get(key, None) or "0").rstrip("b")) > limit:
+    own = spark.conf.get(key).removesuffix("b")  # where it is unset, Spark's default
+    if not own.isdigit() or not 0 < int(own) <= limit:
         spark.conf.set(key, str(limit))
 
 
