@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import evidence, text
+from ..functions.tables import small_batches
 
 #: Keys of quotes that may be broadcast; beyond, the join is a shuffle.
 BROADCAST_ROWS = 500_000
@@ -16,6 +17,7 @@ KEY_WORDS, LEAST_WORDS = 5, 3
 def validated(records: DataFrame) -> DataFrame:
     """records (claims and quotes: array<string>, source_text, source_status, covers_full_claim, verification_status) with
     n_anchors (quotes that stand in the source), covers_full_claim and verification_status after the check."""
+    small_batches(records.sparkSession)
     read = records.withColumns({"_claims": evidence.profiles(F.col("claims")), "_quotes": evidence.profiles(F.col("quotes")), "_source": text.normal_body(F.coalesce("source_text", F.lit("")))})
     held = read.withColumn("_kept", evidence.kept_anchors(F.col("_quotes"), F.col("_source")))
     covered = F.col("covers_full_claim") & evidence.all_supported(F.col("_claims"), F.col("_kept"))
@@ -29,6 +31,7 @@ def checked(rows: DataFrame, claims: bool) -> DataFrame:
     source: only anchors whose quote stands there stay, its link is where the source was found, and its status is what these anchors bear out.
 
     claims: whether each of its concrete changes needs an anchor that supports it (the technical lane); without one, evidence_covers_full_claim is false."""
+    small_batches(rows.sparkSession)
     r, source = F.col("r"), F.col("source")
     read = rows.withColumn("_quotes", evidence.profiles(F.transform(r["evidence_anchors"], lambda a: a["quote"]))).withColumn("_text", text.normal_body(F.coalesce(source["text"], F.lit(""))))
     stands = lambda i: F.coalesce((F.get("_quotes", i)["body"] != "") & F.contains("_text", F.get("_quotes", i)["body"]), F.lit(False))

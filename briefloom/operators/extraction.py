@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import answers, text
-from ..functions.tables import SLICE, staged
+from ..functions.tables import SLICE, small_batches, staged
 
 #: Estimated tokens of a prompt: at first, and after one that was too large.
 BUDGETS = (4500, 2200)
@@ -122,6 +122,7 @@ def extracted(
     other id or what the rule says."""
     if attempts < 1:
         raise ValueError("attempts must be at least 1")
+    small_batches(rows.sparkSession)
     own = rows.select(F.col(key).cast("string").alias("id"), F.coalesce(F.col(body), F.lit("")).alias("text"), *told)
     frame = F.concat_ws(" ", "id", *told)
     done, due = None, own.withColumn("small", F.lit(False))
