@@ -20,10 +20,14 @@ def _text() -> Column:
     return F.concat_ws(" ", "title", "summary")
 
 
-def technical_shortlist(candidates: DataFrame, now: Column, limit: int = SHORTLIST_CAP) -> DataFrame:
+def first_shortlistable(candidates: DataFrame, now: Column, limit: int) -> DataFrame:
     scored = candidates.where(rules.is_shortlistable(_text()))
     scored = scored.withColumn("rough_score", F.round(rules.rough_score(_text(), F.col("source_tier"), F.col("source_weight"), F.col("stars"), F.col("published_at"), now), 6))
-    return top(scored, min(limit, SHORTLIST_CAP), ["run_id"], [F.col("rough_score").desc(), "candidate_id"])
+    return top(scored, limit, ["run_id"], [F.col("rough_score").desc(), "candidate_id"])
+
+
+def technical_shortlist(candidates: DataFrame, now: Column, limit: int = SHORTLIST_CAP) -> DataFrame:
+    return first_shortlistable(candidates, now, min(limit, SHORTLIST_CAP))
 
 
 def global_shortlist(candidates: DataFrame, now: Column, limit: int = SHORTLIST_CAP) -> DataFrame:
@@ -33,9 +37,12 @@ def global_shortlist(candidates: DataFrame, now: Column, limit: int = SHORTLIST_
     return top(eligible, min(limit, SHORTLIST_CAP), ["run_id"], order)
 
 
+def first_newest(candidates: DataFrame, limit: int) -> DataFrame:
+    return top(candidates, limit, ["run_id"], [F.col("published_at").desc(), F.col("source_weight").desc(), "candidate_id"])
+
+
 def newest(candidates: DataFrame, limit: int = CANDIDATE_CAP) -> DataFrame:
-    order = [F.col("published_at").desc(), F.col("source_weight").desc(), "candidate_id"]
-    return top(candidates, min(limit, CANDIDATE_CAP), ["run_id"], order)
+    return first_newest(candidates, min(limit, CANDIDATE_CAP))
 
 
 def merged_fallback(shortlisted: DataFrame, others: DataFrame, limit: int = CANDIDATE_CAP) -> DataFrame:

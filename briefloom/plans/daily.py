@@ -79,10 +79,12 @@ def prepared(candidates: DataFrame, sent: DataFrame, now: Column) -> tuple[DataF
     What an edition sent within 30 days goes, like titles go, and the newest stay.  An edition that would shortlist none of these takes the wider window: its
     shortlisted ones first, then the newest."""
     new = staged(history.unsent(candidates, sent, now, ("run_id",)).where(rules.in_window(F.col("published_at"), now, WIDE_HOURS)), "new")
-    near = staged(ranking.newest(dedupe.hard_dedupe(new.where(rules.in_window(F.col("published_at"), now, HOURS)))), "near")
+    # only the first of what hard dedupe keeps are looked at, so no more is settled than these depend on
+    newest, shortlisted = (ranking.CANDIDATE_CAP, ranking.first_newest), (ranking.SHORTLIST_CAP, lambda c, n: ranking.first_shortlistable(c, now, n))
+    near = staged(ranking.newest(dedupe.first_kept(new.where(rules.in_window(F.col("published_at"), now, HOURS)), newest)), "near")
     enough = staged(ranking.technical_shortlist(near, now).select("run_id").distinct(), "enough")
     few = staged(new.join(enough, "run_id", "left_anti"), "few")
-    wide = dedupe.hard_dedupe(few)
+    wide = dedupe.first_kept(few, shortlisted, newest)
     merged = ranking.merged_fallback(ranking.technical_shortlist(wide, now), wide)
     stay = near.join(enough, "run_id", "left_semi")
     return staged(stay.drop("rank").unionByName(merged.drop("place")), "prepared"), enough
